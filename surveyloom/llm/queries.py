@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from surveyloom.llm.fingerprints import op2_fingerprints
+from surveyloom.llm.substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
