@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from surveyloom.llm.fingerprints import op2_fingerprints
+from surveyloom.llm.near_dup import op10_near_dup
+from surveyloom.llm.personal_data import op3_personal_data
 from surveyloom.llm.substring_dedup import op4_substring_dedup
+from surveyloom.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_personal_data": op3_personal_data,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLES: dict[str, str] = {}
