@@ -5,6 +5,7 @@ from __future__ import annotations
 from surveyloom.llm.fingerprints import op2_fingerprints
 from surveyloom.llm.near_dup import op10_near_dup
 from surveyloom.llm.personal_data import op3_personal_data
+from surveyloom.llm.pieces import op6_pieces
 from surveyloom.llm.substring_dedup import op4_substring_dedup
 from surveyloom.llm.suffix_dedup import op5_suffix_dedup
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_personal_data": op3_personal_data,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_pieces": op6_pieces,
     "op10_near_dup": op10_near_dup,
 }
 
