@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from surveyloom.llm.fingerprints import op2_fingerprints
+from surveyloom.llm.language_id import op1_language_id
 from surveyloom.llm.near_dup import op10_near_dup
 from surveyloom.llm.personal_data import op3_personal_data
 from surveyloom.llm.pieces import op6_pieces
@@ -10,6 +11,7 @@ from surveyloom.llm.substring_dedup import op4_substring_dedup
 from surveyloom.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_fingerprints": op2_fingerprints,
     "op3_personal_data": op3_personal_data,
     "op4_substring_dedup": op4_substring_dedup,
