@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from surveyloom.llm.decontamination import op9_decontamination
 from surveyloom.llm.fingerprints import op2_fingerprints
 from surveyloom.llm.language_id import op1_language_id
 from surveyloom.llm.near_dup import op10_near_dup
 from surveyloom.llm.personal_data import op3_personal_data
 from surveyloom.llm.pieces import op6_pieces
+from surveyloom.llm.sharding import op8_sharding
 from surveyloom.llm.substring_dedup import op4_substring_dedup
 from surveyloom.llm.suffix_dedup import op5_suffix_dedup
+from surveyloom.llm.warc import op7_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -17,6 +20,9 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pieces": op6_pieces,
+    "op7_warc": op7_warc,
+    "op8_sharding": op8_sharding,
+    "op9_decontamination": op9_decontamination,
     "op10_near_dup": op10_near_dup,
 }
 
