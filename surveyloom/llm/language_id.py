@@ -257,6 +257,19 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, _DDL)
 
 
+def identified(docs: DataFrame, model: LanguageModel | None, least: float, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows of no language (``und``) or of a score below ``least``; no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 400):
+                part = batch.slice(i, 400)
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in label(part.column(at), shared.value)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 

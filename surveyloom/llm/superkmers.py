@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from surveyloom.llm.shared import n_partitions
 
 U = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Unpacked bytes of a bucket that are sorted at once; a larger bucket takes several passes, by hash of the window.
 PASS_BYTES = 48 << 20
 _P = 0x9E3779B97F4A7C15 | 1
