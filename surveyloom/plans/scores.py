@@ -73,7 +73,7 @@ def _macro_sql(source: str, keys: str, ms: list[str]) -> str:
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded for comparison across engines."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
 
 
 def r(column: str, digits: int = 9, name: str | None = None) -> str:
@@ -208,7 +208,7 @@ register("respondent_macro_runs", lambda s, d: rounded(_macro_runs(s, d)), sql(f
 register(
     "delta_k",
     lambda s, d: rounded(metrics.delta_k(_macro_runs(s, d), "nll").select("method", "k", "item_pool", "domain", "delta_nll")),
-    sql("SELECT method, k::BIGINT AS k, item_pool, domain, round(nll - max(nll) FILTER (WHERE k = 0) OVER (PARTITION BY method, split, item_pool, domain), 9) AS delta_nll FROM mm", _MR),
+    sql("SELECT method, k::BIGINT AS k, item_pool, domain, round(nll - max(nll) FILTER (WHERE k = 0) OVER (PARTITION BY method, split, item_pool, domain), 9) + 0 AS delta_nll FROM mm", _MR),
 )
 register("auac", lambda s, d: rounded(metrics.auac(_macro_runs(s, d), "nll")), sql("SELECT method, split, item_pool, domain, round(avg(nll), 9) AS auac_nll FROM mm GROUP BY 1, 2, 3, 4", _MR))
 register(

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions import hashing
 from surveyloom.operators import ranking
+from surveyloom.sources.shipping import ship
 
 SEED = 1701
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
