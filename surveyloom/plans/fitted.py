@@ -1 +1,100 @@
+"""Queries over fitted models and resampling; most have no SQL."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from surveyloom.functions import probs
+from surveyloom.operators import inference, metrics, models
+from surveyloom.plans.catalogue import register
+from surveyloom.plans.scores import runs
+from surveyloom.sources.tables import people, responses, table
+
+
+def _seen(s, d):
+    return metrics.scored(runs(s, d).where("k = 5 and item_pool = 'seen'"))
+
+
+register("bootstrap_ci", lambda s, d: inference.paired_bootstrap(_seen(s, d), "mixed_seed1", "uniform", "nll", 200))
+register("crossed_bootstrap", lambda s, d: inference.crossed_bootstrap(_seen(s, d), "mixed_seed1", "uniform", "nll", 200))
+register("primary_family", lambda s, d: inference.primary_family(_seen(s, d), "mixed_seed1", ["mixed_seed2", "uniform"], "nll", replicates=200))
+
+
+def _cosine_of_documents(s, d):
+    rows = models.tfidf(table(s, d, "documents").select("doc_id", "text"), features=1 << 12)
+    items = models.tfidf(table(s, d, "benchmark").select("item_id", "text"), features=1 << 12)
+    by_term = lambda df, key: df.select(key, F.posexplode(vector_to_array("tfidf")).alias("i", "x")).where("x > 0")
+    a, b = by_term(rows, "doc_id"), by_term(items, "item_id").withColumnRenamed("x", "y")
+    return a.join(b, "i").groupBy("item_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).groupBy("item_id").agg(F.max_by("doc_id", F.struct("cosine", "doc_id")).alias("doc_id"), F.max("cosine").alias("cosine"))
+
+
+register("tfidf_cosine", _cosine_of_documents)
+
+
+def _profiles(s, d):
+    rows = responses(s, d)
+    hot = rows.groupBy("panel_id", "split", "country", "sex", "age_bin").pivot("question_id", [f"q{i:02d}" for i in range(1, 13)]).agg(F.first("answer_index"))
+    flags = [F.coalesce((F.col(f"q{i:02d}") == a).cast("double"), F.lit(0.0)) for i in range(1, 13) for a in range(5)]
+    return hot.select("panel_id", "split", "country", "sex", "age_bin", F.array(*flags).alias("profile"))
+
+
+register("kmeans_personas", lambda s, d: models.personas(_profiles(s, d), 4).select("panel_id", "cluster"))
+
+
+def _router(s, d):
+    rows = models.personas(_profiles(s, d), 4)
+    out = models.demographic_router(rows.where("split = 'train'"), rows.where("split = 'test'"), ["country", "sex", "age_bin"])
+    return out.select("panel_id", "prior")
+
+
+register("router_logit", _router)
+
+
+def _choice(s, d):
+    rows = responses(s, d).select("row_id", "split", "question_id", "age_bin", "sex", "answer_index")
+    cand = rows.withColumn("option_index", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("chosen", (F.col("option_index") == F.col("answer_index")).cast("int"))
+    feats = [F.col("option_index"), F.substring("question_id", 2, 2).cast("double"), (F.col("sex") == "male").cast("int"), F.substring("age_bin", 1, 2).cast("double")]
+    return models.choice_model(cand, feats, F.col("split") == "train").where("split = 'test'").select("row_id", "option_index", "p")
+
+
+register("gbt_choice", _choice)
+register("pca_vectors", lambda s, d: models.inductive_pca(table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), F.col("vec_id") % 5 != 0, 4).select("vec_id", "pca"))
+register("svd_factors", lambda s, d: models.factors(people(s, d).select("panel_id", "sex", "age_bin", "education", "urbanicity"), ["sex", "age_bin", "education", "urbanicity"], 3).select("panel_id", "factors"))
+
+
+def _ridge(s, d):
+    p = table(s, d, "part").select("p_brand", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 7).cast("double").alias("r"), "p_retailprice")
+    return s.createDataFrame(models.group_ridge(p, ["p_size", "r"], "p_retailprice", "p_brand"))
+
+
+register("ridge_groups", _ridge)
+
+_COEF = {0: (0.2, 0.1, -0.3), 1: (0.0, -0.2, 0.4), 2: (-0.5, 0.3, 0.1)}
+
+
+def _softmax(s, d):
+    p = table(s, d, "part").select("p_partkey", "p_brand", (F.col("p_size") / 50.0).alias("x1"), (F.col("p_retailprice") / 2000.0).alias("x2"))
+    brands = p.select("p_brand").distinct()
+    coef = brands.withColumn("o", F.explode(F.array(*[F.struct(F.lit(k).alias("option_index"), F.array(*[F.lit(v) for v in c]).alias("coefficients")) for k, c in _COEF.items()]))).select("p_brand", "o.*")
+    out = models.option_softmax(p, coef, ["x1", "x2"], "p_partkey", "p_brand", "option_index")
+    return out.select("p_partkey", "p_brand", F.col("option_index").cast("bigint").alias("option_index"), F.round("p", 9).alias("p"))
+
+
+register(
+    "logsoftmax_from_coefficients",
+    _softmax,
+    "WITH c(o, a, b, c) AS (VALUES " + ", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in _COEF.items()) + "), "
+    "z AS (SELECT p_partkey, p_brand, o, a + b * (p_size / 50.0::DOUBLE) + c * (p_retailprice / 2000.0::DOUBLE) AS s FROM part, c) "
+    "SELECT p_partkey, p_brand, o::BIGINT AS option_index, round(exp(s) / sum(exp(s)) OVER (PARTITION BY p_partkey, p_brand), 9) AS p FROM z",
+)
+
+
+def _read(s, d):
+    from surveyloom.operators.vectors import read_prompts
+
+    c = table(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("prompt"), F.lit(4).alias("n_options"))
+    return read_prompts(c).select("conv_id", probs.argmax(F.col("p")).cast("bigint").alias("choice"))
+
+
+register("dummy_reader", _read)
