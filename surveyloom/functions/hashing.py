@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def _json_part(part) -> Column:
     if isinstance(part, Column):
-        text = F.regexp_replace(F.regexp_replace(part.cast("string"), r"\\", r"\\\\\\\\"), '"', '\\\\\\\\"')
+        text = F.replace(F.replace(part.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         return F.concat(F.lit('"'), text, F.lit('"'))
     if isinstance(part, str):
         return F.lit('"' + part.replace("\\", "\\\\").replace('"', '\\"') + '"')

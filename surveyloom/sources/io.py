@@ -7,7 +7,6 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from surveyloom.functions import hashing, text
 from surveyloom.operators.joins import anti, duplicate_keys
@@ -113,7 +112,8 @@ class VectorCache:
     A vector and its row are one record, so they cannot fall out of step.
     """
 
-    schema = T.StructType.fromDDL("row_id string, panel_id string, k int, vector array<float>, logits array<float>")
+    names = ("row_id", "panel_id", "k", "vector", "logits")
+    schema = "row_id string, panel_id string, k int, vector array<float>, logits array<float>"
 
     def __init__(self, spark: SparkSession, folder: str, settings: dict, overwrite: bool = False):
         self.spark, self.folder, self.fingerprint = spark, folder, fingerprint(settings)
@@ -139,7 +139,7 @@ class VectorCache:
 
     def append(self, rows: DataFrame) -> None:
         """Repeated ids, in the rows or with the cache, and rows without a vector fail before anything is written."""
-        rows = rows.select(*self.schema.names)
+        rows = rows.select(*self.names)
         if duplicate_keys(rows, ["row_id"]).limit(1).count() or rows.join(self.read().select("row_id"), "row_id", "left_semi").limit(1).count():
             raise ValueError("repeated row_id")
         if rows.where("vector is null").limit(1).count():
