@@ -31,6 +31,25 @@ def tfidf(texts: DataFrame, text: str = "text", features: int = 1 << 16) -> Data
     return Normalizer(inputCol="_idf", outputCol="tfidf").transform(rows).drop("_w", "_s", "_b", "_t", "_tf", "_idf")
 
 
+def tfidf_terms(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """L23 as rows (key, term, w): one- and two-word terms, tf (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1.
+
+    Sparse throughout: a text has as many rows as distinct terms. Document
+    frequencies are joined by term without a hint, since they grow with the texts.
+    """
+    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\w\w+"), F.lit(0))
+    rows = texts.select(key, F.filter(words, lambda w: ~F.array_contains(stop, w)).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.slice(pairs, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
+    tf = rows.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = texts.count()
+    weighed = tf.join(df, "term").select(key, "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("x"))
+    norm = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return weighed.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
+
+
 def inductive_pca(vectors: DataFrame, train: Column, k: int, vector: str = "vector") -> DataFrame:
     """Components fitted on training rows only; the training mean is subtracted first."""
     mean = vectors.where(train).select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))

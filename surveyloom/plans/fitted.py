@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from surveyloom.functions import probs
@@ -22,11 +21,10 @@ register("primary_family", lambda s, d: inference.primary_family(_seen(s, d), "m
 
 
 def _cosine_of_documents(s, d):
-    rows = models.tfidf(table(s, d, "documents").select("doc_id", "text"), features=1 << 12)
-    items = models.tfidf(table(s, d, "benchmark").select("item_id", "text"), features=1 << 12)
-    by_term = lambda df, key: df.select(key, F.posexplode(vector_to_array("tfidf")).alias("i", "x")).where("x > 0")
-    a, b = by_term(rows, "doc_id"), by_term(items, "item_id").withColumnRenamed("x", "y")
-    return a.join(b, "i").groupBy("item_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).groupBy("item_id").agg(F.max_by("doc_id", F.struct("cosine", "doc_id")).alias("doc_id"), F.max("cosine").alias("cosine"))
+    docs, items = table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select("item_id", "text")
+    a, b = models.tfidf_terms(docs, "doc_id"), models.tfidf_terms(items, "item_id").withColumnRenamed("w", "v")
+    cos = a.join(b, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    return cos.groupBy("item_id").agg(F.max_by("doc_id", F.struct("cosine", "doc_id")).alias("doc_id"), F.max("cosine").alias("cosine"))
 
 
 register("tfidf_cosine", _cosine_of_documents)
