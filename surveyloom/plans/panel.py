@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions import hashing
 from surveyloom.operators import protocols, ranking
 from surveyloom.plans.catalogue import register
-from surveyloom.sources.tables import PEOPLE_SQL, RESPONSES_SQL, SEED, hex_sql, little_sql, people, responses
+from surveyloom.sources.tables import PEOPLE_SQL, RESPONSES_SQL, SEED, hex_sql, people, responses
 
 FOLDS, POOL_FRACTION, POOL_CAP = 3, 0.25, 3
 
