@@ -1,10 +1,9 @@
 """Substring deduplication by bytes: suffixes in order, and each one's longest earlier match.
 
 Equal 50-byte strings are first brought together by minimiser (superkmers).
-Within a bucket, super-k-mers whose minimiser only one document has cannot hold
-a copy and are left out. The others are concatenated and their suffixes sorted
-by prefix doubling (8, 16, 32 bytes, then two overlapping 32-byte ranks for
-50), ties by document. In that order every suffix's longest earlier match is
+Within a bucket, suffixes whose first 50 bytes have a hash of their own cannot
+be copies and are left out. The others are sorted by prefix doubling (8, 16, 32
+bytes, then two overlapping 32-byte ranks for 50), ties by document. In that order every suffix's longest earlier match is
 the larger of its common prefixes with the previous and the next suffix of a
 smaller document. Only matches of 50 bytes or more count, so prefixes are cut
 at 50: suffixes with equal cut prefixes stand together, smallest document
@@ -24,7 +23,7 @@ from surveyloom.llm import superkmers as sk
 from surveyloom.llm.shared import table
 
 WINDOW = 50
-GRAM = 12
+GRAM = 8
 
 
 def suffix_array(text: bytes) -> np.ndarray:
@@ -79,14 +78,11 @@ def runs_of_block(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window
     empty = [np.zeros(0, np.int64)] * 7 + [data[:0]]
     if n < window:
         return empty
-    # hashes of GRAM bytes by doubling: 1, 2, 4, 8, then 8 and the last 4
+    # hashes of GRAM bytes by doubling: 1, 2, 4, 8
     h = data.astype(np.uint64) + np.uint64(1)
-    factor, quads = np.uint64(0x9E3779B97F4A7C15), None
     for k in (1, 2, 4):
-        h = sk.mix(h[:-k] * factor + h[k:])
-        quads = h if k == 2 else quads
-    m = n - GRAM + 1
-    grams = sk.mix(h[:m] * factor + quads[8 : 8 + m])
+        h = sk.mix(h[:-k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
+    grams, m = h, n - GRAM + 1
     bits = max(20, n.bit_length())
     mask = np.uint64((1 << bits) - 1)
     least = (sk.least_in_windows((grams & ~mask) | np.arange(m, dtype=np.uint64), window - GRAM + 1) & mask).astype(np.int64)
@@ -107,41 +103,44 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
-def _copies(ids, keys, start, windows, extra, lengths, data, window: int):
+def _copies(ids, keys, start, windows, lengths, data, window: int):
     """Ranges of bytes covered by strings that start in a smaller document; records ascending by id."""
-    low = np.cumsum(lengths) - lengths
-    at = low + extra
-    # exact groups by the minimiser's bytes
-    grams = np.zeros(len(ids), np.dtype([("a", "<u8"), ("b", "<u4")]))
-    columns = np.stack([data[at + j] for j in range(GRAM)], axis=1)
-    grams["a"], grams["b"] = columns[:, :8].copy().view("<u8")[:, 0], columns[:, 8:].copy().view("<u4")[:, 0]
-    group = _ranks(_ranks(grams["a"]) << 32 | grams["b"].astype(np.int64))
-    least, most = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least, group, ids)
-    np.maximum.at(most, group, ids)
-    keep = np.flatnonzero(least[group] < most[group])
+    low, windows = np.cumsum(lengths) - lengths, windows.astype(np.int64)
+    rec = np.repeat(np.arange(len(ids), dtype=np.int32), windows)
+    at = np.repeat(low - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    h = sk.range_hashes(data, at, at + window)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    # hashes of several documents: as documents ascend, the last of a run then has another one than the first
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(h)) - 1
+    several = ids[rec[order[first]]] < ids[rec[order[last]]]
+    keep = np.sort(order[np.repeat(several, last - first + 1)])
     if not len(keep):
         return None
-    data = sk.gather(data, low[keep], lengths[keep])
-    ids, keys, start, windows, lengths = ids[keep], keys[keep], start[keep], windows[keep].astype(np.int64), lengths[keep]
-    low = np.cumsum(lengths) - lengths
-    rec = np.repeat(np.arange(len(ids)), windows)
-    at = np.repeat(low - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    # ranks of 8, 16 and 32 bytes, wherever those bytes lie in one record or not: only windows are read below
-    padded = np.concatenate([data, np.zeros(window, np.uint8)])
-    n = len(data)
-    eight = np.zeros(n + window - 7, np.uint64)
+    at, rec = at[keep], rec[keep]
+    # their bytes, once: windows that touch are one stretch
+    begins = np.ones(len(at), bool)
+    begins[1:] = at[1:] > at[:-1] + 1
+    head = np.flatnonzero(begins)
+    tail = np.append(head[1:], len(at)) - 1
+    size = at[tail] - at[head] + window
+    text = sk.gather(data, at[head], size)
+    stretch = np.cumsum(begins) - 1
+    place = at - at[head][stretch] + (np.cumsum(size) - size)[stretch]
+    padded = np.concatenate([text, np.zeros(window, np.uint8)])
+    eight = np.zeros(len(text) + window - 7, np.uint64)
     for j in range(8):
         eight = (eight << np.uint64(8)) | padded[j : j + len(eight)]
     rank = _ranks(eight)
     for k in (8, 16):
         rank = _ranks(rank[:-k] << 32 | rank[k:])
-    suffix = rank[at] << 32 | rank[at + window - 32]
+    suffix = rank[place] << 32 | rank[place + window - 32]
     order = np.argsort(suffix, kind="stable")
     run = np.cumsum(np.diff(suffix[order], prepend=-1) != 0) - 1
-    first = order[np.flatnonzero(np.diff(run, prepend=-1))]
     previous = np.empty(len(order), np.int64)
-    previous[order] = first[run]
+    previous[order] = order[np.flatnonzero(np.diff(run, prepend=-1))][run]
     dup = np.flatnonzero(ids[rec] > ids[rec[previous]])
     if not len(dup):
         return None
@@ -153,59 +152,30 @@ def _copies(ids, keys, start, windows, extra, lengths, data, window: int):
     return ids[row0[d]], keys[row0[d]], s, e
 
 
-#: Unpacked bytes that are sorted at once.
-SORT_BYTES = 16 << 20
+def _slot_of(columns, data, low) -> np.ndarray:
+    """A number of the minimiser's bytes."""
+    at = low + columns[4]
+    gram = np.zeros(len(at), np.uint64)
+    for j in range(GRAM):
+        gram = (gram << np.uint64(8)) | data[at + j]
+    return (sk.mix(gram) >> np.uint64(20)) & np.uint64(4095)
+
+
+def _windows_of(columns, data, low, window: int):
+    """(run, place, byte start, bytes, hash) of each window; see superkmers.turns."""
+    lengths, many = columns[5], columns[3].astype(np.int64)
+    run = np.repeat(np.arange(len(low)), many)
+    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    packed = sk.gather(data, low, lengths)
+    at = (np.cumsum(lengths) - lengths)[run] + within
+    return run, within, low[run] + within, np.full(len(run), window, np.int64), sk.range_hashes(packed, at, at + window)
 
 
 def copies_of_bucket(blobs: list[bytes], window: int = WINDOW) -> Iterator[tuple]:
-    passes = -(-sk.unpacked_size(blobs) // SORT_BYTES)
-    if passes <= 1:
-        (ids, keys, start, windows, extra, lengths), data = sk.load_all(blobs)
-        found = _copies(ids, keys, start, windows, extra, lengths, data, window)
+    for (ids, keys, start, windows, _, lengths), data in sk.turns(blobs, _slot_of, lambda c, d, low: _windows_of(c, d, low, window)):
+        found = _copies(ids, keys, start, windows, lengths, data, window)
         if found:
             yield found
-        return
-    # by minimiser: equal strings share it; a minimiser too large for one pass has its strings dealt by their own hash
-    sizes = np.zeros(1 << 12, np.int64)
-    slots = []
-    for blob in blobs:
-        (_, _, _, _, extra, lengths), data = sk.load_all([blob])
-        at = np.cumsum(lengths.astype(np.int64)) - lengths + extra
-        slots.append((sk.range_hashes(data, at, at + GRAM) >> np.uint64(20)).astype(np.int64) % len(sizes))
-        np.add.at(sizes, slots[-1], lengths.astype(np.int64))
-    part = np.cumsum(sizes) // SORT_BYTES
-    for turn in np.unique(part[sizes > 0]):
-        mine = part == turn
-        share = max(1, -(-int(sizes[mine].sum()) // (2 * SORT_BYTES)))
-        for piece in range(share):
-            parts = []
-            for blob, slot in zip(blobs, slots, strict=True):
-                columns, data = sk.load_all([blob])
-                x = np.flatnonzero(mine[slot])
-                lengths = columns[5].astype(np.int64)
-                low = np.cumsum(lengths) - lengths
-                if share == 1:
-                    parts.append(([c[x] for c in columns], sk.gather(data, low[x], lengths[x])))
-                    continue
-                # single strings, with the minimiser's place in each
-                many = columns[3][x].astype(np.int64)
-                rec = np.repeat(x, many)
-                within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                at = low[rec] + within
-                y = np.flatnonzero(sk.mix(sk.range_hashes(data, at, at + window)) % np.uint64(share) == piece)
-                r, one = rec[y], np.ones(len(y), np.int64)
-                parts.append(([columns[0][r], columns[1][r], columns[2][r] + within[y], one, columns[4][r] - within[y], one * window], sk.gather(data, at[y], one * window)))
-            columns = [np.concatenate(c) for c in zip(*[c for c, _ in parts], strict=True)]
-            data = np.concatenate([d for _, d in parts])
-            if not len(columns[0]):
-                continue
-            order = np.lexsort((columns[1], columns[0]))
-            lengths = columns[5].astype(np.int64)
-            data = sk.gather(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
-            columns = [c[order] for c in columns]
-            found = _copies(*columns, data, window)
-            if found:
-                yield found
 
 
 def _result(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, int, str]:

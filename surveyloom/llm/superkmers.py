@@ -27,8 +27,8 @@ from surveyloom.llm.shared import n_partitions
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
-#: Unpacked bytes of a bucket that are sorted at once; a larger bucket takes several passes, by hash of the window.
-PASS_BYTES = 48 << 20
+#: Unpacked bytes that are sorted at once, and of a bucket that is kept unpacked meanwhile.
+TURN_BYTES, KEPT_BYTES = 3 << 20, 64 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
@@ -61,15 +61,17 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * _power("q", _P_INVERSE, n + 1)[starts] + (ends - starts).astype(U))
 
 
-def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The concatenation of data[start:start+length] for many ranges."""
-    total = int(lengths.sum())
-    if not total:
-        return data[:0]
-    before = np.cumsum(lengths) - lengths
-    at = np.arange(total, dtype=np.int64)
-    at += np.repeat(starts.astype(np.int64) - before, lengths)
-    return data[at]
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The concatenation of data[start:start+length] for many ranges, about ``step`` bytes at a time."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, data.dtype)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(step, len(out), step)), [len(ends)]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=False):
+        first = int(ends[a] - lengths[a])
+        at = np.arange(first, int(ends[b - 1]), dtype=np.int64)
+        at += np.repeat(starts[a:b].astype(np.int64) - (ends[a:b] - lengths[a:b]), lengths[a:b])
+        out[first : first + len(at)] = data[at]
+    return out
 
 
 def least_in_windows(keys: np.ndarray, w: int) -> np.ndarray:
@@ -127,19 +129,56 @@ BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("blob", pa.binar
 BLOB_DDL = "bucket int, kind tinyint, blob binary"
 
 
-def unpacked_size(blobs: list[bytes]) -> int:
-    return sum(zstandard.frame_content_size(x) for x in blobs)
+def _loaded(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    columns, data = Packed.load(blob)
+    lengths = columns[5].astype(np.int64)
+    return [np.cumsum(columns[0]), *columns[1:5], lengths], data, np.cumsum(lengths) - lengths
 
 
-def load_all(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Runs of several blobs, ascending by document: ids, keys, start, windows, extra, lengths, and their bytes."""
-    loaded = [Packed.load(x) for x in blobs]
-    columns = [np.concatenate(c) for c in zip(*[[np.cumsum(c[0]), *c[1:]] for c, _ in loaded], strict=True)]
-    data = np.concatenate([d for _, d in loaded])
-    lengths = columns[5].astype(np.int64)
-    order = np.lexsort((columns[1], columns[0]))
-    data = gather(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
-    return [c[order] for c in columns], data
+def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The runs of a bucket in parts of bounded size, ascending by document; equal windows are in one part.
+
+    A part holds whole slots (hashes of minimisers). A slot too large for a
+    part has its windows dealt by their own hash, each standing alone; they are
+    found anew for each part, so that memory stays bounded.
+    ``slot_of(columns, data, low)`` numbers the runs from 0 to 4095;
+    ``windows_of(columns, data, low)`` gives (run, place in it, byte start,
+    bytes, hash) of their windows. Columns: ids, keys, start, windows, extra,
+    lengths.
+    """
+    total = sum(zstandard.frame_content_size(x) for x in blobs)
+    kept = [_loaded(x) for x in blobs] if total <= KEPT_BYTES else None
+    each = lambda: kept if kept is not None else map(_loaded, blobs)
+    slots, sizes = [], np.zeros(4096, np.int64)
+    for columns, data, low in each():
+        slots.append(slot_of(columns, data, low).astype(np.int16))
+        sizes += np.bincount(slots[-1], columns[5], 4096).astype(np.int64)
+    part = np.cumsum(sizes) // TURN_BYTES
+    for turn in np.unique(part[sizes > 0]):
+        mine = part == turn
+        pieces = max(1, -(-int(sizes[mine].sum()) // (4 * TURN_BYTES)))
+        for piece in range(pieces):
+            parts = []
+            for (columns, data, low), slot in zip(each(), slots, strict=True):
+                x = np.flatnonzero(mine[slot])
+                if pieces == 1:
+                    parts.append(([c[x] for c in columns], gather(data, low[x], columns[5][x])))
+                    continue
+                for i in range(0, len(x), 4096):
+                    y = x[i : i + 4096]
+                    run, within, at, size, h = windows_of([c[y] for c in columns], data, low[y])
+                    z = np.flatnonzero((h >> U(24)) % U(pieces) == piece)
+                    r = y[run[z]]
+                    alone = [columns[0][r], columns[1][r], columns[2][r] + within[z], np.ones(len(z), np.uint8), columns[4][r] - within[z], size[z]]
+                    parts.append((alone, gather(data, at[z], size[z])))
+            columns = [np.concatenate(c) for c in zip(*[c for c, _ in parts], strict=True)]
+            if not len(columns[0]):
+                continue
+            data = np.concatenate([d for _, d in parts])
+            del parts
+            lengths = columns[5]
+            order = np.lexsort((columns[1], columns[0]))
+            yield [c[order] for c in columns], gather(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
 
 
 def blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -242,7 +281,7 @@ def removed_ranges(
     """
     spark = docs.sparkSession
     parts = n_partitions(spark)
-    n_runs, n_final = 4 * parts, 2 * parts
+    n_runs, n_final = 2 * parts, 2 * parts
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     # rows of one id but different texts are told apart by a hash of the text, where there are such rows
