@@ -109,14 +109,14 @@ def _copies(ids, keys, start, windows, lengths, data, window: int):
     rec = np.repeat(np.arange(len(ids), dtype=np.int32), windows)
     at = np.repeat(low - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
     h = sk.range_hashes(data, at, at + window)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
-    # hashes of several documents: as documents ascend, the last of a run then has another one than the first
+    # hashes that several documents have
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(h)) - 1
-    several = ids[rec[order[first]]] < ids[rec[order[last]]]
-    keep = np.sort(order[np.repeat(several, last - first + 1)])
+    owner = ids[rec[order]]
+    several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
+    keep = np.sort(order[np.repeat(several, np.diff(np.append(first, len(h))))])
     if not len(keep):
         return None
     at, rec = at[keep], rec[keep]
