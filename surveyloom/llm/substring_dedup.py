@@ -62,7 +62,7 @@ def runs_of_block(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window
     word0 = np.searchsorted(doc, np.arange(len(ids)))
     where = doc[start]
     gram = grams[least[start]]
-    return where, start - word0[where], windows, low[start], high[start + windows + window - 2], gram, np.zeros(len(start), np.uint8), block
+    return where, start - word0[where], windows, low[start], high[start + windows + window - 2], gram, ((gram >> np.uint64(32)) & np.uint64(255)).astype(np.uint8), block
 
 
 def _copies(ids, keys, start, windows, lengths, data, window: int):
@@ -110,36 +110,27 @@ def _copies(ids, keys, start, windows, lengths, data, window: int):
     return ids[row0[d]], keys[row0[d]], s, e
 
 
+def _windows_of(columns, data, low, window: int):
+    """(run, place, byte start, bytes, hash) of each window; see superkmers.turns."""
+    lengths, many = columns[5], columns[3].astype(np.int64)
+    data = sk.gather(data, low, lengths)
+    ends = np.flatnonzero(data == 32) + 1
+    begins = np.concatenate([[0], ends[:-1]])
+    words = many + window - 1
+    word0 = np.cumsum(words) - words
+    run = np.repeat(np.arange(len(low)), many)
+    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    at = word0[run] + within
+    h = sk.range_hashes(sk.range_hashes(data, begins, ends), at, at + window)
+    packed0 = np.cumsum(lengths) - lengths
+    return run, within, begins[at] - packed0[run] + low[run], ends[at + window - 1] - begins[at], h
+
+
 def copies_of_bucket(blobs: list[bytes], window: int = WINDOW) -> Iterator[tuple]:
-    passes = -(-sk.unpacked_size(blobs) // sk.PASS_BYTES)
-    if passes <= 1:
-        (ids, keys, start, windows, _, lengths), data = sk.load_all(blobs)
+    for (ids, keys, start, windows, _, lengths), data in sk.turns(blobs, lambda c, d, low: c[4], lambda c, d, low: _windows_of(c, d, low, window)):
         found = _copies(ids, keys, start, windows, lengths, data, window)
         if found:
             yield found
-        return
-    passes *= 4  # windows stand alone here, so their words take more room
-    for turn in range(passes):
-        parts = []
-        for blob in blobs:
-            (ids, keys, start, windows, _, lengths), data = sk.load_all([blob])
-            ends = np.flatnonzero(data == 32)
-            low, high = np.concatenate([[0], ends[:-1] + 1]), ends + 1
-            words, many = windows.astype(np.int64) + window - 1, windows.astype(np.int64)
-            word0 = np.cumsum(words) - words
-            rec = np.repeat(np.arange(len(ids)), many)
-            within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            at = within + word0[rec]
-            h = sk.range_hashes(sk.range_hashes(data, low, high), at, at + window)
-            x = np.flatnonzero((h >> np.uint64(40)) % np.uint64(passes) == turn)
-            size = high[at[x] + window - 1] - low[at[x]]
-            parts.append((ids[rec[x]], keys[rec[x]], start[rec[x]] + within[x], np.ones(len(x), np.int64), size, sk.gather(data, low[at[x]], size)))
-        ids, keys, start, windows, size, data = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        order = np.lexsort((keys, ids))
-        data = sk.gather(data, (np.cumsum(size) - size)[order], size[order])
-        found = _copies(ids[order], keys[order], start[order], windows, size[order], data, window) if len(ids) else None
-        if found:
-            yield found
 
 
 def _result(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int, str]:
