@@ -26,4 +26,20 @@ QUERIES = {
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others hash with functions that SQL engines do not share, or iterate; tests/llm compares them with brute force.
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM win JOIN firsts USING (k) WHERE m < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS m FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(h) >= 100 AND m <> page_id THEN m END AS refers_to FROM q
+""",
+}
