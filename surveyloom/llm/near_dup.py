@@ -8,11 +8,13 @@ within the distance agree, in some chunk, up to floor(distance / chunks)
 symbols; that many are enumerated as holes of a key, so that every such pair
 shares a key. Pairs within the distance are confirmed on the full sets.
 
-Members of a key are not compared all with all at first. They are compared with
-the least member, then, where a key still holds several components, with their
-nearest members of other components, and at last with all members of other
-components, in blocks. What is in one component already needs no comparison,
-so a large group of copies costs in proportion to its size.
+Members of a key are not compared all with all at first, but with the least
+member only. What that has joined needs no comparison any more. Keys that still
+hold several components are looked at once more: in small keys every pair is
+reported by the first key that it shares; the members of large keys are
+gathered into clusters and compared in blocks of a cluster, with their texts at
+hand, so that only links leave a task. A large group of copies thus costs in
+proportion to its size, unless its members are no copies of each other.
 """
 
 from __future__ import annotations
@@ -135,14 +137,15 @@ def _index(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.Reco
             sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), rule.k)
             keys = index_keys(sigs, rule)
             ids = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(ids)], names=["key", "id"])
+            slots = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(ids), pa.array(slots)], names=["key", "id", "slot"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, id): those of keys with several members, with the least member."""
-    last_key, last_id, alone = None, None, False
+    last_key, last_id, last_slot, alone = None, None, None, False
     for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, ids, slot = (batch.column(i).to_numpy() for i in range(3))
         if not len(key):
             continue
         new = np.ones(len(key), bool)
@@ -155,30 +158,32 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = np.zeros(len(key), bool)  # rows whose key goes on
         more[:-1] = ~new[1:]
         keep = ~new | more
-        rows = [key[keep], ids[keep], center[keep]]
+        rows = [key[keep], ids[keep], center[keep], slot[keep]]
         if alone and not new[0]:  # the last row of the batch before belongs to a shared key after all
-            rows = [np.concatenate([[x], r]) for x, r in zip((last_key, last_id, last_id), rows, strict=True)]
+            rows = [np.concatenate([[x], r]) for x, r in zip((last_key, last_id, last_id, last_slot), rows, strict=True)]
         alone = bool(new[-1])
-        last_key, last_id = key[-1], center[-1]
+        last_key, last_id, last_slot = key[-1], center[-1], slot[-1]
         if len(rows[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["key", "id", "center"])
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["key", "id", "center", "slot"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of an edge (a, b); the root is the least id of the component.
 
-    Every round each vertex joins the neighbour of least random priority and
-    the graph is contracted, so the number of rounds is logarithmic. Nothing
-    but the number of edges left reaches the driver.
+    Every round each vertex joins the neighbour of least priority and the graph
+    is contracted; the priority is the id and a random number by turns, so the
+    number of rounds is logarithmic. Nothing but whether edges are left reaches
+    the driver.
     """
     spark = edges.sparkSession
     left = staged(edges.where("a <> b").distinct(), "edges")
     path, turn = None, 0
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c)  # noqa: B023, E731
+        # the least id settles stars at once; random priorities keep long paths from taking a round for each step
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c) if turn % 2 else c, c.alias("v"))  # noqa: B023, E731
         join = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
-        join = staged(join.select(F.col("a").alias("v"), F.when(F.col("m") < rank(F.col("a")), F.col("m")["b"]).otherwise(F.col("a")).alias("w")), "joins")
+        join = staged(join.select(F.col("a").alias("v"), F.when(F.col("m") < rank(F.col("a")), F.col("m")["v"]).otherwise(F.col("a")).alias("w")), "joins")
         step = join.select(F.col("v"), F.col("w"))
         if path is None:
             path = step.select(F.col("v").alias("id"), F.col("w").alias("root"))
@@ -228,8 +233,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-#: Documents that are compared with one other in a task, and members of a key that are compared at once.
-LEAVES, BLOCK = 256, 512
+#: Documents that are compared with one other in a task; members of a small key; and of a block of a cluster.
+LEAVES, SMALL, BLOCK = 256, 16, 512
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
@@ -246,50 +251,113 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     return rows.mapInArrow(lambda b: _confirm(b, rule), "a bigint, b bigint")
 
 
-def _cross(batches: Iterator[pa.RecordBatch], rule: NearDup, nearest: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j): pairs of different components within the distance, each member's nearest or all."""
-    held: list[tuple] = []
-    group = None
+def first_slots(one: np.ndarray, others: np.ndarray, rule: NearDup) -> np.ndarray:
+    """The first key (its number in index_keys) that a signature shares with each of the others; -1 if none."""
+    out, offset = np.full(len(others), -1, np.int64), 0
+    for part in np.array_split(np.arange(rule.k), rule.chunks):
+        holes = [sum(1 << x for x in h) for h in combinations(range(len(part)), min(rule.holes, len(part) - 1))]
+        covers = np.array([next((i for i, h in enumerate(holes) if mask & ~h == 0), -1) for mask in range(1 << len(part))])
+        mask = (others[:, part] != one[part]) @ (1 << np.arange(len(part)))
+        found = covers[mask]
+        out = np.where((out < 0) & (found >= 0), found + offset, out)
+        offset += len(holes)
+    return out
 
-    def pairs():
-        block, ids, comp = (np.array([r[i] for r in held]) for i in (0, 1, 2))
-        sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), rule.k)
-        i, j = group[1:]
-        x, y = (np.flatnonzero(block == i), np.flatnonzero(block == j))
-        out = []
-        for p in x.tolist():
-            d = (sigs[y] != sigs[p]).sum(axis=1)
-            ok = (d <= rule.distance) & (comp[y] != comp[p]) & ((ids[y] > ids[p]) if i == j else True)
-            q = np.flatnonzero(ok)
-            if nearest is not None and len(q) > nearest:
-                q = q[np.argsort(d[q], kind="stable")[:nearest]]
-            out += [(min(int(ids[p]), int(o)), max(int(ids[p]), int(o))) for o in ids[y[q]]]
-        return out
-
-    def batch_of(out):
-        a, b = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+def groups_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows sorted by their first ``width`` columns, group by group."""
+    group, held = None, []
     for batch in batches:
-        for key, i, j, *row in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
-            if (key, i, j) != group:
-                if held and (out := pairs()):
-                    yield batch_of(out)
-                group, held = (key, i, j), []
-            held.append(tuple(row))
-    if held and (out := pairs()):
-        yield batch_of(out)
-
-
-def cross_pairs(mixed: DataFrame, sigs: DataFrame, rule: NearDup, nearest: int | None) -> DataFrame:
-    """Candidate pairs between components of one key, from blocks of its members."""
-    spark = mixed.sparkSession
-    n = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = mixed.join(n, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:width] != group:
+                if held:
+                    yield group, held
+                group, held = row[:width], []
+            held.append(row[width:])
+    if held:
+        yield group, held
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _small_keys(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.RecordBatch]:
+    """Rows (key; slot, id, comp, sig): pairs of different components within the distance that share no earlier key."""
+    out: list[tuple[int, int]] = []
+    for _, held in groups_of(batches, 1):
+        held.sort(key=lambda r: r[1])
+        sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), rule.k)
+        comp = np.array([r[2] for r in held])
+        for p in range(len(held) - 1):
+            q = p + 1 + np.flatnonzero((comp[p + 1 :] != comp[p]) & ((sigs[p + 1 :] != sigs[p]).sum(axis=1) <= rule.distance))
+            if len(q):
+                q = q[first_slots(sigs[p], sigs[q], rule) == held[p][0]]
+                out += [(held[p][1], held[x][1]) for x in q.tolist()]
+        if len(out) >= 5000:
+            yield _pairs(out)
+            out = []
+    if out:
+        yield _pairs(out)
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, i, j; block, id, comp, sig, text): links between components, as many as join them."""
+    for (_, i, j), held in groups_of(batches, 3):
+        held.sort(key=lambda r: r[1])
+        sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), rule.k)
+        block, comp = np.array([r[0] for r in held]), [r[2] for r in held]
+        number: dict[tuple, int] = {}
+        sets = [np.sort(np.fromiter((number.setdefault(x, len(number)) for x in shingle_set(r[4], rule.shingle)), np.int64)) for r in held]
+        sizes = np.array([len(x) for x in sets])
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:  # noqa: B023
+                c = joined[c]  # noqa: B023
+            return c
+
+        out, left, right = [], np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for p in left.tolist():
+            q = right[right > p] if i == j else right
+            # similar sets have similar sizes
+            q = q[(100 * np.minimum(sizes[q], sizes[p]) >= rule.percent * np.maximum(sizes[q], sizes[p]))]
+            q = q[(sigs[q] != sigs[p]).sum(axis=1) <= rule.distance]
+            mine, own = root(comp[p]), sets[p]
+            for x in q.tolist():
+                other = root(comp[x])
+                if other == mine:
+                    continue
+                both = len(np.intersect1d(own, sets[x], assume_unique=True))
+                if 100 * both >= rule.percent * (len(own) + len(sets[x]) - both):
+                    out.append((held[p][1], held[x][1]))
+                    joined[max(mine, other)] = mine = min(mine, other)
+        if out:
+            yield _pairs(out)
+
+
+def remaining_links(members: DataFrame, roots: DataFrame, sigs: DataFrame, texts: DataFrame, tested: DataFrame, rule: NearDup) -> DataFrame:
+    """Links between components that share a key: all that the comparison with least members has left open."""
+    spark = members.sparkSession
+    parts = n_partitions(spark)
+    known = members.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    several = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+    mixed = staged(known.join(several, "key"), "mixed")
+    small = mixed.where(F.col("n") <= SMALL).join(sigs, "id").select("key", "slot", "id", "comp", "sig")
+    small = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _small_keys(b, rule), "a bigint, b bigint")
+    links = confirmed(small.join(tested, ["a", "b"], "left_anti"), texts, rule)
+    large = mixed.where(F.col("n") > SMALL)
+    if not large.limit(1).count():
+        return links
+    cluster = components(large.select(F.col("center").alias("a"), F.col("id").alias("b")))
+    rows = large.select("id", "comp").distinct().join(cluster.withColumnRenamed("root", "cluster"), "id")
+    sizes = rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sigs, "id").join(texts, "id")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    rows = rows.withColumn("at", F.explode(other)).join(sigs, "id").select("key", "at.i", "at.j", "block", "id", "comp", "sig")
-    rows = rows.repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(lambda b: _cross(b, rule, nearest), "a bigint, b bigint").distinct()
+    rows = rows.withColumn("at", F.explode(other)).select("cluster", "at.i", "at.j", "block", "id", "comp", "sig", "t")
+    rows = rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return links.unionByName(rows.mapInArrow(lambda b: _clusters(b, rule), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,9 +372,9 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     classes = rows.where("n > 0 and id is not null").groupBy("n", "lo", "hi").agg(F.min(F.struct("id", "sig")).alias("m"))
     classes = staged(classes.select("n", "lo", "hi", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig")), "classes")
     sigs = classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
-    keys = classes.select(F.col("rep").alias("id"), "sig").mapInArrow(lambda b: _index(b, rule), "key bigint, id bigint")
+    keys = classes.select(F.col("rep").alias("id"), "sig").mapInArrow(lambda b: _index(b, rule), "key bigint, id bigint, slot int")
     keys = keys.repartition(n_partitions(spark), "key").sortWithinPartitions("key", "id")
-    members = staged(keys.mapInArrow(_shared, "key bigint, id bigint, center bigint"), "members")
+    members = staged(keys.mapInArrow(_shared, "key bigint, id bigint, center bigint, slot int"), "members")
     ids = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
     texts = staged(texts.join(ids, "id", "left_semi"), "texts")
@@ -317,22 +385,15 @@ def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "d
     tested = staged(candidates.mapInArrow(lambda b: _within(b, rule), "a bigint, b bigint"), "tested")
     links = staged(confirmed(tested, texts, rule), "links")
     roots = staged(components(links), "components")
-    nearest: int | None = 3
-    while True:
-        known = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
-        several = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        mixed = staged(known.join(several, "key", "left_semi"), "mixed")
-        new = staged(cross_pairs(mixed, sigs, rule, nearest).join(tested, ["a", "b"], "left_anti"), "candidates")
-        if new.limit(1).count():
-            more = staged(confirmed(new, texts, rule), "links")
-            tested = tested.unionByName(new)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                roots = staged(components(links), "components")
-                continue
-        if nearest is None:
-            break
-        nearest = None  # no nearest pair links any more: now all that are left
+    several = rows.where("n > 0 and id is not null").groupBy("id").agg(F.countDistinct("n", "lo", "hi").alias("c")).where("c > 1").select("id")
+    if several.limit(1).count():  # rows of one id and different texts: their sets are linked
+        held = rows.join(several, "id", "left_semi").join(classes.drop("sig"), ["n", "lo", "hi"]).select("id", "rep").distinct()
+        same = held.groupBy("id").agg(F.min("rep").alias("a")).join(held, "id").select("a", F.col("rep").alias("b")).where("a <> b")
+        links = staged(links.unionByName(same), "links")
+        roots = staged(components(links), "components")
+    more = staged(remaining_links(members, roots, sigs, texts, tested, rule), "links")
+    if more.limit(1).count():
+        roots = staged(components(links.unionByName(more)), "components")
     comp = classes.select("n", "lo", "hi", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n", "lo", "hi", F.coalesce("root", "rep").alias("root"))
     named = rows.where("id is not null").drop("sig").join(comp, ["n", "lo", "hi"], "left").select("id", "n", F.coalesce("root", "id").alias("root"))
     out = named.unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("root")))
