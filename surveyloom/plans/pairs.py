@@ -71,7 +71,7 @@ _A = ["age_bin", "education", "income_quintile", "urbanicity"]
 
 
 def _matched_all(s, d):
-    return joins.matched_pairs(people(s, d), _A, 1, 20)
+    return joins.matched_pairs(people(s, d), _A, 1)
 
 
 _BUCKETS = " UNION ALL ".join(
