@@ -176,10 +176,8 @@ def risky_pairs(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure
     """
     mentions = found.where(F.size("near") > 0).select("key", F.explode("near").alias("m")).select("key", "m.entity", "m.context", "m.terms")
     pairs = mentions.select("key", "entity", "context", F.explode("terms").alias("t")).select("key", "entity", "context", F.col("t.term").alias("term"))
-    slot = F.expr("shiftleft(1L, cast(pmod(context, 64) as int))")
-    per_doc = pairs.groupBy("entity", "term", "key").agg(F.bit_or(slot).alias("slots"))
-    joint = per_doc.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("j"), F.bit_or("slots").alias("slots"))
-    joint = staged(joint.where(F.bit_count("slots") >= rule.support).select("entity", "term", "j"), "pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.countDistinct("key").alias("j"), F.countDistinct("context").alias("contexts"))
+    joint = staged(joint.where(F.col("contexts") >= rule.support).select("entity", "term", "j"), "pairs")
     terms = staged(joint.select("term").distinct(), "terms")
     schema = "entity string, term string, disclosure double, action string"
     if not terms.limit(1).count():
