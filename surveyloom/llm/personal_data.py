@@ -1,16 +1,18 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
-Entities are the distinct values that the patterns find. For each entity the
-words around its mentions are counted. Over the corpus of N documents, with
-df(x) the documents that hold x and j the documents where term t stands near a
-mention of entity e,
+Entities are the distinct values that the patterns find. Over the corpus of N
+documents, with df(x) the documents that hold x and j the documents that hold
+both term t and a mention of entity e, wherever they stand,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = ln(N j / (df(t) df(e))) / ln(N / df(e)),
 
 which is 1 if every document with t also mentions e, and 0 if t tells nothing.
-Near a mention of e, a term of disclosure ``generalise`` or more is generalised
-to its kind and one of ``remove`` or more is removed. Copies of one passage are
-no evidence: the pair must occur in at least ``support`` different contexts.
+In all of a document that mentions e, a term of disclosure ``generalise`` or
+more is generalised to its kind and one of ``remove`` or more is removed.
+Copies of one passage are no evidence: the pair must occur in at least
+``support`` different contexts. The contexts of a pair in a document are the
+texts around those mentions that the term is near to; if it is near to none,
+the document counts as one context, that of its mention of least hash.
 Documents without an entity are left as they are.
 
 Everything is DataFrame expressions; no Python runs on the executors.
@@ -141,7 +143,8 @@ def _row_key(id_col: Column, text: Column) -> Column:
 
 
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``key`` (of id and text), ``base`` spans, and ``near``: each mention's entity and terms.
+    """One row per document: id, ``key`` (of id and text), ``base`` spans, ``near``: each mention's entity and the terms near
+    it, and ``words``: the terms of the whole text outside the spans, if there are spans.
 
     Null texts count as empty. Repeated rows share a key and a result.
     """
@@ -158,14 +161,18 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             cut = lambda m: ((m["start"] == 0) & (low > 0)) | ((m["end"] == n) & (high < F.char_length("_t")))
             inside = lambda m: F.exists(F.col("base"), lambda o: (o["start"] < m["end"] + low) & (m["start"] + low < o["end"]))
             kept = F.filter(matches(a, TERM), lambda m: ~cut(m) & ~inside(m))
-            return F.transform(kept, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + low).alias("start"), (m["end"] + low).alias("end")))
+            return F.array_distinct(F.transform(kept, lambda m: F.lower(m["value"])))
 
         return _bind(around, lambda a: F.struct(_entity(b).alias("entity"), F.xxhash64(F.regexp_replace(a, "[^\\p{L}]+", " ")).alias("context"), words(a).alias("terms")))
 
     near = F.when(F.size("base") > 0, F.transform(F.col("base"), mention)).otherwise(
-        F.array().cast("array<struct<entity:string,context:bigint,terms:array<struct<term:string,start:int,end:int>>>>")
+        F.array().cast("array<struct<entity:string,context:bigint,terms:array<string>>>")
     )
-    return rows.select(id_col, "key", "base", near.alias("near"))
+    outside = F.filter(matches(F.col("_t"), TERM), lambda m: ~F.exists(F.col("base"), lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])))
+    words = F.when(F.size("base") > 0, F.transform(outside, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))).otherwise(
+        F.array().cast("array<struct<term:string,start:int,end:int>>")
+    )
+    return rows.select(id_col, "key", "base", near.alias("near"), words.alias("words"))
 
 
 def risky_pairs(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
@@ -175,22 +182,30 @@ def risky_pairs(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure
     counts are taken over all documents and whole texts.
     """
     mentions = found.where(F.size("near") > 0).select("key", F.explode("near").alias("m")).select("key", "m.entity", "m.context", "m.terms")
-    pairs = mentions.select("key", "entity", "context", F.explode("terms").alias("t")).select("key", "entity", "context", F.col("t.term").alias("term"))
+    n = docs.count()
+    # a pair has no more contexts than its entity, and an entity of every document tells nothing
+    entities = mentions.groupBy("entity").agg(F.countDistinct("key").alias("df_e"), F.countDistinct("context").alias("contexts"))
+    entities = staged(entities.where((F.col("contexts") >= rule.support) & (F.col("df_e") < n)).select("entity", "df_e"), "entities")
+    mentions = mentions.join(entities.select("entity"), "entity", "left_semi")
+    near = mentions.select("entity", F.explode("terms").alias("term"), "key", F.col("context").alias("near"), F.lit(None).cast("bigint").alias("far"))
+    least = mentions.groupBy("key", "entity").agg(F.min("context").alias("far"))
+    whole = found.where(F.size("near") > 0).select("key", F.array_distinct(F.transform("words", lambda w: w["term"])).alias("terms"))
+    far = least.join(whole, "key").select("entity", F.explode("terms").alias("term"), "key", F.lit(None).cast("bigint").alias("near"), "far")
+    per_doc = near.unionByName(far).groupBy("entity", "term", "key").agg(F.collect_set("near").alias("near"), F.min("far").alias("far"))
+    pairs = per_doc.select("entity", "term", "key", F.explode(F.when(F.size("near") > 0, F.col("near")).otherwise(F.array("far"))).alias("context"))
     joint = pairs.groupBy("entity", "term").agg(F.countDistinct("key").alias("j"), F.countDistinct("context").alias("contexts"))
     joint = staged(joint.where(F.col("contexts") >= rule.support).select("entity", "term", "j"), "pairs")
     terms = staged(joint.select("term").distinct(), "terms")
     schema = "entity string, term string, disclosure double, action string"
     if not terms.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema)
-    entities = mentions.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     # counted before the join: what leaves a task is a row for each of its words, however frequent
     df_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(terms, "term", "left_semi")
-    n = docs.count()
     scored = joint.join(df_t, "term").join(entities, "entity")
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log(F.lit(float(n)) * F.col("j") / (F.col("df_t") * F.col("df_e")))
-    scored = scored.withColumn("disclosure", F.when(F.col("df_e") < n, pmi / ic).otherwise(F.lit(0.0)))
+    scored = scored.withColumn("disclosure", pmi / ic)
     action = F.when(F.col("disclosure") >= rule.remove, "removed").when(F.col("disclosure") >= rule.generalise, "generalised")
     return scored.withColumn("action", action).where("action is not null").select("entity", "term", "disclosure", "action")
 
@@ -202,12 +217,13 @@ def find_spans(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "
     """
     found = staged(find_base(docs, id_col, text_col), "personal")
     risky = staged(risky_pairs(docs, found, rule, text_col), "risky")
-    near = found.where(F.size("near") > 0).select("key", F.explode("near").alias("m")).select("key", "m.entity", F.explode("m.terms").alias("t"))
-    near = near.select("key", "entity", "t.*").distinct()
-    hits = near.join(risky, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
+    mentioned = found.select("key", F.array_distinct(F.transform("near", lambda m: m["entity"])).alias("e"), "words").select("key", F.explode("e").alias("entity"), "words")
+    mentioned = mentioned.join(risky.select("entity").distinct(), "entity", "left_semi")
+    spans = mentioned.select("key", "entity", F.explode("words").alias("t")).select("key", "entity", "t.*").distinct()
+    hits = spans.join(risky, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))
     more = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("more"))
     empty = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.drop("near").join(more, "key", "left").withColumn("more", F.coalesce("more", empty))
+    return found.drop("near", "words").join(more, "key", "left").withColumn("more", F.coalesce("more", empty))
 
 
 def all_spans() -> Column:

@@ -25,3 +25,16 @@ def test_contexts_are_counted_exactly(spark):
     rows = [(i, texts[i]) for i in same] + [(1000 + i, f"some other text of day {i}") for i in range(40)]
     found = {r.doc_id: r.more for r in personal_data.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all([texts[i][m.start : m.end] for m in found[i]] == ["zanzibar"] for i in same)
+
+
+def test_terms_far_from_the_mention(spark):
+    """A name that stands in all documents of an address, but far from it, is removed wherever it stands there."""
+    rng = random.Random(2)
+    filler = lambda n: " ".join(word(rng) for _ in range(n))
+    mail = [(i, f"boss@firm.example {filler(40)} zanzibar {filler(2)} zanzibar common") for i in range(4)]
+    mixed = [(10 + i, f"{filler(3)} quetzal {filler(1)} head@firm.example {filler(3)}") for i in range(3)] + [(20 + i, f"quetzal {filler(40)} head@firm.example {filler(3)}") for i in range(3)]
+    copies = [(30 + i, f"copy@firm.example {passage} yggdrasil") for i, passage in enumerate([filler(40)] * 4)]
+    rows = mail + mixed + copies + [(100 + i, f"{filler(12)} common") for i in range(60)]
+    text, found = dict(rows), {r.doc_id: r.more for r in personal_data.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {i: [text[i][m.start : m.end] for m in more] for i, more in found.items() if more}
+    assert got == {i: ["zanzibar"] * 2 for i, _ in mail} | {i: ["quetzal"] for i, _ in mixed}
