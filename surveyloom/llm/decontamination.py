@@ -11,15 +11,18 @@ word runs of the item's question (all but its last sentence) and answer (the
 last sentence; halves, if there is one sentence).
 
 The index covers at most ``pass_bytes`` of items. A larger benchmark takes
-several passes over the documents, a block of items each.
+several passes over the documents, a block of items each; counts, document
+frequencies, mean length and longest item are those of the whole benchmark.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -71,11 +74,34 @@ def overlap(part: list[str], passage: list[str], run: int) -> float:
     return len(grams & have) / len(grams)
 
 
+@dataclass(frozen=True)
+class ItemStats:
+    """Of all items with words: their number, document frequencies of words, mean length and greatest length."""
+
+    n: int
+    df: dict[str, int]
+    mean: float
+    longest: int
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> ItemStats:
+        n, total, longest, df = 0, 0, 1, Counter()
+        for words in map(words_of, texts):
+            if words:
+                n, total, longest = n + 1, total + len(words), max(longest, len(words))
+                df.update(set(words))
+        return cls(n, df, total / n if n else 1.0, longest)
+
+
 class ItemIndex:
-    """Postings of a block of items: for each term its items, weights (as shares of the item's own score) and block maxima."""
+    """Postings of a block of items: for each term its items, weights (as shares of the item's own score) and block maxima.
 
-    def __init__(self, items: list[tuple[int, str]], rule: LeakRule):
+    ``stats`` are those of all items; without them the block is all there is.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], rule: LeakRule, stats: ItemStats | None = None):
         self.rule = rule
+        stats = stats or ItemStats.of(t for _, t in items)
         self.items = [(i, t, w) for i, t in items if (w := words_of(t))]
         self.vocabulary: dict[str, int] = {}
         counts: list[dict[int, int]] = []
@@ -86,15 +112,12 @@ class ItemIndex:
                 tf[t] = tf.get(t, 0) + 1
             counts.append(tf)
         n = len(self.items)
-        df = np.zeros(len(self.vocabulary))
-        for tf in counts:
-            df[list(tf)] += 1
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for *_, w in self.items]) if n else 1.0
+        df = np.array([stats.df[w] for w in self.vocabulary], np.float64)
+        idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
         self.postings: list[list[int]] = [[] for _ in df]
         self.weights: list[list[float]] = [[] for _ in df]
         for j, tf in enumerate(counts):
-            norm = rule.k1 * (1 - rule.b + rule.b * len(self.items[j][2]) / mean)
+            norm = rule.k1 * (1 - rule.b + rule.b * len(self.items[j][2]) / stats.mean)
             w = {t: idf[t] * f * (rule.k1 + 1) / (f + norm) for t, f in tf.items()}
             whole = sum(w.values())
             for t, x in w.items():
@@ -110,7 +133,7 @@ class ItemIndex:
         for p, w in zip(self.postings, self.weights, strict=True):
             cuts = range(0, len(p), rule.block)
             self.blocks.append(([p[min(c + rule.block, len(p)) - 1] for c in cuts], [max(w[c : c + rule.block]) for c in cuts]))
-        self.longest = max((len(w) for *_, w in self.items), default=1)
+        self.longest = stats.longest
         self.parts = [question_and_answer(t) for _, t, _ in self.items]
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -144,7 +167,7 @@ class ItemIndex:
                     to = min(to, cursors[pivot + 1][0])
                 moved = cursors[: pivot + 1]
             elif cursors[0][0] == item:
-                score = sum(self.weights[t][at] for x, t, at in cursors[: pivot + 1] if x == item)
+                score = fsum(self.weights[t][at] for x, t, at in cursors[: pivot + 1] if x == item)  # the same in any order of terms
                 if score >= least:
                     out.append((item, score))
                 to, moved = item + 1, cursors[: pivot + 1]
@@ -219,6 +242,13 @@ def item_blocks(benchmark: DataFrame, rule: LeakRule, id_col: str = "item_id", t
     yield block
 
 
+def item_indexes(benchmark: DataFrame, rule: LeakRule, id_col: str = "item_id", text_col: str = "text") -> Iterator[ItemIndex]:
+    """An index for each block of items, all with the statistics of the whole benchmark."""
+    stats = ItemStats.of(row[0] for row in benchmark.where(F.col(text_col).isNotNull()).select(text_col).toLocalIterator())
+    for items in item_blocks(benchmark, rule, id_col, text_col):
+        yield ItemIndex(items, rule, stats)
+
+
 _ROWS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
@@ -231,8 +261,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     out = None
-    for items in item_blocks(benchmark, rule):
-        index = spark.sparkContext.broadcast(ItemIndex(items, rule))
+    for block in item_indexes(benchmark, rule):
+        index = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -251,8 +281,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(), text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a verified item; no shuffle."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    for items in item_blocks(benchmark, rule):
-        index = spark.sparkContext.broadcast(ItemIndex(items, rule))
+    for block in item_indexes(benchmark, rule):
+        index = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from surveyloom.llm import personal_data
+from surveyloom.llm import decontamination, personal_data
 
 SYLLABLES = "ka lo mi ru te so pa ne di vu".split()
 
@@ -38,3 +38,20 @@ def test_terms_far_from_the_mention(spark):
     text, found = dict(rows), {r.doc_id: r.more for r in personal_data.find_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     got = {i: [text[i][m.start : m.end] for m in more] for i, more in found.items() if more}
     assert got == {i: ["zanzibar"] * 2 for i, _ in mail} | {i: ["quetzal"] for i, _ in mixed}
+
+
+def test_items_in_passes_have_one_set_of_statistics(spark):
+    """Rows, scores included, do not depend on where the benchmark is cut into passes."""
+    rng = random.Random(3)
+    common, rare = [word(rng) for _ in range(12)], [word(rng) for _ in range(600)]
+    item = lambda n: " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n))
+    items = [(i, item(rng.randint(8, 40)) + ". " + item(6) + ".") for i in range(25)]
+
+    def damaged(text, share):
+        return " ".join(rng.choice(common) if w not in common and rng.random() < share else w for w in text.split())
+
+    rows = [(100 * k + i, item(rng.randint(0, 60)) + " " + damaged(t, k / 8) + " " + item(rng.randint(0, 60))) for i, t in items for k in range(6)]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda size: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontamination.find_leaks(df, bench, decontamination.LeakRule(pass_bytes=size)).collect())
+    whole = found(16 << 20)
+    assert whole and found(500) == whole and found(1) == whole
