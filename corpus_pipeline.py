@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from surveyloom.llm import decontamination, language_id, near_dup, personal_data, pieces
 from surveyloom.llm.shared import staged, table
 
-#: Documents below this language score are rejected; a clean short text scores above 0.3, noise about 1 / languages.
+#: Documents whose spans fit their languages less than this are rejected, however many languages they mix; a clean short text
+#: fits above 0.3, noise about 1 / languages.
 LEAST_SCORE = 0.3
 
 

@@ -173,10 +173,25 @@ def best_path(scores: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
+def _weights(totals: np.ndarray, n: int) -> np.ndarray:
+    """Shares of the languages by the sums of ``n`` words' scores."""
+    logits = totals * min(1.0, 20.0 / n)
+    weight = np.exp(logits - logits.max())
+    return weight / weight.sum()
+
+
 def label(texts: pa.Array, model: LanguageModel | None) -> list[tuple[str, float, list[dict]]]:
     """(language, score, spans) of each text; spans are {start, end, lang} over its words."""
+    return [(lang, score, spans) for lang, score, spans, _ in _fitted(texts, model)]
+
+
+def _fitted(texts: pa.Array, model: LanguageModel | None) -> list[tuple[str, float, list[dict], float]]:
+    """What ``label`` gives, and the fit: the mean over letters of how surely each span is of its own language.
+
+    A text of one span has its score; several languages in a text take nothing away.
+    """
     if model is None:
-        return [("und", 0.0, [])] * len(texts)
+        return [("und", 0.0, [], 0.0)] * len(texts)
     words = Words(texts, model.rule.bits)
     k = len(model.languages)
     score = np.zeros((words.n, k))
@@ -213,14 +228,13 @@ def label(texts: pa.Array, model: LanguageModel | None) -> list[tuple[str, float
     for i in range(n_docs):
         n = int(sizes[i])
         if not n_letters[i]:
-            out.append(("und", 0.0, []))
+            out.append(("und", 0.0, [], 0.0))
             continue
-        logits = totals[i] * min(1.0, 20.0 / n)
-        weight = np.exp(logits - logits.max())
-        weight /= weight.sum()
+        weight = _weights(totals[i], n)
         if gain[i] <= model.rule.switch / 2:
             lang, share = int(best[i]), 1.0
             spans = [{"start": 0, "end": n, "lang": model.languages[lang]}]
+            fit = weight[lang]
         else:
             at = slice(first[i], first[i] + n)
             path = best_path(s[at], model.rule.switch)
@@ -229,7 +243,8 @@ def label(texts: pa.Array, model: LanguageModel | None) -> list[tuple[str, float
             share = held[lang] / n_letters[i]
             cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), n]
             spans = [{"start": a, "end": b, "lang": model.languages[path[a]]} for a, b in zip(cut, cut[1:], strict=False)]
-        out.append((model.languages[lang], float(min(1.0, max(0.0, weight[lang] * share if lang == best[i] else share * 0.5))), spans))
+            fit = sum(_weights(s[at][a:b].sum(axis=0), b - a)[path[a]] * letters[at][a:b].sum() for a, b in zip(cut, cut[1:], strict=False)) / n_letters[i]
+        out.append((model.languages[lang], float(min(1.0, max(0.0, weight[lang] * share if lang == best[i] else share * 0.5))), spans, float(fit)))
     return out
 
 
@@ -258,14 +273,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
 
 
 def identified(docs: DataFrame, model: LanguageModel | None, least: float, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of no language (``und``) or of a score below ``least``; no shuffle."""
+    """``docs`` without the rows of no language (``und``) or whose spans fit their languages below ``least``; no shuffle."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 400):
                 part = batch.slice(i, 400)
-                yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in label(part.column(at), shared.value)], pa.bool_()))
+                yield part.filter(pa.array([lang != "und" and fit >= least for lang, _, _, fit in _fitted(part.column(at), shared.value)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

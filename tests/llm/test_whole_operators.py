@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontamination, personal_data
+import corpus_pipeline
+from surveyloom.llm import decontamination, language_id, personal_data
 
 SYLLABLES = "ka lo mi ru te so pa ne di vu".split()
 
@@ -55,3 +56,17 @@ def test_items_in_passes_have_one_set_of_statistics(spark):
     found = lambda size: sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontamination.find_leaks(df, bench, decontamination.LeakRule(pass_bytes=size)).collect())
     whole = found(16 << 20)
     assert whole and found(500) == whole and found(1) == whole
+
+
+def test_clean_mixed_documents_stay(spark):
+    """Documents of one to four languages in equal parts pass the pipeline's first stage; texts without letters do not."""
+    rng = random.Random(4)
+    letters = {"a": "bdgo", "b": "klmei", "c": "rstu", "d": "vwxyq"}
+    said = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(6)) for _ in range(n))
+    rows = [(i, said(lang, 60), lang) for i, lang in enumerate(["a", "b", "c", "d"] * 15)]
+    mixed = [(100 + 10 * k + j, "\n".join(said(lang, 40) for lang in rng.sample("abcd", k)), None) for k in (1, 2, 3, 4) for j in range(8)]
+    df = spark.createDataFrame(rows + mixed + [(900, "12345 !!", None)], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.languages(spark, df, "").collect()}
+    assert kept == {i for i, *_ in rows + mixed}
+    spans = {r.id: len(r.spans) for r in language_id.identify(df, language_id.train(df)).collect()}
+    assert all(spans[i] == (i - 100) // 10 for i, *_ in mixed)
