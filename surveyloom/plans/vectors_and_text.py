@@ -88,11 +88,18 @@ register(
 
 
 def _assembled(s, d):
+    """Own evidence: records of the target's label by cosine; where it is sparse, records of the labels of nearest centroid."""
     targets, rest = _targets(s, d)
-    both = targets.select(F.col("row_id").alias("target_id"), "label").join(rest.select(F.col("id").alias("record_id"), F.col("label").alias("own")), F.expr("record_id % 25 = target_id % 25 / 5"))
-    scored = both.withColumn("similarity", F.round(1.0 / (1 + F.abs(F.col("record_id") - F.col("target_id"))), 9))
-    own = ranking.top_n(scored.where("label = own"), ["target_id"], [F.desc("similarity"), F.col("record_id")], 3)
-    return vectors.assembled_evidence(own, scored.where("label <> own"), 4, 2).select("target_id", "record_id", "similarity", "origin")
+    targets = targets.select(F.col("row_id").alias("target_id"), "label", F.col("vector").cast("array<double>").alias("t"))
+    records = rest.select(F.col("label").alias("own"), F.col("id").alias("record_id"), F.col("vector").cast("array<double>").alias("v"))
+    scored = lambda both: both.withColumn("similarity", F.round(probs.cosine(F.col("v"), F.col("t")), 12)).drop("t", "v")
+    own = ranking.top_n(scored(targets.join(records, F.col("label") == F.col("own"))), ["target_id"], [F.desc("similarity"), F.col("record_id")], 3)
+    full = own.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    sparse = targets.join(full, "target_id", "left_anti")
+    profiles = vectors.centroids(rest, ["label"]).select(F.col("label").alias("id"), F.col("centroid").alias("vector"))
+    near = vectors.neighbours(profiles, profiles, 8).select(F.col("id").alias("label"), F.col("neighbour").alias("own"))
+    backfill = scored(sparse.join(near, "label").join(records, "own"))
+    return vectors.assembled_evidence(own, backfill, 4, 2).select("target_id", "record_id", F.round("similarity", 9).alias("similarity"), "origin")
 
 
 register("assembled_evidence", _assembled)

@@ -1,6 +1,7 @@
 """Queries do the whole job: caps, grids, replicates and candidates as the survey protocol has them."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from surveyloom.plans import catalogue
@@ -25,3 +26,28 @@ def test_buckets_up_to_200_are_whole(spark, name):
     keys = ["domain", "panel_id_a", "panel_id_b"]
     got = catalogue.QUERIES[name](spark, SF).select(*keys).collect()
     assert sorted(map(tuple, got)) == sorted(tuple(r[names.index(k)] for k in keys) for r in want)
+
+
+def test_own_evidence_comes_from_all_records(spark):
+    """No label is sparse here, so the rows are those of the search within the label."""
+    names, want = oracle(catalogue.ORACLES["query_evidence_topk"], ["embeddings"])
+    want = sorted((r[names.index("target_id")], r[names.index("question_key")]) for r in want)
+    got = catalogue.QUERIES["assembled_evidence"](spark, SF).collect()
+    assert sorted((r.target_id, r.record_id) for r in got) == want and {r.origin for r in got} == {"self"}
+
+
+def test_sparse_labels_take_evidence_of_their_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    vector, label = rng.normal(size=(120, 8)), [0 if i in (11, 20, 50) else 1 + i % 11 for i in range(120)]
+    rows = [(i, vector[i].tolist(), label[i]) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    records = [i for i in range(120) if i % 10]
+    profile = {k: vector[[i for i in records if label[i] == k]].mean(axis=0) for k in set(label)}
+    near = sorted(set(profile) - {0}, key=lambda k: -cos(profile[0], profile[k]))[:8]
+    want = set()
+    for t in (20, 50):
+        best = sorted((i for i in records if label[i] in near), key=lambda i: -cos(vector[t], vector[i]))[:3]
+        want |= {(t, 11, "self")} | {(t, i, "neighbour") for i in best}
+    got = catalogue.QUERIES["assembled_evidence"](spark, str(tmp_path)).where("target_id in (20, 50)").collect()
+    assert {(r.target_id, r.record_id, r.origin) for r in got} == want
