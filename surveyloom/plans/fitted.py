@@ -15,9 +15,9 @@ def _seen(s, d):
     return metrics.scored(runs(s, d).where("k = 5 and item_pool = 'seen'"))
 
 
-register("bootstrap_ci", lambda s, d: inference.paired_bootstrap(_seen(s, d), "mixed_seed1", "uniform", "nll", 200))
-register("crossed_bootstrap", lambda s, d: inference.crossed_bootstrap(_seen(s, d), "mixed_seed1", "uniform", "nll", 200))
-register("primary_family", lambda s, d: inference.primary_family(_seen(s, d), "mixed_seed1", ["mixed_seed2", "uniform"], "nll", replicates=200))
+register("bootstrap_ci", lambda s, d: inference.paired_bootstrap(_seen(s, d), "mixed_seed1", "uniform", "nll"))
+register("crossed_bootstrap", lambda s, d: inference.crossed_bootstrap(_seen(s, d), "mixed_seed1", "uniform", "nll"))
+register("primary_family", lambda s, d: inference.primary_family(_seen(s, d), "mixed_seed1", ["mixed_seed2", "uniform"], "nll"))
 
 
 def _cosine_of_documents(s, d):

@@ -109,9 +109,12 @@ register("mutual_information", lambda s, d: rounded(_information(s, d), 8), sql(
 
 
 def _cover(s, d):
-    scores = _information(s, d).where(F.col("t").startswith("BUILDING")).select(F.col("s").alias("item"), F.col("t").alias("target"), "score")
-    chosen = ranking.greedy_cover(scores, 4)
-    return s.createDataFrame([(i, item, round(gain, 8)) for i, (item, gain) in enumerate(chosen)], "step bigint, item string, gain double")
+    """Four items for the targets of each domain; an item's name has its domain."""
+    scores = _information(s, d).select(F.col("s").alias("item"), F.col("t").alias("target"), "score").cache()
+    domain = F.substring_index("target", "::", 1)
+    chosen = [(i, item, round(gain, 8)) for r in scores.select(domain.alias("d")).distinct().orderBy("d").collect() for i, (item, gain) in enumerate(ranking.greedy_cover(scores.where(domain == r["d"]), 4))]
+    scores.unpersist()
+    return s.createDataFrame(chosen, "step bigint, item string, gain double")
 
 
 register("greedy_cover", _cover)

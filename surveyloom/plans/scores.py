@@ -290,11 +290,13 @@ register(
 
 
 def _temperature(s, d):
-    rows = predictions(s, d).where("item_pool = 'seen'").withColumn("temperature", F.explode(F.array(*[F.lit(x) for x in GRID])))
+    rows = predictions(s, d).where("item_pool = 'seen'").withColumn("temperature", F.explode(F.array(*[F.lit(x) for x in TEMPERATURES])))
     losses = rows.select("domain", "temperature", probs.nll(probs.temper(F.col("p"), F.col("temperature")), F.col("answer_index")).alias("nll")).groupBy("domain", "temperature").agg(F.round(F.avg("nll"), 9).alias("nll"))
     return losses.groupBy("domain").agg(F.min_by("temperature", F.struct("nll", "temperature")).alias("temperature"), F.min("nll").alias("nll"))
 
 
+#: The protocol's grid: 25 log-spaced points from 0.25 to 4. The SQL has the five of GRID.
+TEMPERATURES = [0.25 * 16 ** (i / 24) for i in range(25)]
 GRID = [0.25, 0.5, 1.0, 2.0, 4.0]
 register(
     "temperature_grid",
@@ -308,7 +310,7 @@ register(
 
 
 def _lambda(s, d):
-    rows = predictions(s, d).where("item_pool = 'seen'").withColumn("share", F.explode(F.array(*[F.lit(i / 20) for i in range(21)])))
+    rows = predictions(s, d).where("item_pool = 'seen'").withColumn("share", F.explode(F.array(*[F.lit(i / 100) for i in range(101)])))
     u = F.transform("p", lambda _: F.lit(0.2))
     losses = rows.select("share", probs.nll(probs.log_pool(F.col("p"), u, F.col("share")), F.col("answer_index")).alias("nll")).groupBy("share").agg(F.round(F.avg("nll"), 9).alias("nll"))
     return losses.agg(F.min_by("share", F.struct("nll", "share")).alias("share"), F.min("nll").alias("nll"))

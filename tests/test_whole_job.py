@@ -51,3 +51,48 @@ def test_sparse_labels_take_evidence_of_their_neighbours(spark, tmp_path):
         want |= {(t, 11, "self")} | {(t, i, "neighbour") for i in best}
     got = catalogue.QUERIES["assembled_evidence"](spark, str(tmp_path)).where("target_id in (20, 50)").collect()
     assert {(r.target_id, r.record_id, r.origin) for r in got} == want
+
+
+def test_searches_use_the_whole_grid(spark):
+    """The registered SQL has coarser grids; here it runs with those of the protocol."""
+    text = catalogue.ORACLES["temperature_grid"]
+    coarse, fine = "[0.25, 0.5, 1.0, 2.0, 4.0]", str(np.geomspace(0.25, 4.0, 25).tolist())
+    assert text.count(coarse) == 1
+    names, want = oracle(text.replace(coarse, fine), ["customer", "nation", "orders"])
+    got = {r.domain: (r.temperature, r.nll) for r in catalogue.QUERIES["temperature_grid"](spark, SF).collect()}
+    assert got == {r[names.index("domain")]: (pytest.approx(r[names.index("temperature")]), pytest.approx(r[names.index("nll")])) for r in want}
+    text = catalogue.ORACLES["lambda_grid"]
+    assert text.count("unnest(range(21)) / 20.0") == 1
+    names, want = oracle(text.replace("unnest(range(21)) / 20.0", "unnest(range(101)) / 100.0"), ["customer", "nation", "orders"])
+    got = catalogue.QUERIES["lambda_grid"](spark, SF).first()
+    assert (got.share, got.nll) == (pytest.approx(want[0][names.index("share")]), pytest.approx(want[0][names.index("nll")]))
+
+
+def test_cover_has_the_items_of_every_domain(spark):
+    rows = catalogue.QUERIES["greedy_cover"](spark, SF).collect()
+    assert len({r["item"].split("::")[0] for r in rows}) == 5 and len(rows) == 20
+
+
+def test_bootstraps_draw_2000_times(spark, monkeypatch):
+    from surveyloom.operators import inference
+
+    seen = []
+    for name, at in (("bootstrap", 5), ("crossed_bootstrap", 4)):
+        real = getattr(inference, name)
+        monkeypatch.setattr(inference, name, lambda *a, real=real, at=at, **k: seen.append(a[at] if len(a) > at else k.get("replicates", 2000)) or real(*a, **k))
+    for name in ("bootstrap_ci", "crossed_bootstrap", "primary_family"):
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [2000] * 4
+
+
+def test_optima_between_the_coarse_points_are_found(spark, monkeypatch):
+    from surveyloom.plans import scores
+
+    rows = [("d", "seen", [0.9, 0.025, 0.025, 0.025, 0.025], 0 if i < 7 else 1 + i % 4) for i in range(10)]
+    monkeypatch.setattr(scores, "predictions", lambda s, d: s.createDataFrame(rows, "domain string, item_pool string, p array<double>, answer_index int"))
+    loss = lambda q: -0.7 * np.log(q[0] / q.sum()) - 0.3 * np.log(q[1] / q.sum())
+    p = np.array(rows[0][2])
+    best = min(np.geomspace(0.25, 4.0, 25), key=lambda t: loss(p ** (1 / t)))
+    assert catalogue.QUERIES["temperature_grid"](spark, "").first().temperature == pytest.approx(best)
+    best = min(np.linspace(0.0, 1.0, 101), key=lambda x: loss(p ** (1 - x) * 0.2**x))
+    assert catalogue.QUERIES["lambda_grid"](spark, "").first().share == pytest.approx(best)
