@@ -195,13 +195,13 @@ def risky_pairs(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure
     pairs = per_doc.select("entity", "term", "key", F.explode(F.when(F.size("near") > 0, F.col("near")).otherwise(F.array("far"))).alias("context"))
     joint = pairs.groupBy("entity", "term").agg(F.countDistinct("key").alias("j"), F.countDistinct("context").alias("contexts"))
     joint = staged(joint.where(F.col("contexts") >= rule.support).select("entity", "term", "j"), "pairs")
-    terms = staged(joint.select("term").distinct(), "terms")
     schema = "entity string, term string, disclosure double, action string"
-    if not terms.limit(1).count():
+    if not joint.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema)
     words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    # counted before the join: what leaves a task is a row for each of its words, however frequent
-    df_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(terms, "term", "left_semi")
+    # counted before the inner join, which unlike a semi join is not pushed below the counts: what leaves a task is a row
+    # for each of its words, however frequent
+    df_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     scored = joint.join(df_t, "term").join(entities, "entity")
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log(F.lit(float(n)) * F.col("j") / (F.col("df_t") * F.col("df_e")))
