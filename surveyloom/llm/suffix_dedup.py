@@ -1,13 +1,13 @@
-"""Substring deduplication by bytes: suffixes in order, and each one's longest earlier match.
+"""Substring deduplication by bytes: longest previous factors from the order of suffixes.
 
 Equal 50-byte strings are first brought together by minimiser (superkmers).
-Within a bucket, suffixes whose first 50 bytes have a hash of their own cannot
-be copies and are left out. The others are sorted by prefix doubling (8, 16, 32
-bytes, then two overlapping 32-byte ranks for 50), ties by document. In that order every suffix's longest earlier match is
-the larger of its common prefixes with the previous and the next suffix of a
-smaller document. Only matches of 50 bytes or more count, so prefixes are cut
-at 50: suffixes with equal cut prefixes stand together, smallest document
-first, and the previous smaller suffix lies among them or the match is shorter.
+Within a part of a bucket, suffixes whose first 50 bytes share their hash with
+no other document cannot match and are left out. The others are put in suffix
+order by prefix doubling (4, 8, 16, 32 bytes, then two overlapping 32-byte ranks
+for 50). In that order a suffix's longest earlier match is the longer one of its
+common prefixes with the previous and the next suffix of a smaller document.
+Only matches of 50 bytes or more remove anything, so suffixes are ordered by 50
+bytes, and a smaller neighbour counts if nothing between shares less.
 """
 
 from __future__ import annotations
@@ -22,54 +22,88 @@ from pyspark.sql import DataFrame, SparkSession
 from surveyloom.llm import superkmers as sk
 from surveyloom.llm.shared import table
 
+U = np.uint64
 WINDOW = 50
 GRAM = 8
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """Positions of a text in the order of their suffixes, by prefix doubling."""
-    rank = np.frombuffer(text, np.uint8).astype(np.int64)
-    n, k = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    while n:
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - k)] = rank[k:]
-        order = np.lexsort((second, rank))
-        step = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        ranks = np.concatenate([[0], np.cumsum(step)])
-        rank = np.empty(n, np.int64)
-        rank[order] = ranks
-        if ranks[-1] == n - 1:
-            break
-        k *= 2
-    return order
-
-
-def longest_previous_factors(text: bytes) -> np.ndarray:
-    """For every position, the length of the longest match that starts earlier in the text.
-
-    Walks the suffix order once, with the previous and the next smaller
-    position of each suffix; common prefixes come from the order's neighbours.
+def _ranked(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether each in order differs from the one before) of keys of ``bits`` bits; ties keep their order."""
+    n = len(keys)
+    low = max(1, n.bit_length())
+    if bits + low <= 64:  # key and index fit one number: sorting numbers is far cheaper than sorting indices
+        both = np.sort(keys << U(low) | np.arange(n, dtype=U))
+        order, keys = (both & U((1 << low) - 1)).astype(np.int64), both >> U(low)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    new = np.ones(n, bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return order, new
+
+
+def suffix_order(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start ``at``, in the order of their first ``window`` (32 to 64) bytes, by prefix doubling.
+
+    Ties keep the order of ``at``. The second array says where fewer than
+    ``window`` bytes are shared with the suffix before. ``at + window`` lies
+    within the text.
+    """
+    rank = np.zeros(max(len(text) - 3, 0), U)
+    for j in range(4):
+        rank = rank << U(8) | text[j : j + len(rank)]
+    bits = 32
+    for k in (4, 8, 16, 32):
+        order, new = _ranked(rank, bits)
+        number = (np.cumsum(new) - 1).astype(U)
+        rank = np.empty(len(order), U)
+        rank[order] = number
+        width = max(1, int(number[-1]).bit_length()) if len(number) else 1
+        step = k if k < 32 else window - 32
+        if k == 32:
+            return _ranked(rank[at] << U(width) | rank[at + step], 2 * width)
+        rank = rank[: len(rank) - step] << U(width) | rank[step:]
+        bits = 2 * width
+    raise AssertionError
+
+
+def previous_smaller(value: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """For each place the nearest earlier one of smaller value in its segment (first places flagged), or -1.
+
+    All that lies between a place and its pointer is at least as large as its
+    own value, so a pointer may follow the pointer of where it points.
+    """
+    to = np.arange(-1, len(value) - 1)
+    to[segment] = -1
+    open_ = np.flatnonzero(to >= 0)
+    while len(open_ := open_[value[to[open_]] >= value[open_]]):
+        to[open_] = to[to[open_]]
+        open_ = open_[to[open_] >= 0]
+    return to
+
+
+def next_smaller(value: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """As previous_smaller, towards the end; len(value) if there is none."""
+    last = np.append(segment[1:], True)
+    return len(value) - 1 - previous_smaller(value[::-1], last[::-1])[::-1]
+
+
+def longest_previous(text: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """For every suffix, the length of its longest match in a smaller document, cut at ``window``; shorter ones count as 0.
+
+    ``owner`` is the document of each suffix. The longest earlier match of a
+    suffix is the longer one of its common prefixes with the previous and the
+    next suffix of a smaller document in suffix order.
     """
-    order, n = suffix_array(text), len(text)
-    lpf = np.zeros(n, np.int64)
-
-    def common(a: int, b: int, known: int = 0) -> int:
-        while a + known < n and b + known < n and text[a + known] == text[b + known]:
-            known += 1
-        return known
-
-    stack: list[tuple[int, int]] = []  # (position, prefix shared with the entry below)
-    for p in [*order.tolist(), -1]:
-        shared = common(stack[-1][0], p) if stack and p >= 0 else 0
-        while stack and p < stack[-1][0]:
-            top, below = stack.pop()
-            lpf[top] = max(lpf[top], below, shared)
-            shared = min(shared, below)
-        if p >= 0:
-            stack.append((p, shared))
-            lpf[p] = max(lpf[p], shared)
-    return lpf
+    order, apart = suffix_order(text, at, window)
+    value = owner[order]
+    found = previous_smaller(value, apart) >= 0
+    # ties come in the order of the documents if ``at`` does; then no smaller document follows in a segment
+    if ((value[1:] < value[:-1]) & ~apart[1:]).any():
+        found |= next_smaller(value, apart) < len(value)
+    length = np.zeros(len(at), np.int64)
+    length[order[found]] = window
+    return length
 
 
 def runs_of_block(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
@@ -78,11 +112,11 @@ def runs_of_block(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window
     empty = [np.zeros(0, np.int64)] * 7 + [data[:0]]
     if n < window:
         return empty
-    # hashes of GRAM bytes by doubling: 1, 2, 4, 8
-    h = data.astype(np.uint64) + np.uint64(1)
+    # GRAM bytes as numbers by doubling: 1, 2, 4, 8; then hashed
+    h = data.astype(U)
     for k in (1, 2, 4):
-        h = sk.mix(h[:-k] * np.uint64(0x9E3779B97F4A7C15) + h[k:])
-    grams, m = h, n - GRAM + 1
+        h = h[:-k] << U(8 * k) | h[k:]
+    grams, m = sk.mix(h), n - GRAM + 1
     bits = max(20, n.bit_length())
     mask = np.uint64((1 << bits) - 1)
     least = (sk.least_in_windows((grams & ~mask) | np.arange(m, dtype=np.uint64), window - GRAM + 1) & mask).astype(np.int64)
@@ -99,24 +133,34 @@ def runs_of_block(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, window
     return doc, start - offsets[doc], windows, start, start + windows + window - 1, gram, least[start] - start, data
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+def _shared(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of the hashes that several owners have (high bits of the hash decide: a few more may come along)."""
+    low = max(1, len(h).bit_length())
+    mask = U((1 << low) - 1)
+    both = np.sort((h & ~mask) | np.arange(len(h), dtype=U))
+    new = np.ones(len(h) + 1, bool)
+    new[1:-1] = (both[1:] ^ both[:-1]) > mask
+    many = ~(new[:-1] & new[1:])
+    place, first = (both[many] & mask).astype(np.int64), np.flatnonzero(new[:-1][many])
+    if not len(place):
+        return place
+    who = owner[place]
+    several = np.minimum.reduceat(who, first) < np.maximum.reduceat(who, first)
+    return np.sort(place[np.repeat(several, np.diff(np.append(first, len(place))))])
 
 
 def _copies(ids, keys, start, windows, lengths, data, window: int):
-    """Ranges of bytes covered by strings that start in a smaller document; records ascending by id."""
+    """Ranges of bytes covered by strings that start in a smaller document; records ascending by id.
+
+    Only suffixes whose first ``window`` bytes have a hash in common with
+    another document enter the suffix order; the others have no match of
+    that length.
+    """
     low, windows = np.cumsum(lengths) - lengths, windows.astype(np.int64)
     rec = np.repeat(np.arange(len(ids), dtype=np.int32), windows)
     at = np.repeat(low - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    h = sk.range_hashes(data, at, at + window)
-    order = np.argsort(h)
-    new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    # hashes that several documents have
-    first = np.flatnonzero(new)
-    owner = ids[rec[order]]
-    several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
-    keep = np.sort(order[np.repeat(several, np.diff(np.append(first, len(h))))])
+    owner = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0, dtype=np.int32)
+    keep = _shared(sk.range_hashes(data, at, at + window), owner[rec])
     if not len(keep):
         return None
     at, rec = at[keep], rec[keep]
@@ -129,19 +173,7 @@ def _copies(ids, keys, start, windows, lengths, data, window: int):
     text = sk.gather(data, at[head], size)
     stretch = np.cumsum(begins) - 1
     place = at - at[head][stretch] + (np.cumsum(size) - size)[stretch]
-    padded = np.concatenate([text, np.zeros(window, np.uint8)])
-    eight = np.zeros(len(text) + window - 7, np.uint64)
-    for j in range(8):
-        eight = (eight << np.uint64(8)) | padded[j : j + len(eight)]
-    rank = _ranks(eight)
-    for k in (8, 16):
-        rank = _ranks(rank[:-k] << 32 | rank[k:])
-    suffix = rank[place] << 32 | rank[place + window - 32]
-    order = np.argsort(suffix, kind="stable")
-    run = np.cumsum(np.diff(suffix[order], prepend=-1) != 0) - 1
-    previous = np.empty(len(order), np.int64)
-    previous[order] = order[np.flatnonzero(np.diff(run, prepend=-1))][run]
-    dup = np.flatnonzero(ids[rec] > ids[rec[previous]])
+    dup = np.flatnonzero(longest_previous(text, place, owner[rec], window) >= window)
     if not len(dup):
         return None
     r = rec[dup]

@@ -105,20 +105,24 @@ def test_large_buckets_take_turns(monkeypatch, module):
         assert covered() == whole
 
 
-def test_longest_previous_factors():
+def test_longest_previous():
+    """Factors against brute force, in any order of the documents; smaller neighbours against a scan."""
+    import numpy as np
+
     rng = random.Random(1)
-    for n in (0, 1, 5, 60):
-        text = bytes(rng.choice(b"ab") for _ in range(n))
-        want = []
-        for i in range(n):
-            best = 0
-            for j in range(i):
-                k = 0
-                while i + k < n and text[j + k] == text[i + k]:
-                    k += 1
-                best = max(best, k)
-            want.append(best)
-        assert suffix_dedup.longest_previous_factors(text).tolist() == want
+    for n in (60, 300, 900):
+        text = bytes(rng.choice(b"ab") for _ in range(20)) * (n // 20) + bytes(rng.choice(b"ab") for _ in range(n))
+        for owners in (sorted, lambda x: rng.sample(x, len(x))):
+            at = np.arange(len(text) - 40)
+            owner = np.array(owners([rng.randint(0, 5) for _ in at]), np.int32)
+            least = {}
+            for p, o in zip(at, owner, strict=True):
+                least[text[p : p + 40]] = min(least.get(text[p : p + 40], 9), o)
+            want = [40 * (least[text[p : p + 40]] < o) for p, o in zip(at, owner, strict=True)]
+            assert suffix_dedup.longest_previous(np.frombuffer(text, np.uint8), at, owner, 40).tolist() == want
+    value, first = np.array([3, 1, 1, 2, 0, 5, 5, 4, 4, 6]), np.array([1, 0, 0, 0, 0, 1, 0, 0, 0, 0], bool)
+    assert suffix_dedup.previous_smaller(value, first).tolist() == [-1, -1, -1, 2, -1, -1, -1, -1, -1, 8]
+    assert suffix_dedup.next_smaller(value, first).tolist() == [1, 4, 4, 4, 10, 7, 7, 10, 10, 10]
 
 
 @pytest.mark.parametrize("rule", [near_dup.CONTRACT, near_dup.NearDup()])
