@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +90,8 @@ _SIG_DDL = "id bigint, n bigint, lo bigint, hi bigint, sig binary"
 _SIG = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("sig", pa.binary())])
 
 
-def signatures(docs: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, set size, a 128-bit digest of the set, and the signature (k bytes; empty for empty sets)."""
+def signatures(docs: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Per row: id, set size, a 128-bit digest of the set, the signature (k bytes; empty for empty sets), and the text ``t`` if asked for."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lit(0).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +112,12 @@ def signatures(docs: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col:
                         sig[some, j] = (sk.mix(np.minimum.reduceat(h * a[j], cut)) >> np.uint64(56)).astype(np.uint8)
                 sigs = [sig[i].tobytes() if n[i] else b"" for i in range(len(rows))]
                 ids = batch.column(0).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(sigs, pa.binary())], schema=_SIG)
+                out = pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(sigs, pa.binary())], schema=_SIG)
+                if keep_text:
+                    out = pa.RecordBatch.from_arrays([*out.columns, batch.column(2).take(pa.array(rows)).cast(pa.binary())], names=[*_SIG.names, "t"])
+                yield out
 
-    return source.mapInArrow(sign, _SIG_DDL)
+    return source.mapInArrow(sign, _SIG_DDL + (", t binary" if keep_text else ""))
 
 
 def index_keys(sigs: np.ndarray, rule: NearDup) -> np.ndarray:
@@ -251,14 +254,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: NearDup) -> DataFrame:
     return rows.mapInArrow(lambda b: _confirm(b, rule), "a bigint, b bigint")
 
 
-def first_slots(one: np.ndarray, others: np.ndarray, rule: NearDup) -> np.ndarray:
-    """The first key (its number in index_keys) that a signature shares with each of the others; -1 if none."""
-    out, offset = np.full(len(others), -1, np.int64), 0
+def first_slots(differs: np.ndarray, rule: NearDup) -> np.ndarray:
+    """For rows of symbol-wise differences, the first key (its number in index_keys) that the two share; -1 if none."""
+    out, offset = np.full(len(differs), -1, np.int64), 0
     for part in np.array_split(np.arange(rule.k), rule.chunks):
         holes = [sum(1 << x for x in h) for h in combinations(range(len(part)), min(rule.holes, len(part) - 1))]
         covers = np.array([next((i for i, h in enumerate(holes) if mask & ~h == 0), -1) for mask in range(1 << len(part))])
-        mask = (others[:, part] != one[part]) @ (1 << np.arange(len(part)))
-        found = covers[mask]
+        found = covers[differs[:, part] @ (1 << np.arange(len(part)))]
         out = np.where((out < 0) & (found >= 0), found + offset, out)
         offset += len(holes)
     return out
@@ -283,23 +285,39 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _small_keys(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.RecordBatch]:
-    """Rows (key; slot, id, comp, sig): pairs of different components within the distance that share no earlier key."""
-    out: list[tuple[int, int]] = []
-    for _, held in groups_of(batches, 1):
-        held.sort(key=lambda r: r[1])
-        sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), rule.k)
-        comp = np.array([r[2] for r in held])
-        for p in range(len(held) - 1):
-            q = p + 1 + np.flatnonzero((comp[p + 1 :] != comp[p]) & ((sigs[p + 1 :] != sigs[p]).sum(axis=1) <= rule.distance))
-            if len(q):
-                q = q[first_slots(sigs[p], sigs[q], rule) == held[p][0]]
-                out += [(held[p][1], held[x][1]) for x in q.tolist()]
-        if len(out) >= 5000:
-            yield _pairs(out)
-            out = []
-    if out:
-        yield _pairs(out)
+def _small_keys(batches: Iterator[pa.RecordBatch], rule: NearDup, step: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Rows (key; slot, id, comp, sig) sorted by key: pairs of different components within the distance that share no earlier key."""
+    rest = None  # rows of the last key, which may go on in the next batch
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not len(batch):
+                continue
+            sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(batch), rule.k)
+            held = [*(batch.column(i).to_numpy() for i in range(4)), sigs]
+            if rest is not None:
+                held = [np.concatenate(x) for x in zip(rest, held, strict=True)]
+            other = np.flatnonzero(held[0] != held[0][-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+        elif rest is None:
+            return
+        else:
+            held, cut = rest, len(rest[0])
+        rest = [x[cut:] for x in held]
+        key, slot, ids, comp, sigs = (x[:cut] for x in held)
+        for apart in range(1, SMALL):
+            if len(key) <= apart:
+                break
+            every = np.flatnonzero((key[apart:] == key[:-apart]) & (comp[apart:] != comp[:-apart]))
+            if not len(every):
+                continue
+            for i in range(0, len(every), step):
+                x = every[i : i + step]
+                differs = sigs[x] != sigs[x + apart]
+                near = np.flatnonzero(differs.sum(axis=1) <= rule.distance)
+                near = near[first_slots(differs[near], rule) == slot[x[near]]]
+                if len(near):
+                    one, two = ids[x[near]], ids[x[near] + apart]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
 
 def _clusters(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.RecordBatch]:
@@ -346,7 +364,7 @@ def remaining_links(members: DataFrame, roots: DataFrame, sigs: DataFrame, texts
     mixed = staged(known.join(several, "key"), "mixed")
     small = mixed.where(F.col("n") <= SMALL).join(sigs, "id").select("key", "slot", "id", "comp", "sig")
     small = small.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda b: _small_keys(b, rule), "a bigint, b bigint")
-    links = confirmed(small.join(tested, ["a", "b"], "left_anti"), texts, rule)
+    links = confirmed(staged(small.join(tested, ["a", "b"], "left_anti"), "small"), texts, rule)
     large = mixed.where(F.col("n") > SMALL)
     if not large.limit(1).count():
         return links
@@ -360,44 +378,69 @@ def remaining_links(members: DataFrame, roots: DataFrame, sigs: DataFrame, texts
     return links.unionByName(rows.mapInArrow(lambda b: _clusters(b, rule), "a bigint, b bigint"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A number for each different (id, set), ascending with the id: id, n, lo, hi, v."""
+    each = rows.where("n > 0 and id is not null").select("id", "n", "lo", "hi").distinct()
+    each = each.repartitionByRange(n_partitions(rows.sparkSession), "id", "n", "lo", "hi").sortWithinPartitions("id", "n", "lo", "hi")
+    return staged(each.withColumn("v", F.monotonically_increasing_id()), "numbers")
+
+
 def near_duplicates(docs: DataFrame, rule: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, set size ``n``, ``root`` (least id of the component) and ``kept``.
 
     Null and empty texts have the empty set and are linked with nothing. Rows
-    of one id count as one document. Rows of null id are linked with nothing
-    and kept. An empty table gives no rows; other columns are not read.
+    of one id count as one document, whatever their texts: their sets are told
+    apart by a number and linked with one another. Rows of null id are linked
+    with nothing and kept. An empty table gives no rows; other columns are not
+    read.
     """
     spark = docs.sparkSession
     rows = staged(signatures(docs, rule, id_col, text_col), "signatures")
-    classes = rows.where("n > 0 and id is not null").groupBy("n", "lo", "hi").agg(F.min(F.struct("id", "sig")).alias("m"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    filled = rows.where("n > 0 and id is not null")
+    repeated = filled.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    if not repeated:
+        roots = _roots(filled, texts, None, rule)
+    else:
+        number = _numbered(rows)
+        sets = signatures(docs, rule, id_col, text_col, keep_text=True).join(number, ["id", "n", "lo", "hi"])
+        numbered_texts = staged(sets.select(F.col("v").alias("id"), "t").dropDuplicates(["id"]), "texts")
+        firsts = number.groupBy("id").agg(F.min("v").alias("a"))
+        same = number.join(firsts, "id").select("a", F.col("v").alias("b")).where("a <> b")
+        roots = _roots(filled.join(number, ["id", "n", "lo", "hi"]).drop("id").withColumnRenamed("v", "id"), numbered_texts, same, rule)
+        back = number.select(F.col("v").alias("root"), F.col("id").alias("least"))
+        roots = roots.join(back, "root").select("n", "lo", "hi", F.col("least").alias("root"))
+    named = rows.where("id is not null").drop("sig").join(roots, ["n", "lo", "hi"], "left").select("id", "n", F.coalesce("root", "id").alias("root"))
+    out = named.unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("root")))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("root"), F.lit(True))).withColumnRenamed("id", id_col)
+
+
+def _roots(rows: DataFrame, texts: DataFrame, same: DataFrame | None, rule: NearDup) -> DataFrame:
+    """(n, lo, hi, root) for each set: the least id of its component. An id has one set and one text; ``same`` are links that hold anyway."""
+    spark = rows.sparkSession
+    classes = rows.groupBy("n", "lo", "hi").agg(F.min(F.struct("id", "sig")).alias("m"))
     classes = staged(classes.select("n", "lo", "hi", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig")), "classes")
-    sigs = classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"])
-    keys = classes.select(F.col("rep").alias("id"), "sig").mapInArrow(lambda b: _index(b, rule), "key bigint, id bigint, slot int")
+    sigs = classes.select(F.col("rep").alias("id"), "sig")
+    keys = sigs.mapInArrow(lambda b: _index(b, rule), "key bigint, id bigint, slot int")
     keys = keys.repartition(n_partitions(spark), "key").sortWithinPartitions("key", "id")
     members = staged(keys.mapInArrow(_shared, "key bigint, id bigint, center bigint, slot int"), "members")
-    ids = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    texts = staged(texts.join(ids, "id", "left_semi"), "texts")
+    texts = staged(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     candidates = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     sig_a, sig_b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     candidates = candidates.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb")
     tested = staged(candidates.mapInArrow(lambda b: _within(b, rule), "a bigint, b bigint"), "tested")
-    links = staged(confirmed(tested, texts, rule), "links")
+    links = confirmed(tested, texts, rule)
+    if same is not None:
+        reps = rows.join(classes.drop("sig"), ["n", "lo", "hi"]).select(F.col("id").alias("v"), "rep")
+        known = same.join(reps.select(F.col("v").alias("a"), F.col("rep").alias("ra")).distinct(), "a").join(reps.select(F.col("v").alias("b"), F.col("rep").alias("rb")).distinct(), "b")
+        links = links.unionByName(known.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b"))
+    links = staged(links, "links")
     roots = staged(components(links), "components")
-    several = rows.where("n > 0 and id is not null").groupBy("id").agg(F.countDistinct("n", "lo", "hi").alias("c")).where("c > 1").select("id")
-    if several.limit(1).count():  # rows of one id and different texts: their sets are linked
-        held = rows.join(several, "id", "left_semi").join(classes.drop("sig"), ["n", "lo", "hi"]).select("id", "rep").distinct()
-        same = held.groupBy("id").agg(F.min("rep").alias("a")).join(held, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-        links = staged(links.unionByName(same), "links")
-        roots = staged(components(links), "components")
     more = staged(remaining_links(members, roots, sigs, texts, tested, rule), "links")
     if more.limit(1).count():
         roots = staged(components(links.unionByName(more)), "components")
-    comp = classes.select("n", "lo", "hi", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n", "lo", "hi", F.coalesce("root", "rep").alias("root"))
-    named = rows.where("id is not null").drop("sig").join(comp, ["n", "lo", "hi"], "left").select("id", "n", F.coalesce("root", "id").alias("root"))
-    out = named.unionByName(rows.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("root")))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("root"), F.lit(True))).withColumnRenamed("id", id_col)
+    return classes.select("n", "lo", "hi", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n", "lo", "hi", F.coalesce("root", "rep").alias("root"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,47 @@ def test_near_dup_group(spark):
     assert got == group
 
 
+def test_near_dup_texts_of_one_id(spark):
+    """An id with several texts is one document with the links of all of them, in any order of the rows."""
+    rng = random.Random(12)
+    one, two = words(rng, 120, 400), words(rng, 120, 400)
+    edited = two.split()
+    for p in (10, 60, 110):
+        edited[p] = "edited"
+    rows = [(5, one), (5, two), (9, " ".join(edited)), (12, one + " tail"), (13, words(rng, 80, 400)), (7, two)]
+    for turn in range(3):
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id bigint, text string").repartition(turn + 1)
+        got = {(r.doc_id, r.root, r.kept) for r in near_dup.near_duplicates(df, near_dup.CONTRACT).collect()}
+        assert got == {(5, 5, True), (9, 5, False), (12, 5, False), (7, 5, False), (13, 13, True)}
+
+
+def test_small_keys_over_batches():
+    """Pairs of small keys equal brute force however the rows are cut into batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    rule, rng = near_dup.CONTRACT, np.random.default_rng(3)
+    base = rng.integers(0, 256, (20, rule.k), dtype=np.uint8)
+    sigs = np.repeat(base, 5, axis=0)
+    for row in sigs:
+        row[rng.choice(rule.k, rng.integers(0, 14), replace=False)] ^= 1
+    keys = near_dup.index_keys(sigs, rule).view(np.int64)
+    rows = sorted((int(k), s, i) for i, row in enumerate(keys) for s, k in enumerate(row))
+    counts = {}
+    for k, _, _ in rows:
+        counts[k] = counts.get(k, 0) + 1
+    rows = [r for r in rows if counts[r[0]] > 1]
+    comp = rng.integers(0, 60, len(sigs))
+    want = {(i, j) for i in range(len(sigs)) for j in range(i) if comp[i] != comp[j] and (sigs[i] != sigs[j]).sum() <= rule.distance}
+    for size in (1, 7, 1000000):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part]), pa.array([int(comp[r[2]]) for r in part]), pa.array([sigs[r[2]].tobytes() for r in part], pa.binary())], names=["key", "slot", "id", "comp", "sig"])
+            for part in (rows[i : i + size] for i in range(0, len(rows), size))
+        ]
+        got = [(b, a) for out in near_dup._small_keys(iter(batches), rule) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_signature_distance_is_guaranteed():
     """Every pair of signatures within the distance shares a key, and the first shared one is found."""
     import numpy as np
@@ -180,7 +221,7 @@ def test_signature_distance_is_guaranteed():
     ka, kb = near_dup.index_keys(a, rule), near_dup.index_keys(b, rule)
     for i in range(len(a)):
         shared = np.flatnonzero(ka[i] == kb[i])
-        assert len(shared) and near_dup.first_slots(a[i], b[i : i + 1], rule)[0] == shared[0]
+        assert len(shared) and near_dup.first_slots((a != b)[i : i + 1], rule)[0] == shared[0]
 
 
 def test_fingerprints(spark, docs):
