@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import bucket_of, n_partitions, range_bounds, table
+from surveyloom.llm.shared import bucket_of, free_name, n_partitions, range_bounds, table
 
 K = 3
 WINDOW = 4
@@ -108,29 +108,30 @@ def with_next(df: DataFrame, id_col: str = "doc_id", value_cols: tuple[str, ...]
     ``make`` may add columns after the shuffle, which ``value_cols`` may name.
     """
     spark = df.sparkSession
-    parts = min(4096, 4 * n_partitions(spark))
+    at_, b_, g_ = (free_name(df.columns, x) for x in ("_at", "_b", "_g"))
+    parts = 4 * n_partitions(spark)
     bounds = range_bounds(df, id_col, parts)
     here = bucket_of(F.col(id_col), bounds)
     last = len(bounds) - 1
     has_null = bool(df.where(F.col(id_col).isNull()).limit(1).count()) if df.schema[id_col].nullable else False
     first = -1 if has_null else 0
     # a row that opens a range is a guest in the range before; the first of all is a guest in the last
-    before = F.when(F.col("_b") == first, F.lit(last)).otherwise(F.col("_b") - 1)
-    opens = F.col("_b").isin(-1) if not bounds else (
-        (F.col("_b") == -1) | (F.get(F.lit(bounds).cast("array<bigint>"), F.greatest(F.col("_b"), F.lit(0))) == F.col(id_col))
+    before = F.when(F.col(b_) == first, F.lit(last)).otherwise(F.col(b_) - 1)
+    opens = F.col(b_).isin(-1) if not bounds else (
+        (F.col(b_) == -1) | (F.get(F.lit(bounds).cast("array<bigint>"), F.greatest(F.col(b_), F.lit(0))) == F.col(id_col))
     )
     keep = [c for c in df.columns]
-    rows = df.withColumn("_b", here)
-    at = F.when(opens, F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g")), F.struct(before.alias("b"), F.lit(1).alias("g")))).otherwise(
-        F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g")))
+    rows = df.withColumn(b_, here)
+    at = F.when(opens, F.array(F.struct(F.col(b_).alias("b"), F.lit(0).alias("g")), F.struct(before.alias("b"), F.lit(1).alias("g")))).otherwise(
+        F.array(F.struct(F.col(b_).alias("b"), F.lit(0).alias("g")))
     )
-    rows = rows.withColumn("_at", F.explode(at)).select(*keep, F.col("_at.b").alias("_b"), F.col("_at.g").alias("_g"))
-    rows = rows.repartition(n_partitions(spark), "_b")
+    rows = rows.withColumn(at_, F.explode(at)).select(*keep, F.col(f"{at_}.b").alias(b_), F.col(f"{at_}.g").alias(g_))
+    rows = rows.repartition(n_partitions(spark), b_)
     if make is not None:
         rows = make(rows)
-    w = Window.partitionBy("_b").orderBy("_g", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in keep if c != id_col])
+    w = Window.partitionBy(b_).orderBy(g_, F.col(id_col).asc_nulls_first(), *[F.col(c) for c in keep if c != id_col])
     rows = rows.select(*rows.columns, *[F.lead(c).over(w).alias(f"next_{c}") for c in value_cols])
-    return rows.where(F.col("_g") == 0).drop("_b", "_g")
+    return rows.where(F.col(g_) == 0).drop(b_, g_)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import staged, table
+from surveyloom.llm.shared import free_name, staged, table
 
 #: Order of kinds in every list of spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -237,11 +237,15 @@ def all_spans() -> Column:
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with entities replaced by their kind, risky terms by ``[TERM]`` or nothing. Null texts stay null."""
-    spans = find_spans(docs, rule, id_col, text_col).select("key", all_spans().alias("_s")).where(F.size("_s") > 0).dropDuplicates(["key"])
+    """``docs`` with entities replaced by their kind, risky terms by ``[TERM]`` or nothing; the columns stay as they are.
+
+    Null texts stay null, repeated rows change alike, an empty table stays empty.
+    """
+    key, found = free_name(docs.columns, "_key"), free_name(docs.columns, "_s")
+    spans = find_spans(docs, rule, id_col, text_col).select(F.col("key").alias(key), all_spans().alias(found)).where(F.size(found) > 0).dropDuplicates([key])
     text = F.col(text_col)
-    rows = docs.withColumn("_key", _row_key(F.col(id_col), F.coalesce(text, F.lit("")))).join(spans.withColumnRenamed("key", "_key"), "_key", "left")
-    ordered = F.array_sort(F.transform("_s", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    rows = docs.withColumn(key, _row_key(F.col(id_col), F.coalesce(text, F.lit("")))).join(spans, key, "left")
+    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
 
     def rebuilt(s: Column) -> Column:
         reach = _running(F.transform(s, lambda x: -x["less"]), lambda a, b: F.greatest(a, b))
@@ -256,7 +260,7 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
         tail = F.substring(text, F.element_at(before, -1) + 1, F.char_length(text))
         return F.concat(F.array_join(pieces, ""), tail)
 
-    new = F.when(F.col("_s").isNull() | text.isNull(), text).otherwise(_bind(ordered, rebuilt))
+    new = F.when(F.col(found).isNull() | text.isNull(), text).otherwise(_bind(ordered, rebuilt))
     return rows.withColumn(text_col, new).select(*docs.columns)
 
 

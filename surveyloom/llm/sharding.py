@@ -52,13 +52,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard``. Null keys and equal keys go to one slot each, whatever else the rows hold.
+    """``rows`` with ``slot`` and ``shard``; columns of these names in ``rows`` are replaced.
+
+    Null keys and equal keys go to one slot each, whatever else the rows hold;
+    an empty table gives no rows.
 
     The lookup table has ``slots`` rows, which bounds what is broadcast.
     """
     spark = rows.sparkSession
     lookup = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(fill(shards, slots).tolist())], "slot int, shard string")
-    return rows.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(lookup), "slot", "left")
+    others = [F.col(c) for c in rows.columns if c not in ("slot", "shard")]
+    return rows.select(*others, slot_of(F.col(key), slots).alias("slot")).join(F.broadcast(lookup), "slot", "left")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

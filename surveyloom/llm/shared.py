@@ -44,7 +44,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose readers have all been written or staged themselves."""
+    for df in tables:
+        path = df.__dict__.pop("staged_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores as make it differ from ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def n_partitions(spark: SparkSession) -> int:

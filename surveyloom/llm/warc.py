@@ -27,6 +27,8 @@ from surveyloom.llm.shared import bucket_of, filesystem, fresh_path, n_partition
 
 #: Payloads from this many bytes on are written once.
 LEAST = 100
+#: Payload bytes of a range of ids, which one task sorts and writes.
+RANGE_BYTES = 1 << 30
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -121,14 +123,16 @@ def write_archives(pages: DataFrame, root: str, rule: Archive = Archive()) -> li
     spark = pages.sparkSession
     digest = F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), digest.alias("digest"))
-    bounds = range_bounds(rows.select("page_id"), "page_id", min(4096, n_partitions(spark)))
+    # ranges of ids, one a task: as many as the session shuffles to, more where they would exceed RANGE_BYTES
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    bounds = range_bounds(rows.select("page_id"), "page_id", max(n_partitions(spark), -(-size // RANGE_BYTES)))
     narrow = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= rule.least)).select("page_id", "digest")
     groups = narrow.groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = narrow.join(groups, "digest").distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "least")
     # the word on a page's payload travels with the page and is read just before it
     both = rows.withColumn("least", F.lit(None).cast("bigint")).unionByName(again)
     both = both.select(bucket_of(F.col("page_id"), bounds).cast("int").alias("bucket"), "page_id", "digest", F.col("html").isNotNull().alias("page"), "url", "html", "least")
-    both = both.repartition(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", F.col("page_id").asc_nulls_first(), "digest", "page", "url")
+    both = both.repartitionById(len(bounds) + 1, F.col("bucket") + 1).sortWithinPartitions("bucket", F.col("page_id").asc_nulls_first(), "digest", "page", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, word, seen = _Roller(root, rule), None, None

@@ -368,6 +368,35 @@ def test_sharding(spark):
     assert len(got) == 3 and all(r.shard == names[held[r.slot]] for r in got)
     with pytest.raises(ValueError):
         sharding.fill(names, 1000)
+    clash = sharding.place(df.withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(-1)), "doc_id", names, 1009)
+    assert clash.columns.count("shard") == 1 and {(r.doc_id, r.slot, r.shard) for r in clash.collect()} == {(r.doc_id, r.slot, r.shard) for r in got}
+    assert sharding.place(df.limit(0), "doc_id", names, 1009).count() == 0
+
+
+def test_sharding_equals_plain_filling():
+    """Shards take turns: each claims the first free slot of its own permutation of all slots."""
+    names, slots = [f"s{i}" for i in range(5)], 53
+    held = sharding.fill(names, slots).tolist()
+    number = lambda text: int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
+    starts, steps = [number(f"start:{n}") % slots for n in names], [number(f"step:{n}") % (slots - 1) + 1 for n in names]
+    order = [iter([(a + j * b) % slots for j in range(slots)]) for a, b in zip(starts, steps, strict=True)]
+    want = [None] * slots
+    turn = 0
+    while None in want:
+        want[next(p for p in order[turn % 5] if want[p] is None)] = turn % 5
+        turn += 1
+    assert held == want
+
+
+def test_clashing_columns(spark):
+    """Columns of the names that an operator uses inside come back unchanged."""
+    rows = [(1, "write to a@b.cc now", "mine"), (2, None, "mine")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _key string").withColumn("_s", F.lit(7)).withColumn("_T", F.lit(8))
+    got = personal_data.sanitise(df)
+    assert got.columns == df.columns and ordered(map(tuple, got.collect())) == [(1, "write to [EMAIL] now", "mine", 7, 8), (2, None, "mine", 7, 8)]
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string").withColumn("_b", F.lit(5)).withColumn("_g", F.lit(6)).withColumn("_at", F.lit(4))
+    assert ordered(map(tuple, fingerprints.with_next(df).collect())) == [(1, "a", 5, 6, 4, "b"), (2, "b", 5, 6, 4, "a")]
+    assert fingerprints.with_next(df.limit(0)).count() == 0
 
 
 def test_decontamination(spark):
