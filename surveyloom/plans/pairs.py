@@ -78,7 +78,7 @@ _BUCKETS = " UNION ALL ".join(
     f"SELECT domain, panel_id, age_bin, education, income_quintile, urbanicity, concat_ws('|', '{i}', {', '.join(a for a in _A if a != drop)}) AS bucket FROM people" for i, drop in enumerate(_A)
 )
 PAIRS = (
-    f"bk AS ({_BUCKETS}), bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, bucket ORDER BY sha256('{SEED}|' || bucket || '|' || panel_id), panel_id) AS rn FROM bk) WHERE rn <= 20), "
+    f"bk AS ({_BUCKETS}), bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, bucket ORDER BY sha256('{SEED}|' || bucket || '|' || panel_id), panel_id) AS rn FROM bk) WHERE rn <= 200), "
     "mp2 AS (SELECT DISTINCT x.domain, x.panel_id AS panel_id_a, y.panel_id AS panel_id_b, (x.age_bin <> y.age_bin)::INT + (x.education <> y.education)::INT + (x.income_quintile <> y.income_quintile)::INT + (x.urbanicity <> y.urbanicity)::INT AS distance "
     "FROM bc x JOIN bc y USING (domain, bucket) WHERE x.panel_id < y.panel_id), pairs AS (SELECT * FROM mp2 WHERE distance <= 1)"
 )

@@ -292,18 +292,17 @@ register(
 def _temperature(s, d):
     rows = predictions(s, d).where("item_pool = 'seen'").withColumn("temperature", F.explode(F.array(*[F.lit(x) for x in TEMPERATURES])))
     losses = rows.select("domain", "temperature", probs.nll(probs.temper(F.col("p"), F.col("temperature")), F.col("answer_index")).alias("nll")).groupBy("domain", "temperature").agg(F.round(F.avg("nll"), 9).alias("nll"))
-    return losses.groupBy("domain").agg(F.min_by("temperature", F.struct("nll", "temperature")).alias("temperature"), F.min("nll").alias("nll"))
+    return losses.groupBy("domain").agg(F.round(F.min_by("temperature", F.struct("nll", "temperature")), 9).alias("temperature"), F.min("nll").alias("nll"))
 
 
-#: The protocol's grid: 25 log-spaced points from 0.25 to 4. The SQL has the five of GRID.
+#: The protocol's grid: 25 log-spaced points from 0.25 to 4.
 TEMPERATURES = [0.25 * 16 ** (i / 24) for i in range(25)]
-GRID = [0.25, 0.5, 1.0, 2.0, 4.0]
 register(
     "temperature_grid",
     _temperature,
     sql(
-        "SELECT domain, arg_min(t, (nll, t)) AS temperature, min(nll) AS nll FROM (SELECT domain, t, round(avg(-ln(greatest(pt[answer_index + 1] / list_sum(pt), 1e-12))), 9) AS nll FROM "
-        f"(SELECT domain, answer_index, t, list_transform(p, lambda x: greatest(x, 1e-12) ** (1 / t)) AS pt FROM preds, (SELECT unnest({GRID}::DOUBLE[]) AS t) WHERE item_pool = 'seen') GROUP BY 1, 2) GROUP BY 1",
+        "SELECT domain, round(arg_min(t, (nll, t)), 9) AS temperature, min(nll) AS nll FROM (SELECT domain, t, round(avg(-ln(greatest(pt[answer_index + 1] / list_sum(pt), 1e-12))), 9) AS nll FROM "
+        f"(SELECT domain, answer_index, t, list_transform(p, lambda x: greatest(x, 1e-12) ** (1 / t)) AS pt FROM preds, (SELECT unnest({TEMPERATURES}::DOUBLE[]) AS t) WHERE item_pool = 'seen') GROUP BY 1, 2) GROUP BY 1",
         FREQUENCY_SQL,
     ),
 )
@@ -321,7 +320,7 @@ register(
     _lambda,
     sql(
         "SELECT arg_min(l, (nll, l)) AS share, min(nll) AS nll FROM (SELECT l, round(avg(-ln(greatest(pt[answer_index + 1] / list_sum(pt), 1e-12))), 9) AS nll FROM "
-        "(SELECT answer_index, l, list_transform(p, lambda x: exp((1 - l) * ln(greatest(x, 1e-12)) + l * ln(0.2::DOUBLE))) AS pt FROM preds, (SELECT unnest(range(21)) / 20.0::DOUBLE AS l) WHERE item_pool = 'seen') GROUP BY 1)",
+        "(SELECT answer_index, l, list_transform(p, lambda x: exp((1 - l) * ln(greatest(x, 1e-12)) + l * ln(0.2::DOUBLE))) AS pt FROM preds, (SELECT unnest(range(101)) / 100.0::DOUBLE AS l) WHERE item_pool = 'seen') GROUP BY 1)",
         FREQUENCY_SQL,
     ),
 )
