@@ -121,6 +121,12 @@ def item_graph(rows: DataFrame, shrinkage: float = 20.0, least: int = 10, value:
     return found.select("domain", F.col("t").alias("a"), F.col("h").alias("b"), "n", c.alias("c"))
 
 
+def graph_lookup(asked: DataFrame, graph: DataFrame) -> DataFrame:
+    """The edge of each pair (domain, a, b) in either order; pairs without an edge have 0."""
+    both = graph.select("domain", "a", "b", "c").unionByName(graph.select("domain", F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    return asked.join(both, ["domain", "a", "b"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+
+
 def conditional_tables(train: DataFrame, shrinkage: float = 5.0, least: int = 20) -> DataFrame:
     """For each target, history item and history answer the option shares, shrunk to the target's own."""
     own = histogram(train, ["question_key"]).select(F.col("question_key").alias("t"), probs.smooth(F.col("counts"), 0.5).alias("marginal"))

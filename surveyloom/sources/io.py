@@ -52,9 +52,11 @@ def flatten(questions: DataFrame, respondents: DataFrame, domain: str, ordinal_o
 
 
 def read_predictions(spark: SparkSession, folder: str, keys: list[str], exclude: tuple[str, ...] = ("perm_",)) -> DataFrame:
-    """Parquet files of a folder but for excluded names; of rows of one key the last (by file, then place) stays."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = spark.read.parquet(folder).select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """Parquet files and tables below a folder but for excluded names; of rows of one key the last (by name, then place) stays."""
+    rows = spark.read.option("recursiveFileLookup", True).parquet(folder)
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.substring_index(F.col("_metadata.file_path"), f"/{base}/", -1)
+    rows = rows.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
     for prefix in exclude:
         rows = rows.where(~F.col("_file").startswith(prefix))
     return keep_last(rows, keys, [F.col("_file"), F.col("_row")]).drop("_file", "_row")
@@ -72,14 +74,96 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, s
     return df if where is None else df.where(where)
 
 
-def read_jsonl(spark: SparkSession, path: str, key: str, schema: str, valid: str | None = None) -> DataFrame:
-    """Records by line; blank lines are skipped, of one key the last line stays, then invalid ones go."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_n")).where(F.trim("value") != "")
-    rows = lines.select(F.from_json("value", schema).alias("r"), "_f", "_n").select("r.*", "_f", "_n")
-    rows = keep_last(rows, [key], [F.col("_f"), F.col("_n")]).drop("_f", "_n")
+def read_jsonl(spark: SparkSession, path: str, key: str | list[str], schema: str, valid: str | None = None) -> DataFrame:
+    """Records by line; blank lines are skipped, of one key the last line (by time of its file, then place) stays, then invalid ones go."""
+    keys = [key] if isinstance(key, str) else list(key)
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_modification_time").alias("_t"), F.col("_metadata.file_path").alias("_f"), F.monotonically_increasing_id().alias("_n"))
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r"), "_t", "_f", "_n").select("r.*", "_t", "_f", "_n")
+    rows = keep_last(rows, keys, [F.col("_t"), F.col("_f"), F.col("_n")]).drop("_t", "_f", "_n")
     return rows if valid is None else rows.where(F.col(valid))
 
 
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    """Adds records to a log; earlier files stay as they are."""
+    rows.write.mode("append").json(path)
+
+
+def save_manifest(spark: SparkSession, path: str, payload) -> str:
+    """A JSON document, whole or not at all, in any file system; returns the digest of its canonical text."""
+    import hashlib
+
+    digest = hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    to, held = jvm.Path(path), jvm.Path(f"{path}.tmp")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(held, True)
+    out.write(bytearray(json.dumps({**payload, "manifest_sha256": digest}, indent=1, sort_keys=True).encode()))
+    out.close()
+    fs.delete(to, False)
+    if not fs.rename(held, to):
+        raise OSError(f"cannot write {path}")
+    return digest
+
+
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    """The document that save_manifest wrote; a changed one fails."""
+    import hashlib
+
+    payload = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    digest = payload.pop("manifest_sha256")
+    if hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest() != digest:
+        raise ValueError(f"{path} was changed")
+    return payload
+
+
+def save_folds(folds: DataFrame, path: str) -> str:
+    """Item folds (domain, question_key, fold; null: calibration) as a manifest. Items are a catalogue, a few for each domain."""
+    found: dict[str, dict[str, int | None]] = {}
+    for r in folds.select("domain", "question_key", "fold").toLocalIterator():
+        found.setdefault(r["domain"], {})[r["question_key"]] = r["fold"]
+    return save_manifest(folds.sparkSession, path, {"folds": found})
+
+
+def load_folds(spark: SparkSession, path: str) -> DataFrame:
+    """A12"""
+    found = load_manifest(spark, path)["folds"]
+    return spark.createDataFrame([(d, q, f) for d, items in found.items() for q, f in items.items()], "domain string, question_key string, fold int")
+
+
+def save_prior(prior: dict[str, DataFrame], folder: str) -> None:
+    """The tables of a fitted prior."""
+    for name, df in prior.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_prior(spark: SparkSession, folder: str, names: tuple[str, ...] = ("question", "country", "position")) -> dict[str, DataFrame]:
+    """A12"""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def save_option_vectors(options: DataFrame, path: str) -> None:
+    """A10: (question_key, option_index, vector), sorted by question within files; vectors of differing widths fail."""
+    if options.select(F.size("vector").alias("n")).distinct().limit(2).count() > 1:
+        raise ValueError("vectors of several widths")
+    options.select("question_key", F.col("option_index").cast("int").alias("option_index"), F.col("vector").cast("array<float>").alias("vector")).sortWithinPartitions("question_key", "option_index").write.mode("overwrite").parquet(path)
+
+
+def load_option_vectors(spark: SparkSession, path: str, questions: list[str] | None = None) -> DataFrame:
+    """A10: all vectors, or those of some questions (pushed to the scan)."""
+    rows = spark.read.parquet(path)
+    return rows if questions is None else rows.where(F.col("question_key").isin(*questions))
+
+
+def save_predictions(rows: DataFrame, path: str, column: str = "p") -> None:
+    """The probability array as JSON text, for interchange."""
+    rows.withColumn(column, F.to_json(column)).write.mode("overwrite").parquet(path)
+
+
+def load_predictions(spark: SparkSession, path: str, column: str = "p") -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.withColumn(column, F.from_json(column, "array<double>"))
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, formats: tuple[str, ...] = ("parquet",)) -> None:
     """B1, B2: each table in each format."""
     for name, df in tables.items():
@@ -96,9 +180,25 @@ def write_json(path: str, payload) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+#: Partition columns of cached representations; a scan of one run reads one folder.
 CACHE_KEYS = ("protocol", "split", "k", "option_seed", "family")
 
 
+def write_cache(rows: DataFrame, folder: str) -> None:
+    """Rows under one folder for each protocol, split, k, option seed and family."""
+    rows.write.mode("append").partitionBy(*CACHE_KEYS).parquet(folder)
+
+
+def read_cache(spark: SparkSession, folder: str, **wanted) -> DataFrame:
+    """The rows of a run; only its folders are listed for reading."""
+    rows = spark.read.parquet(folder)
+    for key, value in wanted.items():
+        if key not in CACHE_KEYS:
+            raise ValueError(f"{key} is no partition column")
+        rows = rows.where(F.col(key) == value)
+    return rows
+
+
 def fingerprint(settings: dict) -> str:
     """A digest of settings in sorted order."""
     import hashlib
