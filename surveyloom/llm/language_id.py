@@ -43,6 +43,10 @@ _NAMES = sorted({s for _, s in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS], np.int64)
 
 
+#: Scripts that are written without spaces; their runs are cut into words of up to four letters.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
+
+
 @dataclass(frozen=True)
 class LanguageRule:
     """``train_docs`` bounds the labelled sample that the counts come from (whole texts, chosen by hash of the id)."""
@@ -72,7 +76,10 @@ class Words:
     """The distinct words of a block of texts: n-gram buckets, letters, and the words of each text."""
 
     def __init__(self, texts: pa.Array, bits: int):
-        split = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+        low = pc.utf8_lower(texts.fill_null(""))
+        if pc.any(pc.match_substring_regex(low, UNSPACED)).as_py():
+            low = pc.replace_substring_regex(low, f"({UNSPACED}{{1,4}})", r" \1 ")
+        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(low))
         sizes = pc.list_value_length(split).to_numpy()
         coded = pc.list_flatten(split).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):

@@ -322,6 +322,32 @@ def test_language_id(spark):
     assert language_id.train(df.limit(0)) is None and language_id.identify(ask, None).first().lang_pred == "und"
 
 
+def test_languages_without_spaces(spark):
+    """Text without spaces is cut where its script changes and into short words, so that spans can end inside it."""
+    rng = random.Random(6)
+    han = lambda: "".join(rng.choice("漢字語言文學生活時間") for _ in range(40))
+    latin = lambda: " ".join(rng.choice(["tha", "thing", "with", "hand"]) for _ in range(30))
+    df = spark.createDataFrame([(i, han() if i % 2 else latin(), "zz" if i % 2 else "aa") for i in range(40)], "doc_id bigint, text string, lang string")
+    model = language_id.train(df)
+    mixed = han() + "thing" + "with" * 12 + " " + latin()
+    got = {r.id: r for r in language_id.identify(spark.createDataFrame([(1, mixed), (2, han())], "doc_id bigint, text string"), model).collect()}
+    assert [s.lang for s in got[1].spans] == ["zz", "aa"] and [(s.start, s.end) for s in got[1].spans][0] == (0, 10)
+    assert got[2].lang_pred == "zz" and [s.lang for s in got[2].spans] == ["zz"]
+
+
+def test_best_path_equals_all_paths():
+    """The walk over words finds a labelling that no other beats."""
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        s = rng.normal(0, 3, (rng.integers(1, 7), 3))
+        worth = lambda p: sum(s[t, x] for t, x in enumerate(p)) - 2.5 * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
+        assert worth(tuple(language_id.best_path(s, 2.5))) == pytest.approx(max(worth(p) for p in product(range(3), repeat=len(s))))
+
+
 def test_viterbi_shortcut():
     """Where the shortcut keeps one language, the full walk gives the same."""
     import numpy as np
