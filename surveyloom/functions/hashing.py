@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def _json_part(part) -> Column:
     if isinstance(part, Column):
-        text = F.replace(F.replace(part.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        text = part.cast("string")
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
         return F.concat(F.lit('"'), text, F.lit('"'))
     if isinstance(part, str):
         return F.lit('"' + part.replace("\\", "\\\\").replace('"', '\\"') + '"')

@@ -109,14 +109,31 @@ def co_answers(rows: DataFrame, value: str = "answer_index") -> DataFrame:
     return a.join(b, ["domain", "panel_id"]).where(F.col("t") != F.col("h"))
 
 
+def rank_correlation(cells: DataFrame, keys: list[str], x: str, y: str, n: str = "n") -> DataFrame:
+    """rank correlation with ties at their mean, from counts ``n`` of value pairs: (keys, n, rho), null where a side is constant.
+
+    Ranks follow from the counts of each value, so no window holds more rows
+    than a key has value pairs.
+    """
+    def ranked(v: str, r: str) -> DataFrame:
+        sums = cells.groupBy(*keys, v).agg(F.sum(n).alias("_c"))
+        below = F.sum("_c").over(Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1))
+        return sums.select(*keys, v, (F.coalesce(below, F.lit(0)) + (F.col("_c") + 1) / 2).alias(r))
+
+    both = cells.join(ranked(x, "_rx"), [*keys, x]).join(ranked(y, "_ry"), [*keys, y])
+    w = F.col(n)
+    sums = both.groupBy(*keys).agg(
+        F.sum(w).alias("n"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("sxy"), F.sum(w * F.col("_rx") * F.col("_rx")).alias("sxx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("syy")
+    )
+    mean = (F.col("n") + 1) / 2  # of ranks, whatever the ties
+    spread = lambda c: F.col(c) - F.col("n") * mean * mean
+    return sums.select(*keys, "n", F.try_divide(spread("sxy"), F.sqrt(spread("sxx") * spread("syy"))).alias("rho"))
+
+
 def item_graph(rows: DataFrame, shrinkage: float = 20.0, least: int = 10, value: str = "normalized_answer") -> DataFrame:
     """Rank correlation of item pairs over common panels, times n / (n + shrinkage); 0 below ``least`` panels."""
-    from surveyloom.operators.ranking import average_rank
-
-    pairs = co_answers(rows, value).where(F.col("t") < F.col("h"))
-    ranked = pairs.withColumn("rt", average_rank("t_value", ["domain", "t", "h"])).withColumn("rh", average_rank("h_value", ["domain", "t", "h"]))
-    rho = F.try_divide(F.covar_pop("rt", "rh"), F.stddev_pop("rt") * F.stddev_pop("rh"))
-    found = ranked.groupBy("domain", "t", "h").agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+    cells = co_answers(rows, value).where(F.col("t") < F.col("h")).groupBy("domain", "t", "h", "t_value", "h_value").agg(F.count(F.lit(1)).alias("n"))
+    found = rank_correlation(cells, ["domain", "t", "h"], "t_value", "h_value")
     c = F.when(F.col("n") >= least, F.coalesce(F.col("n") / (F.col("n") + shrinkage) * F.col("rho"), F.lit(0.0))).otherwise(0.0)
     return found.select("domain", F.col("t").alias("a"), F.col("h").alias("b"), "n", c.alias("c"))
 

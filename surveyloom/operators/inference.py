@@ -11,13 +11,16 @@ from surveyloom.operators.joins import paired
 from surveyloom.operators.ranking import holm
 
 
+#: Cumulative Poisson(1) probabilities of 0 to 8 draws.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402]
+
+
 def _poisson(seed: int, *parts: Column) -> Column:
-    """A Poisson(1) number from a hash: the multiplicity of a unit in a replicate."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    # cumulative probabilities of 0 to 8 draws
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402]
+    """A Poisson(1) number from the digest of ``seed|part|part...``: the multiplicity of a unit in a replicate."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
     out = F.lit(0)
-    for c in cuts:
+    for c in POISSON:
         out = out + (u > c).cast("int")
     return out
 

@@ -51,12 +51,13 @@ def paired(rows: DataFrame, method: str, reference: str, value: str, keys: list[
     return out.where(F.col("candidate").isNotNull() & F.col("reference").isNotNull()).withColumn("difference", F.col("candidate") - F.col("reference"))
 
 
-def matched_pairs(panels: DataFrame, attributes: list[str], distance: int = 1, cap: int = 200, seed: int = 1701) -> DataFrame:
+def matched_pairs(panels: DataFrame, attributes: list[str], distance: int = 1, cap: int | None = 200, seed: int = 1701) -> DataFrame:
     """Pairs of panels of a domain that differ in at most ``distance`` (0 or 1) attributes.
 
     Buckets leave out one attribute each. A bucket of more than ``cap`` panels
     keeps those of least hash of bucket and panel, as the survey protocol asks,
-    so the pairs of a bucket are bounded.
+    so the pairs of a bucket are bounded; without a cap (None) all pairs are
+    found, as many as a bucket has.
     """
     if distance not in (0, 1):
         raise ValueError("distance must be 0 or 1")
@@ -64,7 +65,8 @@ def matched_pairs(panels: DataFrame, attributes: list[str], distance: int = 1, c
     keys = F.array(*[F.concat_ws("|", F.lit(f"{i}"), *[F.coalesce(F.col(a), F.lit("")) for a in s]) for i, s in enumerate(sets)])
     rows = panels.select("domain", "panel_id", F.struct(*attributes).alias("v"), F.explode(keys).alias("bucket"))
     h = hashing.seeded_digest(seed, F.col("bucket"), F.col("panel_id"))
-    rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("domain", "bucket").orderBy(h, "panel_id"))).where(F.col("_rn") <= cap).drop("_rn")
+    if cap is not None:
+        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("domain", "bucket").orderBy(h, "panel_id"))).where(F.col("_rn") <= cap).drop("_rn")
     a = rows.select("domain", "bucket", F.col("panel_id").alias("panel_id_a"), F.col("v").alias("va"))
     b = rows.select("domain", "bucket", F.col("panel_id").alias("panel_id_b"), F.col("v").alias("vb"))
     pairs = a.join(b, ["domain", "bucket"]).where(F.col("panel_id_a") < F.col("panel_id_b"))
@@ -112,16 +114,24 @@ def donor_shuffle(rows: DataFrame, histories: DataFrame, demographics: list[str]
     """For each (panel_id, question_key) of ``histories`` the answer of another panel to the same question.
 
     A donor of equal demographics comes first, then any other, then the panel
-    itself; of several the least digest wins. The candidates of a question are
-    reduced to a minimum on the way, never collected.
+    itself. The panels of a question and cell stand on a ring in the order of
+    their digests, and each takes the next one's answer; a panel alone in its
+    cell takes the panel of the question with the least digest, or the second
+    if that is itself. One window and one aggregate, in proportion to the rows.
     """
-    asked = histories.select("panel_id", "question_key").join(rows.select("panel_id", *demographics).distinct(), "panel_id")
-    donors = rows.select("question_key", F.col("panel_id").alias("donor"), "answer_index", F.struct(*demographics).alias("dd"))
-    both = asked.join(donors, "question_key")
-    turn = F.when(F.col("donor") == F.col("panel_id"), 2).when(F.struct(*demographics) == F.col("dd"), 0).otherwise(1)
-    h = F.when(turn == 2, "").otherwise(hashing.seeded_digest(seed, F.col("panel_id"), F.col("question_key"), F.col("donor")))
-    best = both.groupBy("panel_id", "question_key").agg(F.min_by(F.struct("donor", "answer_index"), F.struct(turn.alias("t"), h.alias("h"), F.col("donor"))).alias("b"))
-    return best.select("panel_id", "question_key", F.col("b.donor").alias("donor"), F.col("b.answer_index").alias("answer_index"))
+    h = hashing.seeded_digest(seed, F.col("question_key"), F.col("panel_id"))
+    ring = rows.select("question_key", "panel_id", *demographics, F.struct(h.alias("h"), F.col("panel_id").alias("donor"), F.col("answer_index").alias("answer_index")).alias("x"))
+    w = Window.partitionBy("question_key", *demographics)
+    follower = F.coalesce(F.lead("x").over(w.orderBy("x.h", "panel_id")), F.min("x").over(w))
+    ring = ring.withColumn("next", follower)
+    lonely = F.col("next.donor") == F.col("panel_id")
+    least = rows.select("question_key", F.struct(h.alias("h"), F.col("panel_id").alias("donor"), F.col("answer_index").alias("answer_index")).alias("x"))
+    first = least.groupBy("question_key").agg(F.min("x").alias("first"))
+    second = least.join(first, "question_key").where(F.col("x.donor") != F.col("first.donor")).groupBy("question_key").agg(F.min("x").alias("second"))
+    ends = first.join(second, "question_key", "left")
+    found = ring.join(ends, "question_key").withColumn("b", F.when(~lonely, F.col("next")).when(F.col("first.donor") != F.col("panel_id"), F.col("first")).otherwise(F.coalesce("second", "x")))
+    kept = histories.select("panel_id", "question_key").distinct()
+    return found.join(kept, ["panel_id", "question_key"], "left_semi").select("panel_id", "question_key", F.col("b.donor").alias("donor"), F.col("b.answer_index").alias("answer_index"))
 
 
 def stratum_shuffle(rows: DataFrame, strata: list[str], unit: str, columns: list[str], seed: int) -> DataFrame:
@@ -161,6 +171,15 @@ def anti(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a finite number in all the columns."""
+    keep = F.lit(True)
+    for c in columns:
+        x = F.col(c).cast("double")
+        keep = keep & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return df.where(keep)
+
+
 def expand_options(rows: DataFrame, options: Column, vectors: DataFrame | None = None) -> DataFrame:
     """Each row with each of its options, and the option's vector if given."""
     out = rows.select("*", F.posexplode(options).alias("option_index", "option"))

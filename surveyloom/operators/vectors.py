@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.functions import probs
+from surveyloom.functions import probs, text
 from surveyloom.operators.ranking import top_n
 
 #: Vectors that one block of a search holds.
@@ -98,10 +98,11 @@ def assembled_evidence(own: DataFrame, backfill: DataFrame, k: int, threshold: i
 
 
 def summaries(records: DataFrame, n: int = 5) -> DataFrame:
-    """the first ``n`` records of each panel and domain as one text."""
+    """The first ``n`` records of each panel and domain as one text (question cut at 70 characters, answer at 40)."""
     first = top_n(records, ["panel_id", "domain"], [F.col("question_key")], n)
-    text = F.concat_ws(": ", "question", "answer")
-    return first.groupBy("panel_id", "domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_key", text.alias("t")))), lambda s: s["t"]), "; ").alias("summary"))
+    line = F.concat(text.truncate(F.col("question"), 70, "~"), F.lit(" -> "), text.truncate(F.col("answer"), 40, "~"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("question_key", line.alias("t")))), lambda s: s["t"]), "; ")
+    return first.groupBy("panel_id", "domain").agg(F.concat(F.lit("["), F.col("domain"), F.lit("] tendencies (calibration only): "), listed).alias("summary"))
 
 
 def scored_options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ def _audit(s, d):
     rows = _wide(s, d)
     n = table(s, d, "part").count()
     out = rows.groupBy("item").agg(F.count("value").alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("most"))
-    out = out.withColumn("coverage", F.col("n") / n).withColumn("eligible", (F.col("n") >= 2000) & F.col("n_values").between(2, 25) & (F.col("coverage") >= 0.5))
+    out = out.withColumn("coverage", F.col("n") / n).withColumn("eligible", (F.col("n") >= 2000) & F.col("n_values").between(2, 11) & (F.col("coverage") >= 0.5))
     return rounded(out)
 
 
@@ -33,7 +33,7 @@ register(
     "closed_choice_audit",
     _audit,
     f"WITH {_WIDE} SELECT item, count(value) AS n, count(DISTINCT value) AS n_values, min(value) AS least, max(value) AS most, round(count(value) / (SELECT count(*) FROM part)::DOUBLE, 9) AS coverage, "
-    "count(value) >= 2000 AND count(DISTINCT value) BETWEEN 2 AND 25 AND count(value) / (SELECT count(*) FROM part)::DOUBLE >= 0.5 AS eligible FROM wide GROUP BY 1",
+    "count(value) >= 2000 AND count(DISTINCT value) BETWEEN 2 AND 11 AND count(value) / (SELECT count(*) FROM part)::DOUBLE >= 0.5 AS eligible FROM wide GROUP BY 1",
 )
 register(
     "value_entropy",
@@ -112,12 +112,24 @@ def _cover(s, d):
     """Four items for the targets of each domain; an item's name has its domain."""
     scores = _information(s, d).select(F.col("s").alias("item"), F.col("t").alias("target"), "score").cache()
     domain = F.substring_index("target", "::", 1)
-    chosen = [(i, item, round(gain, 8)) for r in scores.select(domain.alias("d")).distinct().orderBy("d").collect() for i, (item, gain) in enumerate(ranking.greedy_cover(scores.where(domain == r["d"]), 4))]
+    chosen = [(i, item, round(gain, 8) + 0.0) for r in scores.select(domain.alias("d")).distinct().orderBy("d").collect() for i, (item, gain) in enumerate(ranking.greedy_cover(scores.where(domain == r["d"]), 4))]
     scores.unpersist()
     return s.createDataFrame(chosen, "step bigint, item string, gain double")
 
 
-register("greedy_cover", _cover)
+def _cover_sql(k: int = 4) -> str:
+    out = [_INFO, "b0 AS (SELECT DISTINCT t, 0.0::DOUBLE AS best FROM info)", "ch0 AS (SELECT NULL::VARCHAR AS dom, NULL::VARCHAR AS item, NULL::DOUBLE AS gain, NULL::BIGINT AS step WHERE false)"]
+    for i in range(1, k + 1):
+        out += [
+            f"gn{i} AS (SELECT split_part(t, '::', 1) AS dom, s AS item, sum(greatest(score - best, 0)) AS gain FROM info JOIN b{i - 1} USING (t) WHERE s NOT IN (SELECT item FROM ch{i - 1}) GROUP BY 1, 2)",
+            f"pk{i} AS (SELECT dom, arg_min(item, (-round(gain, 12), item)) AS item, arg_min(gain, (-round(gain, 12), item)) AS gain FROM gn{i} GROUP BY 1)",
+            f"ch{i} AS (SELECT * FROM ch{i - 1} UNION ALL SELECT dom, item, gain, {i} FROM pk{i})",
+            f"b{i} AS (SELECT b.t, greatest(best, coalesce(score, 0)) AS best FROM b{i - 1} b JOIN pk{i} ON dom = split_part(b.t, '::', 1) LEFT JOIN info x ON x.t = b.t AND x.s = pk{i}.item)",
+        ]
+    return sql(f"SELECT step - 1 AS step, item, round(gain, 8) AS gain FROM ch{k}", ", ".join(out))
+
+
+register("greedy_cover", _cover, _cover_sql())
 
 
 def _ordinal(s, d):

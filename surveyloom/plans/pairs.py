@@ -122,11 +122,10 @@ register(
     "matched_donor_shuffle",
     _donors,
     sql(
-        "SELECT panel_id, question_key, arg_min(donor, z) AS donor, arg_min(ans, z)::BIGINT AS answer_index FROM (SELECT t.panel_id, t.question_key, o.panel_id AS donor, o.answer_index AS ans, "
-        "CASE WHEN t.panel_id = o.panel_id THEN '2' WHEN t.country = o.country AND t.sex = o.sex AND t.age_bin = o.age_bin THEN '0' ELSE '1' END || "
-        f"CASE WHEN t.panel_id = o.panel_id THEN '' ELSE sha256('{SEED}|' || t.panel_id || '|' || t.question_key || '|' || o.panel_id) END AS z "
-        "FROM te t JOIN te o USING (question_key)) GROUP BY 1, 2",
-        "te AS (SELECT * FROM responses WHERE split = 'test')",
+        "SELECT panel_id, question_key, CASE WHEN nx <> panel_id THEN nx WHEN f1 <> panel_id THEN f1 ELSE coalesce(f2, panel_id) END AS donor, (CASE WHEN nx <> panel_id THEN na WHEN f1 <> panel_id THEN a1 ELSE coalesce(a2, answer_index) END)::BIGINT AS answer_index FROM "
+        "(SELECT *, coalesce(lead(panel_id) OVER w, first_value(panel_id) OVER w) AS nx, coalesce(lead(answer_index) OVER w, first_value(answer_index) OVER w) AS na FROM te WINDOW w AS (PARTITION BY question_key, country, sex, age_bin ORDER BY h, panel_id)) JOIN "
+        "(SELECT question_key, max(panel_id) FILTER (WHERE r = 1) AS f1, max(answer_index) FILTER (WHERE r = 1) AS a1, max(panel_id) FILTER (WHERE r = 2) AS f2, max(answer_index) FILTER (WHERE r = 2) AS a2 FROM (SELECT *, row_number() OVER (PARTITION BY question_key ORDER BY h, panel_id) AS r FROM te) GROUP BY 1) USING (question_key)",
+        f"te AS (SELECT *, sha256('{SEED}|' || question_key || '|' || panel_id) AS h FROM responses WHERE split = 'test')",
     ),
 )
 register(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions import probs, text
@@ -51,58 +52,76 @@ register(
 )
 
 
-def _targets(s, d):
-    v = _vectors(s, d)
-    return v.where("id % 10 = 0").select(F.col("id").alias("row_id"), "label", "vector"), v.where("id % 10 <> 0")
+def _records(s, d):
+    """Vectors as records of panels of fifty; the vectors whose id is divisible by 100 are the targets."""
+    v = _vectors(s, d).select((F.col("id") / 50).cast("bigint").alias("panel_id"), F.col("id").alias("record_id"), "label", F.col("vector").cast("array<double>").alias("vector"))
+    return v.where("record_id % 100 = 0").withColumnRenamed("record_id", "target_id"), v
+
+
+_T100 = "t.vec_id % 100 = 0 AND h.vec_id <> t.vec_id AND h.vec_id // 50 = t.vec_id // 50"
 
 
 def _weighted(s, d):
-    targets, rest = _targets(s, d)
-    history = targets.select("row_id", "label").join(rest.select("label", "vector"), "label").select("row_id", "vector")
-    out = vectors.weighted_history(targets, history)
+    targets, records = _records(s, d)
+    history = targets.select(F.col("target_id").alias("row_id"), "panel_id").join(records.select("panel_id", "record_id", "vector"), "panel_id").where("record_id <> row_id").select("row_id", "vector")
+    out = vectors.weighted_history(targets.select(F.col("target_id").alias("row_id"), "vector"), history)
     return rounded(out.select("row_id", *[F.get("z", F.lit(i)).alias(f"z{i}") for i in range(0, 64, 16)]), 8)
 
 
 register(
     "weighted_history_vector",
     _weighted,
-    f"WITH p AS (SELECT t.vec_id AS row_id, h.embedding AS a, {_COS.format(a='h.embedding', b='t.embedding')} / 0.5::DOUBLE AS s FROM embeddings t JOIN embeddings h ON t.label = h.label WHERE t.vec_id % 10 = 0 AND h.vec_id % 10 <> 0), "
+    f"WITH p AS (SELECT t.vec_id AS row_id, h.embedding AS a, {_COS.format(a='h.embedding', b='t.embedding')} / 0.5::DOUBLE AS s FROM embeddings t JOIN embeddings h ON {_T100}), "
     "e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY row_id)) AS e FROM p), z AS (SELECT row_id, " + ", ".join(f"sum(e * a[{i + 1}]) / sum(e) AS z{i}" for i in range(0, 64, 16)) + " FROM e GROUP BY 1) "
-    "SELECT t.vec_id AS row_id, " + ", ".join(f"round(coalesce(z{i}, 0), 8) AS z{i}" for i in range(0, 64, 16)) + " FROM embeddings t LEFT JOIN z ON z.row_id = t.vec_id WHERE t.vec_id % 10 = 0",
+    "SELECT t.vec_id AS row_id, " + ", ".join(f"round(coalesce(z{i}, 0), 8) AS z{i}" for i in range(0, 64, 16)) + " FROM embeddings t LEFT JOIN z ON z.row_id = t.vec_id WHERE t.vec_id % 100 = 0",
 )
 
 
 def _evidence(s, d):
-    targets, rest = _targets(s, d)
-    t = targets.select(F.col("row_id").alias("target_id"), F.col("label").alias("panel_id"), F.col("vector").cast("array<double>").alias("centroid"))
-    records = rest.select(F.col("label").alias("panel_id"), F.col("id").alias("question_key"), F.col("vector").cast("array<double>").alias("vector"))
-    return rounded(vectors.evidence_top_k(t, records, 3).select("target_id", "question_key", "rank", "similarity"))
+    targets, records = _records(s, d)
+    t = targets.select("target_id", "panel_id", F.col("vector").alias("centroid"))
+    kept = vectors.evidence_top_k(t, records.select("panel_id", F.col("record_id").alias("question_key"), "vector"), 4)
+    kept = kept.where("question_key <> target_id").withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("rank"))).where("rank <= 3")
+    return rounded(kept.select("target_id", "question_key", "rank", "similarity"))
 
 
 register(
     "query_evidence_topk",
     _evidence,
     f"SELECT target_id, question_key, rank, round(s, 9) AS similarity FROM (SELECT t.vec_id AS target_id, h.vec_id AS question_key, {_COS.format(a='h.embedding', b='t.embedding')} AS s, "
-    f"row_number() OVER (PARTITION BY t.vec_id ORDER BY round({_COS.format(a='h.embedding', b='t.embedding')}, 12) DESC, h.vec_id) AS rank FROM embeddings t JOIN embeddings h ON t.label = h.label WHERE t.vec_id % 10 = 0 AND h.vec_id % 10 <> 0) WHERE rank <= 3",
+    f"row_number() OVER (PARTITION BY t.vec_id ORDER BY round({_COS.format(a='h.embedding', b='t.embedding')}, 12) DESC, h.vec_id) AS rank FROM embeddings t JOIN embeddings h ON {_T100}) WHERE rank <= 3",
 )
 
 
 def _assembled(s, d):
-    """Own evidence: records of the target's label by cosine; where it is sparse, records of the labels of nearest centroid."""
-    targets, rest = _targets(s, d)
-    targets = targets.select(F.col("row_id").alias("target_id"), "label", F.col("vector").cast("array<double>").alias("t"))
-    records = rest.select(F.col("label").alias("own"), F.col("id").alias("record_id"), F.col("vector").cast("array<double>").alias("v"))
+    """Own evidence: records of the target's panel and label by cosine; where it is sparse, records of that label of the panels of nearest centroid."""
+    targets, records = _records(s, d)
+    targets = targets.select("target_id", "panel_id", "label", F.col("vector").alias("t"))
+    held = records.select(F.col("panel_id").alias("own"), "record_id", F.col("label").alias("l"), F.col("vector").alias("v"))
     scored = lambda both: both.withColumn("similarity", F.round(probs.cosine(F.col("v"), F.col("t")), 12)).drop("t", "v")
-    own = ranking.top_n(scored(targets.join(records, F.col("label") == F.col("own"))), ["target_id"], [F.desc("similarity"), F.col("record_id")], 3)
-    full = own.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    mine = targets.join(held, (F.col("panel_id") == F.col("own")) & (F.col("label") == F.col("l")) & (F.col("record_id") != F.col("target_id")))
+    own = ranking.top_n(scored(mine), ["target_id"], [F.desc("similarity"), F.col("record_id")], 4)
+    full = own.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 4)
     sparse = targets.join(full, "target_id", "left_anti")
-    profiles = vectors.centroids(rest, ["label"]).select(F.col("label").alias("id"), F.col("centroid").alias("vector"))
-    near = vectors.neighbours(profiles, profiles, 8).select(F.col("id").alias("label"), F.col("neighbour").alias("own"))
-    backfill = scored(sparse.join(near, "label").join(records, "own"))
-    return vectors.assembled_evidence(own, backfill, 4, 2).select("target_id", "record_id", F.round("similarity", 9).alias("similarity"), "origin")
+    profiles = vectors.centroids(records, ["panel_id"]).select(F.col("panel_id").alias("id"), F.col("centroid").alias("vector"))
+    asked = profiles.join(targets.select(F.col("panel_id").alias("id")).distinct(), "id", "left_semi")
+    near = vectors.neighbours(asked, profiles, 3).select(F.col("id").alias("panel_id"), F.col("neighbour").alias("own"))
+    backfill = scored(sparse.join(near, "panel_id").join(held.withColumnRenamed("l", "label"), ["own", "label"]))
+    return vectors.assembled_evidence(own, backfill, 5, 4).select("target_id", "record_id", F.round("similarity", 9).alias("similarity"), "origin")
 
 
-register("assembled_evidence", _assembled)
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))"
+_CENTROID_COS = f"{_DOT.format(a='a.c', b='b.c')} / (greatest(sqrt({_DOT.format(a='a.c', b='a.c')}), 1e-12) * greatest(sqrt({_DOT.format(a='b.c', b='b.c')}), 1e-12))"
+register(
+    "assembled_evidence",
+    _assembled,
+    f"WITH ow AS (SELECT * FROM (SELECT t.vec_id AS target_id, h.vec_id AS record_id, round({_COS.format(a='h.embedding', b='t.embedding')}, 12) AS s, row_number() OVER (PARTITION BY t.vec_id ORDER BY round({_COS.format(a='h.embedding', b='t.embedding')}, 12) DESC, h.vec_id) AS r FROM embeddings t JOIN embeddings h ON {_T100} AND h.label = t.label) WHERE r <= 4), "
+    "no AS (SELECT t.vec_id AS target_id, t.vec_id // 50 AS panel, label, embedding, count(record_id) AS n FROM embeddings t LEFT JOIN ow ON ow.target_id = t.vec_id WHERE t.vec_id % 100 = 0 GROUP BY ALL HAVING count(record_id) < 4), "
+    "ce AS (SELECT vec_id // 50 AS panel, [" + ", ".join(f"avg(embedding[{i}]::DOUBLE)" for i in range(1, 65)) + "] AS c FROM embeddings GROUP BY 1), "
+    f"nb AS (SELECT panel, other FROM (SELECT a.panel, b.panel AS other, row_number() OVER (PARTITION BY a.panel ORDER BY round({_CENTROID_COS}, 12) DESC, b.panel) AS r FROM ce a JOIN ce b ON a.panel <> b.panel WHERE a.panel IN (SELECT panel FROM no)) WHERE r <= 3), "
+    f"bf AS (SELECT target_id, record_id, s, n, row_number() OVER (PARTITION BY target_id ORDER BY s DESC, record_id) AS r FROM (SELECT t.target_id, t.n, h.vec_id AS record_id, round({_COS.format(a='h.embedding', b='t.embedding')}, 12) AS s FROM no t JOIN nb USING (panel) JOIN embeddings h ON h.vec_id // 50 = other AND h.label = t.label)) "
+    "SELECT target_id, record_id, round(s, 9) AS similarity, 'self' AS origin FROM ow UNION ALL SELECT target_id, record_id, round(s, 9), 'neighbour' FROM bf WHERE r <= 5 - n",
+)
 register(
     "clean_and_truncate",
     lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(text.collapse_spaces(F.col("text")), 256).alias("clean"), text.truncate(F.col("text"), 60).alias("short")),
