@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import table
+from surveyloom.llm.shared import released, table
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -265,7 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule(
         index = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in released(batches):
                 for i in range(0, len(batch), 400):
                     part = batch.slice(i, 400)
                     ids = part.column(0).to_pylist()
@@ -285,7 +285,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRu
         index = spark.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in released(batches):
                 for i in range(0, len(batch), 400):
                     part = batch.slice(i, 400)
                     yield part.filter(pa.array([not found for found in index.value.leaks(part.column(at))], pa.bool_()))

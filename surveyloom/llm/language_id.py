@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import table
+from surveyloom.llm.shared import released, table
 
 #: First code points of script ranges and the script that begins there (fixed values of the Unicode standard, coarse).
 SCRIPTS = (
@@ -133,7 +133,7 @@ def train(labelled: DataFrame, rule: LanguageRule = LanguageRule(), text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 langs = np.array(part.column(0).to_pylist(), object)
@@ -270,7 +270,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 400):
                 part = batch.slice(i, 400)
                 langs, scores, spans = zip(*label(part.column(1), shared.value), strict=True)
@@ -284,7 +284,7 @@ def identified(docs: DataFrame, model: LanguageModel | None, least: float, text_
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 400):
                 part = batch.slice(i, 400)
                 yield part.filter(pa.array([lang != "und" and fit >= least for lang, _, _, fit in _fitted(part.column(at), shared.value)], pa.bool_()))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.llm import superkmers as sk
-from surveyloom.llm.shared import n_partitions, staged, table
+from surveyloom.llm.shared import discard, n_partitions, released, staged, table
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, rule: NearDup, id_col: str = "doc_id", text_col:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _multipliers(rule.k)
-        for batch in batches:
+        for batch in released(batches):
             known = pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), batch.column(1), batch.column(2)], names=["id", "k", "t"])
             for rows, _, data, offsets in sk.blocks(iter([known])):
                 which, h = shingle_hashes(data, offsets, rule.shingle)
@@ -179,8 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
     the driver.
     """
     spark = edges.sparkSession
-    left = staged(edges.where("a <> b").distinct(), "edges")
-    path, turn = None, 0
+    left = left_held = staged(edges.where("a <> b").distinct(), "edges")
+    path, held, turn = None, None, 0
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the least id settles stars at once; random priorities keep long paths from taking a round for each step
@@ -192,9 +192,12 @@ def components(edges: DataFrame) -> DataFrame:
             path = step.select(F.col("v").alias("id"), F.col("w").alias("root"))
         else:
             path = path.join(step, path["root"] == step["v"], "left").select("id", F.coalesce("w", "root").alias("root"))
-        path = staged(path, "roots")
+        known, path = held, staged(path, "roots")
+        held = path
         left = left.join(step.withColumnRenamed("w", "wa"), left["a"] == F.col("v")).drop("v").join(step.withColumnRenamed("w", "wb"), F.col("b") == F.col("v"))
-        left = staged(left.select(F.least("wa", "wb").alias("a"), F.greatest("wa", "wb").alias("b")).where("a <> b").distinct(), "edges")
+        edges, left = left_held, staged(left.select(F.least("wa", "wb").alias("a"), F.greatest("wa", "wb").alias("b")).where("a <> b").distinct(), "edges")
+        left_held = left
+        discard(edges, join, *([known] if known is not None else []))
         turn += 1
     if path is None:
         return spark.createDataFrame([], "id bigint, root bigint")
@@ -220,7 +223,7 @@ def shingle_set(text: bytes, shingle: int) -> set:
 def _confirm(batches: Iterator[pa.RecordBatch], rule: NearDup) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, whether it is a itself first): links of a to documents of enough similarity."""
     group, mine = None, set()
-    for batch in batches:
+    for batch in released(batches):
         a, salt, leaf, doc, text = [batch.column(i).to_pylist() for i in range(5)]
         out = []
         for i in range(len(a)):
@@ -288,7 +291,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def _small_keys(batches: Iterator[pa.RecordBatch], rule: NearDup, step: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """Rows (key; slot, id, comp, sig) sorted by key: pairs of different components within the distance that share no earlier key."""
     rest = None  # rows of the last key, which may go on in the next batch
-    for batch in chain(batches, [None]):
+    for batch in chain(released(batches), [None]):
         if batch is not None:
             if not len(batch):
                 continue
@@ -438,6 +441,7 @@ def _roots(rows: DataFrame, texts: DataFrame, same: DataFrame | None, rule: Near
     links = staged(links, "links")
     roots = staged(components(links), "components")
     more = staged(remaining_links(members, roots, sigs, texts, tested, rule), "links")
+    discard(members, texts, tested)
     if more.limit(1).count():
         roots = staged(components(links.unionByName(more)), "components")
     return classes.select("n", "lo", "hi", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n", "lo", "hi", F.coalesce("root", "rep").alias("root"))

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import table
+from surveyloom.llm.shared import released, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -303,7 +303,7 @@ def with_pieces(docs: DataFrame, model_path: str | None = None, text_col: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = load_model(data)
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
                 ids = [model.encode(t or "") for t in part.column(names.index(text_col)).to_pylist()]
@@ -330,7 +330,7 @@ def piece_digests(docs: DataFrame, model_path: str | None = None, id_col: str =
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, library = load_model(data)
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for text in batch.column(1):
                 ids, written = model.encode_with_text(text.as_py() or "")

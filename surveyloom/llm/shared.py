@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyloom.sources.scratch import fresh_path
 from surveyloom.sources.shipping import ship
 
+#: The C library's way to give freed memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 #: Characters that separate words: space, tab and the ASCII line breaks.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -20,25 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from ``spark.checkpoint.dir``. Where that is unset (local tests)
-    a temporary folder is made and the setting is filled in.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="surveyloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -59,6 +44,18 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task; what the work on one has freed goes back to the system before the next comes.
+
+    Workers live on between stages, so memory that they keep is missing elsewhere.
+    """
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with as many underscores as make it differ from ``columns`` in any case."""
     taken = {c.lower() for c in columns}

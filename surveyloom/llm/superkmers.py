@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import n_partitions
+from surveyloom.llm.shared import n_partitions, released
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
@@ -86,7 +86,7 @@ def least_in_windows(keys: np.ndarray, w: int) -> np.ndarray:
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, keys, bytes, offsets) of about ``limit`` bytes of text, documents ascending by id; larger texts stand alone."""
-    for batch in batches:
+    for batch in released(batches):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         keys = batch.column(1).to_numpy(zero_copy_only=False)
         text = batch.column(2)
@@ -233,7 +233,7 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
     """Blobs of one bucket after another, from rows sorted by bucket."""
     current, held = None, {}
-    for batch in batches:
+    for batch in released(batches):
         for bucket, kind, blob in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if bucket != current:
                 if current is not None:
