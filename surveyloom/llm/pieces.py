@@ -28,7 +28,7 @@ from surveyloom.llm.shared import released, table
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
