@@ -172,6 +172,29 @@ def write_tables(tables: dict[str, DataFrame], folder: str, formats: tuple[str,
             (writer.option("header", True).csv if kind == "csv" else writer.parquet)(f"{folder}/{name}.{kind}")
 
 
+def review_report(items: DataFrame, title: str) -> DataFrame:
+    """Numbered lines of a Markdown review of items (position, item, page, coverage, flags, snippet), to be written as text."""
+    part = F.array(
+        F.concat(F.lit("## "), F.col("item")), F.concat(F.lit("- Page: "), F.coalesce(F.col("page").cast("string"), F.lit("not found"))), F.concat(F.lit("- Coverage: "), F.format_number("coverage", 4)),
+        F.concat(F.lit("- Automated flags: "), F.when(F.size("flags") == 0, "none").otherwise(F.array_join("flags", ", "))), F.lit("- Manual decision: PENDING"), F.coalesce("snippet", F.lit("")),
+    )
+    body = items.select(F.col("position"), F.posexplode(part).alias("line", "text"))
+    head = items.sparkSession.createDataFrame([(-1, 0, f"# {title}")], "position int, line int, text string")
+    return head.unionByName(body.select(F.col("position").cast("int"), "line", "text"))
+
+
+def load_config(path: str, root: str | None = None) -> dict:
+    """A JSON configuration with its ``paths`` made absolute against ``root`` (or the file's folder), each of them created."""
+    with open(path) as f:
+        config = json.load(f)
+    base = root or os.path.dirname(os.path.abspath(path))
+    config["paths"] = {k: v if os.path.isabs(v) or "://" in v else os.path.join(base, v) for k, v in config.get("paths", {}).items()}
+    for v in config["paths"].values():
+        if "://" not in v:
+            os.makedirs(v, exist_ok=True)
+    return config
+
+
 def write_json(path: str, payload) -> None:
     """A driver-side JSON file, whole or not at all."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
