@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         ]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info(name: str) -> bytes:
+    """The record that opens a file; it follows from the file's name."""
+    block = b"software: surveyloom\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'file:{name}')}>", f"WARC-Date: {_DATE}", f"WARC-Filename: {name}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}",
+    ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -98,18 +109,25 @@ class _Roller:
             self.held = f"{self.root}/_temporary/{uuid.uuid4().hex}.warc.gz"
             self.out, self.hash = self.fs.open_output_stream(self.held), hashlib.sha256()
             self.records, self.bytes, self.first = 0, 0, page_id
+            self._write(member(info(self.name()), self.rule.level))
         packed = member(data, self.rule.level)
-        self.out.write(packed)
-        self.hash.update(packed)
-        self.records, self.bytes, self.last = self.records + 1, self.bytes + len(packed), page_id
+        self._write(packed)
+        self.records, self.last = self.records + 1, page_id
         if self.bytes >= self.rule.roll_bytes:
             self.close()
 
+    def name(self) -> str:
+        return f"part-{self.bucket:06d}-{self.turn:05d}.warc.gz"
+
+    def _write(self, packed: bytes) -> None:
+        self.out.write(packed)
+        self.hash.update(packed)
+        self.bytes += len(packed)
+
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            name = f"part-{self.bucket:06d}-{self.turn:05d}.warc.gz"
-            self.done.append((name, self.held, self.records, self.bytes, self.hash.hexdigest(), self.first, self.last))
+            self.done.append((self.name(), self.held, self.records, self.bytes, self.hash.hexdigest(), self.first, self.last))
             self.out, self.turn = None, self.turn + 1
 
 
@@ -149,15 +167,29 @@ def write_archives(pages: DataFrame, root: str, rule: Archive = Archive()) -> li
         if roller.done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*roller.done, strict=True), _FILES, strict=True)], schema=_FILES)
 
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(root)
+        for batch in batches:
+            for held, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if fs.get_file_info(held).type.name != "NotFound":  # a task that is run again finds its file in place
+                    fs.move(held, f"{path}/{name}")
+            yield batch
+
     fs, path = filesystem(root)
     fs.create_dir(f"{path}/_temporary", recursive=True)
-    files = sorted((r.asDict() for r in both.mapInArrow(write, _FILES_DDL).collect()), key=lambda f: f["name"])
-    for f in files:
-        fs.move(f.pop("held"), f"{path}/{f['name']}")
+    files = sorted((r.asDict() for r in both.mapInArrow(write, _FILES_DDL).collect()), key=lambda f: f["name"])  # one entry for each file
+    if files:
+        moves = spark.createDataFrame([(f.pop("held"), f["name"]) for f in files], "held string, name string")
+        moves.repartition(max(1, min(len(files), n_partitions(spark)))).mapInArrow(rename, "held string, name string").count()
     with fs.open_output_stream(f"{path}/_manifest.json.tmp") as out:
         out.write(json.dumps({"files": files}, indent=1, sort_keys=True).encode())
     fs.move(f"{path}/_manifest.json.tmp", f"{path}/manifest.json")
     fs.delete_dir(f"{path}/_temporary")
+    # files of an earlier archive in the same place
+    kept = {f["name"] for f in files}
+    for info in fs.get_file_info(FileSelector(path)):
+        if info.base_name.startswith("part-") and info.base_name not in kept:
+            fs.delete_file(info.path)
     return files
 
 
@@ -210,6 +242,10 @@ def read_archives(spark: SparkSession, root: str, payloads: bool = True) -> Data
             for name in batch.column(0).to_pylist():
                 with fs.open_input_stream(f"{path}/{name}") as f:
                     for headers, block in parse(iter(lambda f=f: f.read(1 << 20), b"")):
+                        if hashlib.sha256(block).hexdigest() != headers["WARC-Block-Digest"].removeprefix("sha256:"):
+                            raise ValueError(f"the block of {headers['WARC-Record-ID']} was changed")
+                        if headers["WARC-Type"] == "warcinfo":
+                            continue
                         payload = block.partition(b"\r\n\r\n")[2]
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
                         kind = headers["WARC-Type"]
