@@ -20,7 +20,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similarities of 0.8 or more of five-word shingles the document of least id stays."""
+    """Of each group linked by similarities of 0.8 or more of five-word shingles the document of least id stays.
+
+    Rows of one id are one document and stay or go together; rows without an id or without words stay.
+    """
     gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -39,7 +42,7 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text."""
+    """The token ids of every text, with the id only: one row per row of ``docs``."""
     return pieces.with_pieces(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
 
 
