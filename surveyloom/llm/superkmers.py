@@ -27,6 +27,8 @@ from surveyloom.llm.shared import n_partitions, released
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
+#: Input bytes of a shuffle partition, where the session has too few of them.
+PARTITION_BYTES = 128 << 20
 #: Unpacked bytes that are sorted at once, and of a bucket that is kept unpacked meanwhile.
 TURN_BYTES, KEPT_BYTES = 3 << 20, 64 << 20
 _P = 0x9E3779B97F4A7C15 | 1
@@ -140,7 +142,7 @@ def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable) -> Iterat
 
     A part holds whole slots (hashes of minimisers). A slot too large for a
     part has its windows dealt by their own hash, each standing alone; they are
-    found anew for each part, so that memory stays bounded.
+    found anew for each part, so that memory stays bounded. ``blobs`` is used up.
     ``slot_of(columns, data, low)`` numbers the runs from 0 to 4095;
     ``windows_of(columns, data, low)`` gives (run, place in it, byte start,
     bytes, hash) of their windows. Columns: ids, keys, start, windows, extra,
@@ -148,19 +150,20 @@ def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable) -> Iterat
     """
     total = sum(zstandard.frame_content_size(x) for x in blobs)
     kept = [_loaded(x) for x in blobs] if total <= KEPT_BYTES else None
-    each = lambda: kept if kept is not None else map(_loaded, blobs)
     slots, sizes = [], np.zeros(4096, np.int64)
-    for columns, data, low in each():
+    for columns, data, low in kept if kept is not None else map(_loaded, blobs):
         slots.append(slot_of(columns, data, low).astype(np.int16))
         sizes += np.bincount(slots[-1], columns[5], 4096).astype(np.int64)
     part = np.cumsum(sizes) // TURN_BYTES
+    dealt = _dealt(blobs, slots, part) if kept is None else {}
     for turn in np.unique(part[sizes > 0]):
         mine = part == turn
         pieces = max(1, -(-int(sizes[mine].sum()) // (4 * TURN_BYTES)))
+        if kept is not None:
+            own = [(columns, data, low, np.flatnonzero(mine[slot])) for (columns, data, low), slot in zip(kept, slots, strict=True)]
         for piece in range(pieces):
             parts = []
-            for (columns, data, low), slot in zip(each(), slots, strict=True):
-                x = np.flatnonzero(mine[slot])
+            for columns, data, low, x in own if kept is not None else ((*found, np.arange(len(found[2]))) for found in map(_loaded, dealt[int(turn)])):
                 if pieces == 1:
                     parts.append(([c[x] for c in columns], gather(data, low[x], columns[5][x])))
                     continue
@@ -179,6 +182,35 @@ def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable) -> Iterat
             lengths = columns[5]
             order = np.lexsort((columns[1], columns[0]))
             yield [c[order] for c in columns], gather(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
+        dealt.pop(int(turn), None)
+
+
+def _dealt(blobs: list[bytes], slots: list[np.ndarray], part: np.ndarray) -> dict[int, list[bytes]]:
+    """The runs of large buckets packed anew by turn, so that each is unpacked three times however many turns there are.
+
+    A few MB are dealt at a time; the blobs are given up one by one.
+    """
+    out: dict[int, list[bytes]] = {}
+    group: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
+    size = 0
+    for i, slot in enumerate(slots):
+        columns, data, _ = _loaded(blobs[i])
+        blobs[i] = b""
+        group.append((columns, data, part[slot]))
+        size += len(data)
+        if size < 2 * TURN_BYTES and i + 1 < len(slots):
+            continue
+        columns = [np.concatenate(c) for c in zip(*[g[0] for g in group], strict=True)]
+        data, turn = np.concatenate([g[1] for g in group]), np.concatenate([g[2] for g in group])
+        low = np.cumsum(columns[5]) - columns[5]
+        order = np.lexsort((columns[0], turn))
+        cuts = np.flatnonzero(np.diff(turn[order], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
+            x = order[a:b]
+            packed = Packed.dump([steps_of(columns[0][x]), *[c[x] for c in columns[1:]]], gather(data, low[x], columns[5][x]), 1)
+            out.setdefault(int(turn[x[0]]), []).append(packed)
+        group, size = [], 0
+    return out
 
 
 def blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -280,7 +312,8 @@ def removed_ranges(
     row without the id. Documents of null id neither remove nor lose anything.
     """
     spark = docs.sparkSession
-    parts = n_partitions(spark)
+    held = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    parts = max(n_partitions(spark), -(-held // PARTITION_BYTES))
     n_runs, n_final = 2 * parts, 2 * parts
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
