@@ -45,6 +45,19 @@ def bootstrap(cells: DataFrame, value: str, unit: str, strata: list[str], keys:
     return _summary(stat, seen, keys)
 
 
+def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, keys: list[str], replicates: int = 2000, seed: int = 1701) -> DataFrame:
+    """Observed mean of all rows, interval and p, drawing whole clusters; a cluster weighs as many rows as it has.
+
+    Clusters are summed before they are drawn, so a replicate costs one number for each cluster.
+    """
+    per = rows.groupBy(*keys, cluster).agg(F.sum(value).alias("x"), F.count(value).alias("size"))
+    draws = per.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    w = _poisson(seed, F.col("rep"), F.col(cluster))
+    stat = draws.groupBy(*keys, "rep").agg(F.try_divide(F.sum(w * F.col("x")), F.sum(w * F.col("size"))).alias("d"))
+    seen = per.groupBy(*keys).agg((F.sum("x") / F.sum("size")).alias("difference"), F.count(F.lit(1)).alias("n_units"))
+    return _summary(stat, seen, keys)
+
+
 def _summary(stat: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Interval and two-sided p with the plus-one correction."""
     n = F.count("d")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions import probs
+from surveyloom.functions.text import STOP_WORDS
 
 
 def tfidf(texts: DataFrame, text: str = "text", features: int = 1 << 16) -> DataFrame:
@@ -31,13 +32,13 @@ def tfidf(texts: DataFrame, text: str = "text", features: int = 1 << 16) -> Data
     return Normalizer(inputCol="_idf", outputCol="tfidf").transform(rows).drop("_w", "_s", "_b", "_t", "_tf", "_idf")
 
 
-def tfidf_terms(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """L23 as rows (key, term, w): one- and two-word terms, tf (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1.
+def tfidf_terms(texts: DataFrame, key: str, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """L23 as rows (key, term, w): one- and two-word terms without stop words, tf (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1.
 
     Sparse throughout: a text has as many rows as distinct terms. Document
     frequencies are joined by term without a hint, since they grow with the texts.
     """
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+    stop = F.array(*[F.lit(w) for w in stop_words])
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\w\w+"), F.lit(0))
     rows = texts.select(key, F.filter(words, lambda w: ~F.array_contains(stop, w)).alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))

@@ -12,28 +12,28 @@ from pyspark.sql import functions as F
 from surveyloom.functions import probs, text
 from surveyloom.operators.ranking import top_n
 
-#: Vectors that one block of a search holds.
-BLOCK = 4096
+#: Queries that one block of a search holds, and vectors of the index beside it: some 20 MB of 64 dimensions.
+BLOCK, INDEX_BLOCK = 16384, 32768
 
 
 def neighbours(queries: DataFrame, index: DataFrame, n: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
     """The ``n`` most similar rows of ``index`` by cosine for each query, without the query itself; ties by id.
 
-    Both sides are cut into blocks by hash; each task holds one block of
-    queries and passes over one block of the index, and sends on only its
-    ``n`` best per query.
+    Both sides are cut into blocks by hash, in their own precision; each task
+    holds one block of queries and passes over one block of the index, and
+    sends on only its ``n`` best per query.
     """
     parts = max(1, -(-queries.count() // BLOCK))
-    cuts = max(1, -(-index.count() // (4 * BLOCK)))
-    q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("qb"))
-    x = index.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(cuts)).cast("int").alias("xb"))
+    cuts = max(1, -(-index.count() // INDEX_BLOCK))
+    q = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(parts)).cast("int").alias("qb"))
+    x = index.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(cuts)).cast("int").alias("xb"))
     q = q.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
     x = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []}).astype({"id": "int64", "neighbour": "int64"})
-        a, b = np.stack(left["v"]), np.stack(right["v"])
+        a, b = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
         a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), probs.FLOOR)
         b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), probs.FLOOR)
         ids, other = left["id"].to_numpy(), right["id"].to_numpy()

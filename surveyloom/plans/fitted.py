@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.functions import probs
+from surveyloom.functions.text import STOP_WORDS
 from surveyloom.operators import inference, metrics, models
 from surveyloom.plans.catalogue import register
 from surveyloom.operators.joins import paired
@@ -127,6 +128,15 @@ register(
     "ob AS (SELECT domain, round(avg(survey_weight - 1.5), 9) AS difference, count(*) AS n_units FROM people GROUP BY 1) "
     f"SELECT * FROM ob JOIN (SELECT domain, {_summary_sql('dr')} GROUP BY domain) USING (domain)",
 )
+register(
+    "cluster_bootstrap",
+    lambda s, d: rounded(inference.cluster_bootstrap(_seen(s, d).where("method = 'mixed_seed1'").withColumn("gain", F.col("nll") - 1.6), "gain", "question_key", ["domain"], 500)),
+    sql(
+        f"SELECT * FROM (SELECT domain, round(sum(x) / sum(z), 9) AS difference, count(*) AS n_units FROM cl GROUP BY 1) JOIN (SELECT domain, {_summary_sql('dr')} GROUP BY domain) USING (domain)",
+        f"{_SEEN}, cl AS (SELECT domain, question_key, sum(nll - 1.6) AS x, count(*) AS z FROM sk WHERE method = 'mixed_seed1' GROUP BY 1, 2), "
+        f"dr AS (SELECT domain, rep, sum(w * x) / nullif(sum(w * z), 0) AS d FROM (SELECT domain, x, z, rep, {_drawn(1701, 'rep', 'question_key')} AS w FROM cl, (SELECT unnest(range(500)) AS rep)) GROUP BY 1, 2)",
+    ),
+)
 register(
     "selector_positions",
     lambda s, d: rounded(inference.position_means(predictions(s, d), ["domain"], "p")),
@@ -137,11 +147,22 @@ register(
 def _cosine_of_documents(s, d):
     docs, items = table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select("item_id", "text")
     a, b = models.tfidf_terms(docs, "doc_id"), models.tfidf_terms(items, "item_id").withColumnRenamed("w", "v")
-    cos = a.join(b, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    cos = a.join(b, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 12).alias("cosine"))
     return cos.groupBy("item_id").agg(F.max_by("doc_id", F.struct("cosine", "doc_id")).alias("doc_id"), F.max("cosine").alias("cosine"))
 
 
-register("tfidf_cosine", _cosine_of_documents)
+_TERMS = (
+    "{n}w AS (SELECT {key} AS k, list_filter(regexp_extract_all(lower(text), '\\w\\w+'), lambda w: NOT list_contains(" + str(STOP_WORDS) + ", w)) AS w FROM {table} WHERE text IS NOT NULL), "
+    "{n}t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {n}w) GROUP BY 1, 2), "
+    "{n}d AS (SELECT term, count(*) AS df FROM {n}t GROUP BY 1), {n}x AS (SELECT k, term, tf * (ln((1.0 + (SELECT count(*) FROM {table})) / (1 + df)) + 1) AS x FROM {n}t JOIN {n}d USING (term)), "
+    "{n} AS (SELECT k, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS w FROM {n}x)"
+)
+register(
+    "tfidf_cosine",
+    lambda s, d: rounded(_cosine_of_documents(s, d), 7),
+    f"WITH {_TERMS.format(n='da', key='doc_id', table='documents')}, {_TERMS.format(n='ib', key='item_id', table='benchmark')}, c AS (SELECT ib.k AS item_id, da.k AS doc_id, round(sum(da.w * ib.w), 12) AS cosine FROM da JOIN ib USING (term) GROUP BY 1, 2) "
+    "SELECT item_id, arg_max(doc_id, (cosine, doc_id)) AS doc_id, round(max(cosine), 7) AS cosine FROM c GROUP BY 1",
+)
 
 
 def _profiles(s, d):
@@ -180,7 +201,36 @@ def _ridge(s, d):
     return s.createDataFrame(models.group_ridge(p, ["p_size", "r"], "p_retailprice", "p_brand"))
 
 
-register("ridge_groups", _ridge)
+_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def _det(*m: str) -> str:
+    a, b, c, d, e, f, g, h, i = (f"({x})" for x in m)
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _ridge_sql() -> str:
+    """Normal equations by group; three unknowns by determinants."""
+    cells = ["n", "sx", "sz", "sx", "sxx", "sxz", "sz", "sxz", "szz"]
+    right = ["sy", "sxy", "szy"]
+    sums = "count(*)::DOUBLE AS n, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS sxx, sum(x * z) AS sxz, sum(z * z) AS szz, sum(y) AS sy, sum(x * y) AS sxy, sum(z * y) AS szy, sum(y * y) AS syy"
+
+    def solved(name, minus):
+        term = lambda c: f"t.{c} - g.{c}" if minus else f"t.{c}"
+        h = [term(c) + (" + a" if i in (4, 8) else "") for i, c in enumerate(cells)]
+        r = [term(c) for c in right]
+        column = lambda j: _det(*[r[i // 3] if i % 3 == j else h[i] for i in range(9)])
+        return ", ".join(f"{column(j)} / {_det(*h)} AS b{j}" for j in range(3))
+
+    return (
+        f"WITH d AS (SELECT p_brand AS grp, p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS z, p_retailprice::DOUBLE AS y FROM part), g AS (SELECT grp, {sums} FROM d GROUP BY 1), t AS (SELECT {sums} FROM d), al AS (SELECT unnest({list(_ALPHAS)}::DOUBLE[]) AS a), "
+        f"lo AS (SELECT a, g.*, {solved('g', True)} FROM g, t, al), er AS (SELECT a, sum(syy - 2 * (b0 * sy + b1 * sxy + b2 * szy) + b0 * b0 * n + b1 * b1 * sxx + b2 * b2 * szz + 2 * (b0 * b1 * sx + b0 * b2 * sz + b1 * b2 * sxz)) / sum(n) AS e FROM lo GROUP BY 1), "
+        f"be AS (SELECT arg_min(a, (round(e, 9), a)) AS a, min(e) AS e FROM er), fi AS (SELECT a, e, {solved('t', False)} FROM t, be) "
+        "SELECT unnest(['intercept', 'p_size', 'r']) AS term, round(unnest([b0, b1, b2]), 4) AS coefficient, a AS alpha, round(e, 4) AS loo_mse FROM fi"
+    )
+
+
+register("ridge_groups", lambda s, d: rounded(_ridge(s, d), 4), _ridge_sql())
 
 _COEF = {0: (0.2, 0.1, -0.3), 1: (0.0, -0.2, 0.4), 2: (-0.5, 0.3, 0.1)}
 
@@ -217,6 +267,26 @@ register(
 )
 
 
+def _permuted(s, d):
+    """Options are shown in an order of their own for each row; the reader's shares are put back."""
+    from surveyloom.functions import hashing
+    from surveyloom.operators.vectors import read_prompts
+
+    rows = responses(s, d).where("split = 'test'").select("row_id", hashing.hash_order(7, F.col("row_id"), F.lit(5)).alias("order"), F.concat(F.lit("prompt of "), F.col("row_id")).alias("prompt"), F.lit(5).alias("n_options"))
+    out = read_prompts(rows).withColumn("p", probs.unpermute(F.col("p"), F.col("order")))
+    return rounded(out.select("row_id", *[F.col("p")[i].alias(f"p{i}") for i in range(5)]))
+
+
+register(
+    "permuted_reader",
+    _permuted,
+    sql(
+        "SELECT row_id, " + ", ".join(f"round(e[list_position(o, {i})] / list_sum(e), 9) AS p{i}" for i in range(5)) + " FROM (SELECT row_id, list_transform(range(5), lambda i: exp(('0x' || substr(sha256('prompt of ' || row_id), 1 + 2 * i, 2))::INT / 64.0::DOUBLE)) AS e, "
+        "(SELECT list(i ORDER BY sha256('7|' || row_id || '|' || i)) FROM (SELECT unnest(range(5)) AS i)) AS o FROM responses WHERE split = 'test')"
+    ),
+)
+
+
 def _logits(s, d):
     rows = table(s, d, "part").select("p_brand", (F.col("p_size") / 50.0).alias("x"), F.when(F.col("p_brand") == "Brand#11", 1).otherwise((F.col("p_retailprice") > 1400 + (F.col("p_size") % 7) * 30).cast("int")).alias("y"))
     out = models.option_logits(rows, ["p_brand"], ["x"])

@@ -66,20 +66,21 @@ register(
         "sh AS (SELECT arg_min(l, (v, l)) AS share FROM sl), tq AS (SELECT * FROM sq WHERE item_pool = 'unseen')",
     ),
 )
-_GRID = [(t, w) for t in (0.5, 1.0, 2.0, 4.0) for w in (0.0, 0.25, 0.5, 0.75)]
+#: Fifteen log-spaced temperatures from 0.25 to 4, and eleven shares.
+_GRID = [(0.25 * 16 ** (i / 14), w / 10) for i in range(15) for w in range(11)]
 
 
 def _sweep(s, d):
     rows = predictions(s, d).where("item_pool = 'seen'").withColumn("u", F.transform("p", lambda _: F.lit(0.2)))
-    return calibration.sweep(rows, _GRID, lambda t, w: probs.nll(probs.log_pool(probs.temper(F.col("p"), t), F.col("u"), w), F.col("answer_index"))).select(F.col("a").alias("temperature"), F.col("b").alias("share"), "loss")
+    return calibration.sweep(rows, _GRID, lambda t, w: probs.nll(probs.log_pool(probs.temper(F.col("p"), t), F.col("u"), w), F.col("answer_index"))).select(F.round("a", 9).alias("temperature"), F.col("b").alias("share"), "loss")
 
 
 register(
     "sweep_best",
     _sweep,
     sql(
-        f"SELECT t AS temperature, w AS share, round(avg({_NLL_AT.format(z='f')}), 9) AS loss FROM (SELECT t, w, answer_index, list_transform(z, lambda v: exp((1 - w) * ln(greatest(v / list_sum(z), 1e-12)) + w * ln(0.2::DOUBLE))) AS f FROM "
-        f"(SELECT t, w, answer_index, {_TEMPERED.format(p='p', t='t')} AS z FROM preds, gr WHERE item_pool = 'seen')) GROUP BY 1, 2 ORDER BY loss, temperature, share LIMIT 5",
+        f"SELECT round(t, 9) AS temperature, w AS share, round(avg({_NLL_AT.format(z='f')}), 9) AS loss FROM (SELECT t, w, answer_index, list_transform(z, lambda v: exp((1 - w) * ln(greatest(v / list_sum(z), 1e-12)) + w * ln(0.2::DOUBLE))) AS f FROM "
+        f"(SELECT t, w, answer_index, {_TEMPERED.format(p='p', t='t')} AS z FROM preds, gr WHERE item_pool = 'seen')) GROUP BY t, w ORDER BY loss, t, w LIMIT 5",
         f"{FREQUENCY_SQL}, gr(t, w) AS (VALUES {', '.join(f'({t}::DOUBLE, {w}::DOUBLE)' for t, w in _GRID)})",
     ),
 )

@@ -331,3 +331,22 @@ register(
         FREQUENCY_SQL,
     ),
 )
+
+
+def _alpha(s, d):
+    """L1: the share, in steps of 0.05, of the frequency predictor in a geometric blend with the population prior that loses least."""
+    prior = with_prior(s, d).select("row_id", "prior")
+    rows = predictions(s, d).where("item_pool = 'seen'").join(prior, "row_id").withColumn("alpha", F.explode(F.array(*[F.lit(i / 20) for i in range(21)])))
+    losses = rows.select("alpha", probs.nll(probs.log_pool(F.col("prior"), F.col("p"), F.col("alpha")), F.col("answer_index")).alias("nll")).groupBy("alpha").agg(F.round(F.avg("nll"), 9).alias("nll"))
+    return losses.agg(F.min_by("alpha", F.struct("nll", "alpha")).alias("alpha"), F.min("nll").alias("nll"))
+
+
+register(
+    "alpha_grid",
+    _alpha,
+    sql(
+        "SELECT arg_min(al, (nll, al)) AS alpha, min(nll) AS nll FROM (SELECT al, round(avg(-ln(greatest(z[answer_index + 1] / list_sum(z), 1e-12))), 9) AS nll FROM (SELECT al, preds.answer_index, list_transform(range(1, 6), lambda i: exp((1 - al) * ln(greatest(prior[i], 1e-12)) + al * ln(greatest(p[i], 1e-12)))) AS z "
+        "FROM preds JOIN (SELECT row_id, prior FROM priors) USING (row_id), (SELECT unnest(range(21)) / 20.0::DOUBLE AS al) WHERE item_pool = 'seen') GROUP BY 1)",
+        f"{FREQUENCY_SQL}, {PRIOR_SQL}",
+    ),
+)

@@ -19,51 +19,49 @@ def oracle(sql, tables):
 
 @pytest.mark.parametrize("name", ["matched_pairs", "pair_divergence"])
 def test_buckets_up_to_200_are_whole(spark, name):
-    """The registered SQL still has a cap of 20, which four buckets of these tables exceed."""
+    """Query and SQL have the protocol's cap, which no bucket of these tables reaches; four exceed 20."""
     text = catalogue.ORACLES[name]
-    assert text.count("rn <= 20)") == 1
-    names, want = oracle(text.replace("rn <= 20)", "rn <= 200)"), ["customer", "nation", "orders"])
+    assert text.count("rn <= 200)") == 1
+    names, want = oracle(text.replace("rn <= 200)", "true)"), ["customer", "nation", "orders"])
     keys = ["domain", "panel_id_a", "panel_id_b"]
     got = catalogue.QUERIES[name](spark, SF).select(*keys).collect()
     assert sorted(map(tuple, got)) == sorted(tuple(r[names.index(k)] for k in keys) for r in want)
 
 
-def test_own_evidence_comes_from_all_records(spark):
-    """No label is sparse here, so the rows are those of the search within the label."""
-    names, want = oracle(catalogue.ORACLES["query_evidence_topk"], ["embeddings"])
-    want = sorted((r[names.index("target_id")], r[names.index("question_key")]) for r in want)
-    got = catalogue.QUERIES["assembled_evidence"](spark, SF).collect()
-    assert sorted((r.target_id, r.record_id) for r in got) == want and {r.origin for r in got} == {"self"}
-
-
-def test_sparse_labels_take_evidence_of_their_neighbours(spark, tmp_path):
+def test_evidence_comes_from_all_records_of_the_panels(spark, tmp_path):
+    """Targets are the ids divisible by 100, against all other records: the panel's own of their label, then those of its neighbours."""
     rng = np.random.default_rng(1)
-    vector, label = rng.normal(size=(120, 8)), [0 if i in (11, 20, 50) else 1 + i % 11 for i in range(120)]
-    rows = [(i, vector[i].tolist(), label[i]) for i in range(120)]
+    vector, label = rng.normal(size=(600, 64)), [int(x) for x in rng.integers(0, 14, 600)]
+    rows = [(i, vector[i].tolist(), label[i]) for i in range(600)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
-    records = [i for i in range(120) if i % 10]
-    profile = {k: vector[[i for i in records if label[i] == k]].mean(axis=0) for k in set(label)}
-    near = sorted(set(profile) - {0}, key=lambda k: -cos(profile[0], profile[k]))[:8]
-    want = set()
-    for t in (20, 50):
-        best = sorted((i for i in records if label[i] in near), key=lambda i: -cos(vector[t], vector[i]))[:3]
-        want |= {(t, 11, "self")} | {(t, i, "neighbour") for i in best}
-    got = catalogue.QUERIES["assembled_evidence"](spark, str(tmp_path)).where("target_id in (20, 50)").collect()
+    profile = {k: vector[50 * k : 50 * k + 50].mean(axis=0) for k in range(12)}
+    want, top = set(), set()
+    for t in range(0, 600, 100):
+        order = lambda ids: sorted(ids, key=lambda i: (-cos(vector[t], vector[i]), i))  # noqa: B023, E731
+        mine = [i for i in range(t, t + 50) if i != t]
+        top |= {(t, i) for i in order(mine)[:3]}
+        own = order([i for i in mine if label[i] == label[t]])[:4]
+        near = sorted(set(profile) - {t // 50}, key=lambda k: -cos(profile[t // 50], profile[k]))[:3]
+        more = order([i for i in range(600) if i // 50 in near and label[i] == label[t]])[: 5 - len(own)] if len(own) < 4 else []
+        want |= {(t, i, "self") for i in own} | {(t, i, "neighbour") for i in more}
+    assert {x[2] for x in want} == {"self", "neighbour"}
+    got = catalogue.QUERIES["assembled_evidence"](spark, str(tmp_path)).collect()
     assert {(r.target_id, r.record_id, r.origin) for r in got} == want
+    assert {(r.target_id, r.question_key) for r in catalogue.QUERIES["query_evidence_topk"](spark, str(tmp_path)).collect()} == top
 
 
 def test_searches_use_the_whole_grid(spark):
-    """The registered SQL has coarser grids; here it runs with those of the protocol."""
+    """Query and SQL have the protocol's grids."""
     text = catalogue.ORACLES["temperature_grid"]
-    coarse, fine = "[0.25, 0.5, 1.0, 2.0, 4.0]", str(np.geomspace(0.25, 4.0, 25).tolist())
-    assert text.count(coarse) == 1
-    names, want = oracle(text.replace(coarse, fine), ["customer", "nation", "orders"])
+    grid = [float(x) for x in text.split("unnest([")[1].split("]")[0].split(",")]
+    assert grid == pytest.approx(np.geomspace(0.25, 4.0, 25).tolist())
+    names, want = oracle(text, ["customer", "nation", "orders"])
     got = {r.domain: (r.temperature, r.nll) for r in catalogue.QUERIES["temperature_grid"](spark, SF).collect()}
     assert got == {r[names.index("domain")]: (pytest.approx(r[names.index("temperature")]), pytest.approx(r[names.index("nll")])) for r in want}
     text = catalogue.ORACLES["lambda_grid"]
-    assert text.count("unnest(range(21)) / 20.0") == 1
-    names, want = oracle(text.replace("unnest(range(21)) / 20.0", "unnest(range(101)) / 100.0"), ["customer", "nation", "orders"])
+    assert text.count("unnest(range(101)) / 100.0") == 1
+    names, want = oracle(text, ["customer", "nation", "orders"])
     got = catalogue.QUERIES["lambda_grid"](spark, SF).first()
     assert (got.share, got.nll) == (pytest.approx(want[0][names.index("share")]), pytest.approx(want[0][names.index("nll")]))
 
