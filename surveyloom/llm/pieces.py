@@ -3,10 +3,12 @@
 Encoding is exact and needs no priority queue. Adjacent tokens are *compatible*
 if merging the characters of both gives the same two tokens again; a text has
 exactly one cover by pairwise compatible tokens, and that is its encoding. It
-is found by backtracking: take the longest token that starts here (from one
-Aho-Corasick pass), fall back to its next shorter prefix while the pair is not
-compatible, and step back when none is left. A bitfield marks positions from
-which no cover exists, so that none is tried twice.
+is found by backtracking: take the longest token that starts here, fall back
+to its next shorter prefix while the pair is not compatible, and step back when
+none is left. A bitfield marks positions from which no cover exists, so that
+none is tried twice. The longest tokens that start at each position come from
+one Aho-Corasick pass over the reversed text: there they are the longest
+matches that end at each position, which the automaton reports first.
 
 No piece of such a model has a word boundary inside, so words are encoded one
 by one, and frequent ones are remembered.
@@ -101,15 +103,8 @@ class PieceModel:
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.tokens), None) for p in self.tokens}
         self.automaton = ahocorasick.Automaton()
         for p in self.tokens:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p[::-1], p)
         self.automaton.make_automaton()
-        # every path of the automaton's trie, with the longest token along it
-        self.reach: dict[str, str | None] = {"": None}
-        for p in sorted(self.tokens):
-            for k in range(1, len(p) + 1):
-                if p[:k] not in self.reach:
-                    self.reach[p[:k]] = p[:k] if p[:k] in self.tokens else self.reach[p[: k - 1]]
-        self.widest = max(map(len, self.tokens))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.digits = [str(i) for i in range(len(pieces))]
@@ -164,13 +159,17 @@ class PieceModel:
         """The one cover of a text (of known characters) by pairwise compatible tokens."""
         if text in self.tokens:
             return [text]
-        n, widest = len(text), self.widest
-        reach, path, pairs, shorter = self.reach, self.automaton.longest_prefix, self.pairs, self.shorter
+        n = len(text)
+        longest: list[str | None] = [None] * n  # the longest token that starts at each position
+        seen = -1
+        for end, token in self.automaton.iter(text[::-1]):
+            if end != seen:  # of the matches that end here the longest comes first
+                longest[n - 1 - end], seen = token, end
+        pairs, shorter = self.pairs, self.shorter
         dead = bytearray((n >> 3) + 1)  # bit p: no cover goes on from p
         out: list[str] = []
         at, last = 0, None
-        rest = text[:widest]
-        token = reach[rest[: path(rest)]]
+        token = longest[0]
         while True:
             while token is not None:
                 end = at + len(token)
@@ -186,8 +185,7 @@ class PieceModel:
                 at, last = end, token
                 if at == n:
                     return out
-                rest = text[at : at + widest]
-                token = reach[rest[: path(rest)]]
+                token = longest[at]
             else:
                 dead[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
