@@ -25,6 +25,14 @@ def _poisson(seed: int, *parts: Column) -> Column:
     return out
 
 
+def _all_draws(seed: int, replicates: int, *parts: Column) -> Column:
+    """The multiplicities of a unit in all replicates, one byte each."""
+    digest = lambda r: F.md5(F.concat_ws("|", F.lit(str(seed)), r.cast("string"), *[p.cast("string") for p in parts]))
+    u = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: (F.conv(F.substring(digest(r), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52))
+    # the first bound above u, counted from 0; a second transform, so that u is computed once
+    return F.transform(u, lambda x: F.size(F.filter(F.array(*[F.lit(c) for c in POISSON]), lambda c: c < x)).cast("tinyint"))
+
+
 def bootstrap(cells: DataFrame, value: str, unit: str, strata: list[str], keys: list[str], replicates: int = 2000, seed: int = 1701, pooled: bool = False) -> DataFrame:
     """Observed mean, 95 % interval and p of a value, resampling units within strata.
 
@@ -81,10 +89,19 @@ def paired_bootstrap(rows: DataFrame, method: str, reference: str, metric: str,
 
 
 def crossed_bootstrap(rows: DataFrame, method: str, reference: str, metric: str = "nll", replicates: int = 2000, seed: int = 1701) -> DataFrame:
-    """Respondents and items drawn at once, both with multiplicity; missing cells have no weight."""
+    """Respondents and items drawn at once, both with multiplicity; missing cells have no weight.
+
+    Multiplicities are drawn once for each respondent and item, not for each
+    cell. A respondent's cells are gathered (at most as many as there are
+    items), so that only they are shuffled and no draws.
+    """
     cells = paired(rows, method, reference, metric, ["domain", "panel_id", "question_key"])
-    draws = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    w = _poisson(seed, F.col("rep"), F.col("panel_id"), F.col("domain")) * _poisson(seed + 1, F.col("rep"), F.col("question_key"), F.col("domain"))
+    panels = cells.groupBy("domain", "panel_id").agg(F.collect_list(F.struct("question_key", "difference")).alias("cells"))
+    panels = panels.withColumn("by_panel", _all_draws(seed, replicates, F.col("panel_id"), F.col("domain")))
+    items = cells.select("domain", "question_key").distinct().withColumn("by_item", _all_draws(seed + 1, replicates, F.col("question_key"), F.col("domain")))
+    both = panels.select("domain", "by_panel", F.inline("cells")).join(items, ["domain", "question_key"])
+    draws = both.select("domain", "difference", "by_item", F.posexplode("by_panel").alias("rep", "n"))
+    w = F.col("n").cast("bigint") * F.get("by_item", F.col("rep"))
     sums = draws.groupBy("domain", "rep").agg(F.try_divide(F.sum(w * F.col("difference")), F.sum(w)).alias("d"))
     stat = sums.groupBy("rep").agg(F.avg("d").alias("d"))
     seen = cells.groupBy("domain").agg(F.avg("difference").alias("x")).agg(F.avg("x").alias("difference"))
