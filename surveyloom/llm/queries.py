@@ -12,6 +12,7 @@ from surveyloom.llm.sharding import op8_sharding
 from surveyloom.llm.substring_dedup import op4_substring_dedup
 from surveyloom.llm.suffix_dedup import op5_suffix_dedup
 from surveyloom.llm.warc import op7_warc
+from surveyloom.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_near_dup": op10_near_dup,
+    "op12_whitening": op12_whitening,
 }
 
 #: The others hash with functions that SQL engines do not share, or iterate; tests/llm compares them with brute force.
