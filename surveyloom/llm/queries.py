@@ -6,6 +6,7 @@ from surveyloom.llm.decontamination import op9_decontamination
 from surveyloom.llm.fingerprints import op2_fingerprints
 from surveyloom.llm.language_id import op1_language_id
 from surveyloom.llm.near_dup import op10_near_dup
+from surveyloom.llm.packing import op11_packing
 from surveyloom.llm.personal_data import op3_personal_data
 from surveyloom.llm.pieces import op6_pieces
 from surveyloom.llm.sharding import op8_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_near_dup": op10_near_dup,
+    "op11_packing": op11_packing,
     "op12_whitening": op12_whitening,
 }
 
