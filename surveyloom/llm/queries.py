@@ -5,6 +5,7 @@ from __future__ import annotations
 from surveyloom.llm.decontamination import op9_decontamination
 from surveyloom.llm.fingerprints import op2_fingerprints
 from surveyloom.llm.language_id import op1_language_id
+from surveyloom.llm.lexical_search import op13_lexical_search
 from surveyloom.llm.near_dup import op10_near_dup
 from surveyloom.llm.packing import op11_packing
 from surveyloom.llm.personal_data import op3_personal_data
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_near_dup": op10_near_dup,
     "op11_packing": op11_packing,
     "op12_whitening": op12_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: The others hash with functions that SQL engines do not share, or iterate; tests/llm compares them with brute force.
@@ -45,5 +47,17 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS m FROM p)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN strlen(h) >= 100 AND m <> page_id THEN m END AS refers_to FROM q
+""",
+    "op13_lexical_search": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+total AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGINT AS l FROM docs),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n),
+wanted AS (SELECT i, item_id, term, count(*) AS c FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT i, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws)::BIGINT * n) // l))))::BIGINT AS score
+  FROM wanted JOIN tf USING (term) JOIN df USING (term) JOIN docs USING (r), total GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 10
 """,
 }
