@@ -21,3 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """``df`` written once to the shared folder and read from there: cuts lineage and survives lost executors."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def drop(spark: SparkSession, path: str | None) -> None:
+    """Delete a folder below the shared one that nothing reads any more."""
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
