@@ -203,7 +203,7 @@ def fit_traits(rows: DataFrame, rule: TraitRule = TraitRule(), codes: list[str]
         sums = gathered(held, _item_sums(model))
         if sums is None:
             break
-        model.history.append(float(sums[0]) - penalty(model))
+        model.history.append(float(sums[0] - penalty(model)))
         if len(model.history) > 2 and model.history[-1] - model.history[-2] <= rule.settle * abs(model.history[-2]):
             break
         model = _items_step(model, sums)
@@ -341,7 +341,8 @@ def fit_personas(rows: DataFrame, options: DataFrame, rule: PersonaRule = Person
     known answers and targets; the round of least loss is returned, ``patience`` rounds after it nothing more is tried.
     """
     items, sizes = catalogue(rows, rule.most_items)
-    vectors = {r["question_key"]: r["options"] for r in options.where(F.col("question_key").isin(list(items)) if len(items) < 1000 else F.lit(True)).collect()}  # as many as items
+    wanted = options.join(options.sparkSession.createDataFrame([(k,) for k in items], "question_key string"), "question_key", "left_semi")
+    vectors = {r["question_key"]: r["options"] for r in wanted.collect()}  # as many as items
     rank = len(next(iter(vectors.values()))[0]) if vectors else 1
     x = np.zeros((len(items), int(sizes.max(initial=1)), rank))
     for key, i in items.items():
