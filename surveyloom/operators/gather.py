@@ -34,4 +34,5 @@ def gathered(rows: DataFrame, fold: Callable, merge: Callable = added):
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], names=["state"])
 
     partial = rows.mapInArrow(run, "state binary").rdd.map(lambda row: pickle.loads(row[0]))
-    return partial.treeAggregate(None, merge, merge, 2)
+    # few states are merged where they arrive; a tree of one level more takes another stage
+    return partial.treeAggregate(None, merge, merge, 1 if partial.getNumPartitions() <= 16 else 2)

@@ -191,8 +191,10 @@ def grow_forest(rows: DataFrame, columns: list[str], outputs: list[str], classes
 
     Missing features take the training mode. Without rows the trees are single leaves without counts.
     """
-    fitted = fit_bins(rows, columns, bins)
-    held = written(fitted.applied(rows).select("bins", F.array(*[F.col(c).cast("int") for c in outputs]).alias("labels")), "binned")
+    narrow = written(rows.select(*dict.fromkeys([*columns, *outputs])), "features")  # read several times
+    fitted = fit_bins(narrow, columns, bins)
+    held = written(fitted.applied(narrow).select("bins", F.array(*[F.col(c).cast("int") for c in outputs]).alias("labels")), "binned")
+    drop(narrow.sparkSession, narrow.written_path)
     trees = [Tree() for _ in range(rule.trees)]
     k = max(1, int(np.sqrt(len(columns))))
     shape = (fitted.width, len(outputs), max(classes))
@@ -342,8 +344,10 @@ def grow_boosted(rows: DataFrame, columns: list[str], chosen: str, rule: BoostRu
     Best-first growth is replayed with the gains that are known; whenever it
     comes to nodes without one, a job computes all of those. Every row is used.
     """
-    fitted = fit_bins(rows, columns, bins)
-    held = written(fitted.applied(rows).select("bins", F.col(chosen).cast("int").alias("y")), "binned")
+    narrow = written(rows.select(*dict.fromkeys([*columns, chosen])), "features")  # read several times
+    fitted = fit_bins(narrow, columns, bins)
+    held = written(fitted.applied(narrow).select("bins", F.col(chosen).cast("int").alias("y")), "binned")
+    drop(narrow.sparkSession, narrow.written_path)
     share, n = held.agg(F.avg("y"), F.count(F.lit(1))).first()
     model = Boosted(fitted, 0.0)
     if not n or share in (0.0, 1.0):

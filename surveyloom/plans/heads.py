@@ -8,6 +8,7 @@ from surveyloom.operators import heads, questionnaires
 from surveyloom.operators.vectors import centroids
 from surveyloom.plans.catalogue import register
 from surveyloom.plans.scores import rounded, with_prior
+from surveyloom.sources.scratch import written
 from surveyloom.sources.tables import table
 
 DEMOGRAPHICS = ["country", "sex", "age_bin", "education", "income_quintile"]
@@ -31,7 +32,9 @@ def head_rows(s, d):
     rows = with_prior(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("person_id"), F.col("embedding").alias("z")), "person_id")
     log_prior = F.transform("prior", lambda x: F.log(F.greatest(x, F.lit(1e-12))))
     rows = rows.withColumn("log_prior", log_prior).withColumnRenamed("prior", "direct")
-    return rows.join(option_vectors(rows), "question_key").select("row_id", "question_key", "answer_index", "split", "is_unseen_item", "z", "options", "log_prior", "direct", *DEMOGRAPHICS)
+    rows = written(rows, "respondents")  # read for the options as well
+    both = rows.join(option_vectors(rows), "question_key")
+    return written(both.select("row_id", "question_key", "answer_index", "split", "is_unseen_item", "z", "options", "log_prior", "direct", *DEMOGRAPHICS), "head-rows")
 
 
 def parts(rows):

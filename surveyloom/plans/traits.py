@@ -9,6 +9,7 @@ from surveyloom.plans.catalogue import register
 from surveyloom.plans.heads import DEMOGRAPHICS, N, head_rows, option_vectors
 from surveyloom.plans.panel import SEED
 from surveyloom.plans.scores import rounded
+from surveyloom.sources.scratch import written
 from surveyloom.sources.tables import responses
 
 HISTORY = 3
@@ -30,6 +31,7 @@ CODES = [f"{c}_code" for c in DEMOGRAPHICS]
 
 def _item_response(s, d):
     rows, n = _features(responses(s, d).where("not is_unseen_item"))
+    rows = written(rows, "answers")
     model, _ = factorise.fit_traits(rows.where("split = 'train'"), factorise.TraitRule(), CODES, n)
     return model, factorise.held_out(rows.where("split = 'test'"), SEED)
 
@@ -60,7 +62,7 @@ register("item_response_history", _item_response_history)
 
 def _factor_shares(s, d):
     """Known respondents and items: each respondent's last answer by hash is held out."""
-    placed = factorise.held_out(responses(s, d), SEED)
+    placed = written(factorise.held_out(responses(s, d), SEED), "placed")
     model, traits = factorise.fit_traits(placed.where("place > 1"), factorise.TraitRule(dims=8, precision=2.0))
     both = placed.where("place = 1").join(traits.select("panel_id"), "panel_id", "left_semi")  # a respondent of one answer has no factor
     return _shown(factorise.trait_shares(both, traits, model))
@@ -70,18 +72,18 @@ register("factor_shares", _factor_shares)
 
 
 def _persona(s, d):
-    rows = head_rows(s, d).join(responses(s, d).select("row_id", "panel_id", "n_options"), "row_id").where("not is_unseen_item")
-    placed = factorise.held_out(rows, SEED).drop("z", "log_prior", "direct")
+    vectors = option_vectors(base := head_rows(s, d))
+    rows = base.join(responses(s, d).select("row_id", "panel_id", "n_options"), "row_id").where("not is_unseen_item")
+    placed = written(factorise.held_out(rows, SEED).drop("z", "log_prior", "direct", "options"), "placed")
     known, asked = placed.where(F.col("place") <= HISTORY), placed.where(F.col("place") > HISTORY)
     of = lambda df, split: df.where(F.col("split") == split)
-    vectors = option_vectors(head_rows(s, d))
     head = factorise.fit_personas(of(placed, "train"), vectors, factorise.PersonaRule(), (of(known, "validation"), of(asked, "validation")))
     return head, of(known, "test"), of(asked, "test")
 
 
 def _persona_shares(s, d):
     head, known, asked = _persona(s, d)
-    return _shown(factorise.mixed_shares(head, known, asked.drop("options")))
+    return _shown(factorise.mixed_shares(head, known, asked))
 
 
 register("persona_head_shares", _persona_shares)

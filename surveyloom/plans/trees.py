@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.functions import probs
-from surveyloom.operators import questionnaires, trees
+from surveyloom.operators import joins, questionnaires, subspace, trees
 from surveyloom.plans.catalogue import register
 from surveyloom.plans.heads import DEMOGRAPHICS, N, head_rows, parts
 from surveyloom.plans.scores import rounded
+from surveyloom.sources.scratch import written
 from surveyloom.sources.tables import people, responses
 
 SOURCES, TARGETS = [f"q{i:02d}" for i in range(1, 11)], ["q11", "q12"]
@@ -26,7 +27,7 @@ def profiles(s, d):
     """A row a respondent who answered the targets: demographics, answers to the sources (null where there is none) and targets."""
     wide = responses(s, d).groupBy("panel_id").pivot("question_id", [*SOURCES, *TARGETS]).agg(F.first("answer_index"))
     rows = people(s, d).select("panel_id", "split", *DEMOGRAPHICS).join(wide, "panel_id")
-    return coded(rows.dropna(subset=TARGETS))
+    return written(coded(rows.dropna(subset=TARGETS)), "profiles")
 
 
 def forest(s, d):
@@ -46,7 +47,7 @@ register("forest_shares", _forest_shares)
 
 def candidates(rows):
     """A row an option: whether it was chosen, its prior and place, and how it lies to the respondent."""
-    each = coded(rows).select("row_id", "answer_index", "z", "log_prior", *CODES, F.posexplode("options").alias("option_index", "vector"))
+    each = rows.select("row_id", "answer_index", "z", "log_prior", *CODES, F.posexplode("options").alias("option_index", "vector"))
     z = F.col("z").cast("array<double>")
     return each.select(
         "row_id", "option_index", *CODES, (F.col("option_index") == F.col("answer_index")).cast("int").alias("chosen"), F.col("log_prior")[F.col("option_index")].alias("log_prior"),
@@ -60,7 +61,7 @@ BOOST = trees.BoostRule(rounds=20, rate=0.2)
 
 
 def boosted(s, d):
-    train, _, test = (candidates(part) for part in parts(head_rows(s, d).withColumn("split", F.col("split"))))
+    train, _, test = (candidates(part) for part in parts(coded(head_rows(s, d))))
     return trees.grow_boosted(train, FEATURES, "chosen", BOOST), test
 
 
@@ -78,3 +79,40 @@ def _boosted_history(s, d):
 
 
 register("boosted_choice_history", _boosted_history)
+
+
+def _svd(s, d):
+    rows = profiles(s, d)
+    return subspace.fit_svd(rows.where("split = 'train'"), SOURCES), rows
+
+
+def _svd_factors(s, d):
+    model, rows = _svd(s, d)
+    out = subspace.svd_factors(model, rows.select("panel_id", *SOURCES))
+    return rounded(out.select("panel_id", *[F.get("factors", F.lit(i)).alias(f"f{i}") for i in range(len(model.values))]), 6)
+
+
+register("sparse_svd_factors", _svd_factors)
+
+
+def _ceiling(s, d):
+    """Losses on test respondents by number of factors, with their own factors and with those of another respondent of the same sex, age and education."""
+    model, rows = _svd(s, d)
+    spread = lambda df: df.withColumns({f"f{i}": F.get("factors", F.lit(i)) for i in range(len(model.values))}).drop("factors")
+    train = spread(subspace.svd_factors(model, rows.where("split = 'train'")))
+    names = [f"f{i}" for i in range(len(model.values))]
+    test = written(joins.stratum_shuffle(spread(subspace.svd_factors(model, rows.where("split = 'test'"))), ["sex", "age_bin", "education"], "panel_id", names, 1701), "ceiling")
+    train, out = written(train, "ceiling"), None
+    for k in (0, 1, 2, 4):
+        grown = trees.grow_forest(train, [*CODES, *names[:k]], TARGETS, [N] * len(TARGETS))
+        own = trees.forest_shares(grown, test)
+        wrong = trees.forest_shares(grown, test.select("panel_id", *CODES, *TARGETS, *[F.col(f"shuffled_{c}").alias(c) for c in names])).select("panel_id", F.col("shares").alias("wrong"))
+        loss = lambda c: sum(-F.log(F.greatest(F.col(c)[t][F.col(q)], F.lit(probs.FLOOR))) for t, q in enumerate(TARGETS)) / len(TARGETS)
+        hit = sum((probs.argmax(F.col("shares")[t]) == F.col(q)).cast("double") for t, q in enumerate(TARGETS)) / len(TARGETS)
+        each = own.join(wrong, "panel_id").select(loss("shares").alias("own"), loss("wrong").alias("wrong"), hit.alias("hit"))
+        row = each.agg(F.lit(k).alias("dimension"), F.avg("own").alias("nll"), F.avg("hit").alias("accuracy"), F.avg("wrong").alias("matched_wrong_nll"), F.avg(F.col("wrong") - F.col("own")).alias("identity_gap"), F.lit(float(model.explained[:k].sum())).alias("explained"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 6)
+
+
+register("latent_dimension_ceiling", _ceiling)
