@@ -1,8 +1,10 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
-Entities are the distinct values that the patterns find. Over the corpus of N
-documents, with df(x) the documents that hold x and j the documents that hold
-both term t and a mention of entity e, wherever they stand,
+Entities are the distinct values that the patterns find. Terms count where they
+stand outside of all spans that the patterns find, so a name is judged alike
+whether or not the addresses hold it. Over the corpus of N documents, with
+df(x) the documents that hold x and j the documents that hold both term t and a
+mention of entity e, wherever they stand,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = ln(N j / (df(t) df(e))) / ln(N / df(e)),
 
@@ -142,6 +144,39 @@ def _row_key(id_col: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("")), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit("again"))))
 
 
+_WORDS = "array<struct<term:string,start:int,end:int>>"
+
+
+def outside_terms(text: Column, base: Column) -> Column:
+    """The terms of a text that touch none of its spans, by start, in the order of n log n."""
+    event = lambda start, end, kind, term: F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), term.alias("term"))
+    spans = F.transform(base, lambda b: event(b["start"], b["end"], 0, F.lit("")))
+    words = F.transform(matches(text, TERM), lambda m: event(m["start"], m["end"], 1, F.lower(m["value"])))
+
+    def swept(events: Column) -> Column:
+        # how far the spans before reach, and where the next span starts
+        reach = _running(F.transform(events, lambda e: F.when(e["kind"] == 0, e["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        ahead = F.reverse(_running(F.reverse(F.transform(events, lambda e: F.when(e["kind"] == 0, e["start"]).otherwise(2**31 - 1))), lambda a, b: F.least(a, b)))
+        kept = lambda x: (x["e"]["kind"] == 1) & (x["reach"] <= x["e"]["start"]) & (x["ahead"] >= x["e"]["end"])
+        placed = F.filter(F.arrays_zip(events.alias("e"), reach.alias("reach"), ahead.alias("ahead")), kept)
+        return F.transform(placed, lambda x: F.struct(x["e"]["term"].alias("term"), x["e"]["start"].alias("start"), x["e"]["end"].alias("end")))
+
+    return _bind(F.array_sort(F.concat(spans, words)), swept)
+
+
+def _not_above(sorted_numbers: Column, value: Column) -> Column:
+    """How many of the ascending numbers are at most ``value``, by bisection."""
+    n = F.size(sorted_numbers)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2((n + 1).cast("double"))).cast("int"))
+
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        done, below = acc["lo"] >= acc["hi"], F.coalesce(F.get(sorted_numbers, mid) <= value, F.lit(False))
+        return F.struct(F.when(~done & below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(done | below, acc["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), half, lambda acc: acc["lo"])
+
+
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``key`` (of id and text), ``base`` spans, ``near``: each mention's entity and the terms near
     it, and ``words``: the terms of the whole text outside the spans, if there are spans.
@@ -150,29 +185,24 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), _row_key(F.col(id_col), text).alias("key"), text.alias("_t"), base_spans(text).alias("base"))
+    rows = rows.withColumn("words", F.when(F.size("base") > 0, outside_terms(F.col("_t"), F.col("base"))).otherwise(F.array().cast(_WORDS)))
 
-    def mention(b: Column) -> Column:
-        low = F.greatest(b["start"] - CONTEXT, F.lit(0))
-        high = F.least(b["end"] + CONTEXT, F.char_length("_t"))
-        around = F.substring(F.col("_t"), low + 1, high - low)
+    def mentions(words: Column) -> Column:
+        once = F.struct(F.transform(words, lambda w: w["start"]).alias("starts"), F.char_length("_t").alias("length"))
 
-        def words(a: Column) -> Column:
-            n = F.char_length(a)
-            cut = lambda m: ((m["start"] == 0) & (low > 0)) | ((m["end"] == n) & (high < F.char_length("_t")))
-            inside = lambda m: F.exists(F.col("base"), lambda o: (o["start"] < m["end"] + low) & (m["start"] + low < o["end"]))
-            kept = F.filter(matches(a, TERM), lambda m: ~cut(m) & ~inside(m))
-            return F.array_distinct(F.transform(kept, lambda m: F.lower(m["value"])))
+        def mention(b: Column, from_: Column, length: Column) -> Column:
+            low = F.greatest(b["start"] - CONTEXT, F.lit(0))
+            high = F.least(b["end"] + CONTEXT, length)
+            around = F.regexp_replace(F.substring(F.col("_t"), low + 1, high - low), "[^\\p{L}]+", " ")
+            # a word that touches an edge may be cut there
+            first = F.when(low == 0, F.lit(0)).otherwise(_not_above(from_, low))
+            near = F.filter(F.slice(words, first + 1, F.greatest(_not_above(from_, high) - first, F.lit(0))), lambda w: (w["end"] < high) | (high == length))
+            return F.struct(_entity(b).alias("entity"), F.xxhash64(around).alias("context"), F.array_distinct(F.transform(near, lambda w: w["term"])).alias("terms"))
 
-        return _bind(around, lambda a: F.struct(_entity(b).alias("entity"), F.xxhash64(F.regexp_replace(a, "[^\\p{L}]+", " ")).alias("context"), words(a).alias("terms")))
+        return _bind(once, lambda o: F.transform(F.col("base"), lambda b: mention(b, o["starts"], o["length"])))
 
-    near = F.when(F.size("base") > 0, F.transform(F.col("base"), mention)).otherwise(
-        F.array().cast("array<struct<entity:string,context:bigint,terms:array<string>>>")
-    )
-    outside = F.filter(matches(F.col("_t"), TERM), lambda m: ~F.exists(F.col("base"), lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])))
-    words = F.when(F.size("base") > 0, F.transform(outside, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), m["end"].alias("end")))).otherwise(
-        F.array().cast("array<struct<term:string,start:int,end:int>>")
-    )
-    return rows.select(id_col, "key", "base", near.alias("near"), words.alias("words"))
+    near = F.when(F.size("base") > 0, _bind(F.col("words"), mentions)).otherwise(F.array().cast("array<struct<entity:string,context:bigint,terms:array<string>>>"))
+    return rows.select(id_col, "key", "base", near.alias("near"), "words")
 
 
 def risky_pairs(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
@@ -198,7 +228,11 @@ def risky_pairs(docs: DataFrame, found: DataFrame, rule: Disclosure = Disclosure
     schema = "entity string, term string, disclosure double, action string"
     if not joint.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema)
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # as in j, a term within a span does not count
+    texts = docs.select(text.alias("t"), base_spans(text).alias("b"))
+    terms = F.when(F.size("b") == 0, F.transform(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), lambda w: F.lower(w))).otherwise(F.transform(outside_terms(F.col("t"), F.col("b")), lambda w: w["term"]))
+    words = texts.select(F.explode(F.array_distinct(terms)).alias("term"))
     # counted before the inner join, which unlike a semi join is not pushed below the counts: what leaves a task is a row
     # for each of its words, however frequent
     df_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))

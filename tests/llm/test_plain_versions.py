@@ -112,10 +112,11 @@ def disclosed(rows, rule):
     found, pairs, df_e, df_t, contexts_of = {}, {}, {}, {}, {}
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     for i, t in rows:
-        for term in {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)}:
-            df_t[term] = df_t.get(term, 0) + 1
         spans = base(t)
-        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for _, a, b, _ in spans)] if spans else []
+        words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(a < m.end() and m.start() < b for _, a, b, _ in spans)]
+        for term in {w for w, *_ in words}:
+            df_t[term] = df_t.get(term, 0) + 1
+        words = words if spans else []
         near, least = {}, {}
         for kind, a, b, value in spans:
             entity = kind + ":" + (re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower())
