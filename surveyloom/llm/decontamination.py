@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every passage with block-max WAND.
 
-Passages are windows of two chunks of words, a chunk being as long as the
-longest item, so that every verbatim item lies in some passage. An item's
+Items are grouped by length, up to a power of two. For each group, passages are
+windows of two chunks of that many words, so every verbatim item lies in some
+passage, and no item's result depends on how long others are. An item's
 scores are divided by its score against itself; passages that reach
 ``threshold`` of it are candidates, and all of them are found: first a bound
 from the chunks' terms and the largest weight in each block of items rules out
@@ -12,7 +13,7 @@ last sentence; halves, if there is one sentence).
 
 The index covers at most ``pass_bytes`` of items. A larger benchmark takes
 several passes over the documents, a block of items each; counts, document
-frequencies, mean length and longest item are those of the whole benchmark.
+frequencies and mean length are those of the whole benchmark.
 """
 
 from __future__ import annotations
@@ -76,43 +77,79 @@ def overlap(part: list[str], passage: list[str], run: int) -> float:
 
 @dataclass(frozen=True)
 class ItemStats:
-    """Of all items with words: their number, document frequencies of words, mean length and greatest length."""
+    """Of all items with words: their number, document frequencies of words and mean length."""
 
     n: int
     df: dict[str, int]
     mean: float
-    longest: int
 
     @classmethod
     def of(cls, texts: Iterable[str | None]) -> ItemStats:
-        n, total, longest, df = 0, 0, 1, Counter()
+        n, total, df = 0, 0, Counter()
         for words in map(words_of, texts):
             if words:
-                n, total, longest = n + 1, total + len(words), max(longest, len(words))
+                n, total = n + 1, total + len(words)
                 df.update(set(words))
-        return cls(n, df, total / n if n else 1.0, longest)
+        return cls(n, df, total / n if n else 1.0)
+
+
+#: Words of the shortest chunk.
+LEAST_WIDTH = 16
+
+
+def width_of(words: int) -> int:
+    """The words of a chunk for an item: its own number, up to a power of two."""
+    return max(LEAST_WIDTH, 1 << (words - 1).bit_length())
 
 
 class ItemIndex:
-    """Postings of a block of items: for each term its items, weights (as shares of the item's own score) and block maxima.
+    """Indexes of a block of items, one for each length of chunk; terms are numbered together.
 
     ``stats`` are those of all items; without them the block is all there is.
     """
 
     def __init__(self, items: list[tuple[int, str]], rule: LeakRule, stats: ItemStats | None = None):
-        self.rule = rule
         stats = stats or ItemStats.of(t for _, t in items)
-        self.items = [(i, t, w) for i, t in items if (w := words_of(t))]
         self.vocabulary: dict[str, int] = {}
+        groups: dict[int, list] = {}
+        for i, t in items:
+            if words := words_of(t):
+                groups.setdefault(width_of(len(words)), []).append((i, t, words))
+        self.groups = [GroupIndex(groups[w], w, self.vocabulary, rule, stats) for w in sorted(groups)]
+
+    def leaks(self, texts: pa.Array) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text: verified items with the best score, and question and answer overlap."""
+        found: list[dict] = [{} for _ in range(len(texts))]
+        if not self.groups or not len(texts):
+            return found
+        split = pc.utf8_split_whitespace(texts.fill_null(""))
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(split).dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        unique = coded.dictionary.to_pylist()
+        lookup = self.vocabulary.get
+        term = np.array([lookup(word_of(w), -1) for w in unique], np.int64)[coded.indices.to_numpy()] if unique else np.zeros(0, np.int64)
+        for group in self.groups:
+            group.add_leaks(found, sizes, coded, unique, term)
+        return found
+
+
+class GroupIndex:
+    """Postings of items of one length of chunk: for each term its items, weights (as shares of the item's own score) and block maxima."""
+
+    def __init__(self, items: list[tuple[int, str, list[str]]], width: int, vocabulary: dict[str, int], rule: LeakRule, stats: ItemStats):
+        self.rule, self.items, self.width = rule, items, width
+        known: dict[str, int] = {}  # this group's numbers of its terms
         counts: list[dict[int, int]] = []
         for _, _, words in self.items:
             tf: dict[int, int] = {}
             for w in words:
-                t = self.vocabulary.setdefault(w, len(self.vocabulary))
+                t = known.setdefault(w, len(known))
                 tf[t] = tf.get(t, 0) + 1
             counts.append(tf)
         n = len(self.items)
-        df = np.array([stats.df[w] for w in self.vocabulary], np.float64)
+        self.terms = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in known], np.int64)
+        df = np.array([stats.df[w] for w in known], np.float64)
         idf = np.log1p((stats.n - df + 0.5) / (df + 0.5))
         self.postings: list[list[int]] = [[] for _ in df]
         self.weights: list[list[float]] = [[] for _ in df]
@@ -133,7 +170,6 @@ class ItemIndex:
         for p, w in zip(self.postings, self.weights, strict=True):
             cuts = range(0, len(p), rule.block)
             self.blocks.append(([p[min(c + rule.block, len(p)) - 1] for c in cuts], [max(w[c : c + rule.block]) for c in cuts]))
-        self.longest = stats.longest
         self.parts = [question_and_answer(t) for _, t, _ in self.items]
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -180,36 +216,29 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def leaks(self, texts: pa.Array) -> list[dict[int, tuple[float, float, float]]]:
-        """For each text: verified items with the best score, and question and answer overlap."""
-        found: list[dict] = [{} for _ in range(len(texts))]
-        if not self.items or not len(texts):
-            return found
-        split = pc.utf8_split_whitespace(texts.fill_null(""))
-        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
-        coded = pc.list_flatten(split).dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        unique = coded.dictionary.to_pylist()
-        lookup = self.vocabulary.get
-        term = np.array([lookup(word_of(w), -1) for w in unique], np.int64)[coded.indices.to_numpy()] if unique else np.zeros(0, np.int64)
+    def add_leaks(self, found: list[dict], sizes: np.ndarray, coded: pa.DictionaryArray, unique: list[str], term: np.ndarray) -> None:
+        """Adds the group's verified items of each text; words are coded, ``term`` are their numbers in the whole vocabulary."""
+        own = np.full(int(max(term.max(initial=-1), self.terms.max())) + 2, -1, np.int64)  # the last place is for words without a number
+        own[self.terms] = np.arange(len(self.terms))
+        term = own[term]
         # chunks never cross texts
-        per = -(-sizes // self.longest)
+        per = -(-sizes // self.width)
         chunk0 = np.cumsum(per) - per
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
         word0 = np.cumsum(sizes) - sizes
-        chunk = chunk0[doc] + (np.arange(len(doc)) - word0[doc]) // self.longest
+        chunk = chunk0[doc] + (np.arange(len(doc)) - word0[doc]) // self.width
         hit = np.flatnonzero(term >= 0)
         n_chunks = int(per.sum())
         if not len(hit):
-            return found
-        pair = np.unique(chunk[hit] * len(self.vocabulary) + term[hit])
-        owner, terms = pair // len(self.vocabulary), pair % len(self.vocabulary)
+            return
+        pair = np.unique(chunk[hit] * len(self.terms) + term[hit])
+        owner, terms = pair // len(self.terms), pair % len(self.terms)
         sums = np.zeros((n_chunks, self.bound.shape[1]), np.float32)
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         for a in range(0, len(cuts), 4096):
             b = cuts[a + 4096] if a + 4096 < len(cuts) else len(owner)
             sums[owner[cuts[a : a + 4096]]] = np.add.reduceat(self.bound[terms[cuts[a] : b]], cuts[a : a + 4096] - cuts[a])
-        of = np.repeat(np.arange(len(texts)), per)
+        of = np.repeat(np.arange(len(sizes)), per)
         both = sums.copy()
         both[:-1] += np.where((of[1:] == of[:-1])[:, None], sums[1:], 0)
         low, high = np.searchsorted(owner, np.arange(n_chunks)), np.searchsorted(owner, np.arange(n_chunks), "right")
@@ -219,15 +248,14 @@ class ItemIndex:
             items = self.search(sorted(set(terms[low[c] : last].tolist())))
             if not items:
                 continue
-            start = word0[d] + (c - chunk0[d]) * self.longest
-            at = coded.indices.slice(int(start), int(min(2 * self.longest, word0[d] + sizes[d] - start))).to_pylist()
+            start = word0[d] + (c - chunk0[d]) * self.width
+            at = coded.indices.slice(int(start), int(min(2 * self.width, word0[d] + sizes[d] - start))).to_pylist()
             passage = [w for w in (word_of(unique[i]) for i in at) if w]
             for item, score in items:
                 q, a = (overlap(p, passage, self.rule.run) for p in self.parts[item])
                 if q >= self.rule.overlap and a >= self.rule.overlap:
                     key = self.items[item][0]
                     found[d][key] = max(found[d].get(key, (0.0, 0.0, 0.0)), (min(1.0, score), q, a))
-        return found
 
 
 def item_blocks(benchmark: DataFrame, rule: LeakRule, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:

@@ -442,9 +442,11 @@ def test_decontamination(spark):
 def test_wand_equals_all_scores():
     rng = random.Random(9)
     items = [(i, words(rng, rng.randint(3, 20), 40)) for i in range(60)]
-    index = decontamination.ItemIndex(items, decontamination.LeakRule(threshold=0.6))
-    for _ in range(100):
-        terms = sorted(set(rng.choices(range(len(index.vocabulary)), k=rng.randint(1, 30))))
+    groups = decontamination.ItemIndex(items, decontamination.LeakRule(threshold=0.6)).groups
+    assert [g.width for g in groups] == [16, 32]
+    for turn in range(200):
+        index = groups[turn % 2]
+        terms = sorted(set(rng.choices(range(len(index.terms)), k=rng.randint(1, 30))))
         scores = {}
         for t in terms:
             for j, w in zip(index.postings[t], index.weights[t], strict=True):

@@ -205,7 +205,7 @@ def test_decontamination_finds_what_all_scores_find(monkeypatch, spark):
                 scores[int(j)] = scores.get(int(j), 0.0) + float(w)
         return [(j, s) for j, s in scores.items() if s >= self.rule.threshold - 1e-9]
 
-    monkeypatch.setattr(decontamination.ItemIndex, "search", every)
+    monkeypatch.setattr(decontamination.GroupIndex, "search", every)
     plain = index.leaks(pa.array(texts))
     assert any(found) and [sorted(x) for x in found] == [sorted(x) for x in plain]
 
