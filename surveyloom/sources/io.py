@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions import hashing, text
 from surveyloom.operators.joins import anti, duplicate_keys
 from surveyloom.operators.ranking import keep_last
+from surveyloom.sources.commits import Commits, committed
 
 QUESTIONS = "question_id string, question string, answer map<string,string>"
 RESPONDENTS = "person_id bigint, attributes map<string,string>, questions_answer map<string,string>"
@@ -232,7 +233,8 @@ def fingerprint(settings: dict) -> str:
 class VectorCache:
     """Rows with vectors and logits, appended by row id, under one fingerprint.
 
-    A vector and its row are one record, so they cannot fall out of step.
+    A vector and its row are one record, so they cannot fall out of step. Writers that append at the same time find out
+    by the log of commits: of two with a common id exactly one succeeds, and of two without both do.
     """
 
     names = ("row_id", "panel_id", "k", "vector", "logits")
@@ -240,34 +242,48 @@ class VectorCache:
 
     def __init__(self, spark: SparkSession, folder: str, settings: dict, overwrite: bool = False):
         self.spark, self.folder, self.fingerprint = spark, folder, fingerprint(settings)
-        self.path, mark = f"{folder}/rows", f"{folder}/fingerprint"
-        try:
-            held = spark.read.text(mark).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = None
-        if held not in (None, self.fingerprint) and not overwrite:
+        self.log = Commits(spark, folder)
+        while True:
+            entries = self.log.read()
+            held = next((e["fingerprint"] for e in reversed(entries) if "fingerprint" in e), None)
+            if held not in (None, self.fingerprint) and not overwrite:
+                raise ValueError("the cache holds rows of other settings")
+            if not (held is None or overwrite) or self.log.put(len(entries) + 1, {"fingerprint": self.fingerprint}):
+                break
+
+    def _entries(self) -> tuple[int, list[dict]]:
+        """The last commit's number, and what was appended since the settings were last set; other settings since then fail."""
+        entries = self.log.read()
+        start = max(i for i, e in enumerate(entries) if "fingerprint" in e)
+        if entries[start]["fingerprint"] != self.fingerprint:
             raise ValueError("the cache holds rows of other settings")
-        if held is None or overwrite:
-            spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
-            spark.createDataFrame([(self.fingerprint,)], "f string").coalesce(1).write.mode("overwrite").text(mark)
+        return len(entries), entries[start:]
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return committed(self.spark, self._entries()[1], self.schema)
 
     def missing(self, rows: DataFrame) -> DataFrame:
         """M1: rows that are not cached yet."""
         return anti(rows, self.read(), ["row_id"])
 
     def append(self, rows: DataFrame) -> None:
-        """Repeated ids, in the rows or with the cache, and rows without a vector fail before anything is written."""
-        rows = rows.select(*self.names)
-        if duplicate_keys(rows, ["row_id"]).limit(1).count() or rows.join(self.read().select("row_id"), "row_id", "left_semi").limit(1).count():
+        """Repeated ids, in the rows or with the cache, and rows without a vector fail before anything is committed."""
+        path = self.log.write(rows.select(*self.names), "rows")
+        mine = self.spark.read.schema(self.schema).parquet(path)
+        if duplicate_keys(mine, ["row_id"]).limit(1).count():
             raise ValueError("repeated row_id")
-        if rows.where("vector is null").limit(1).count():
+        if mine.where("vector is null").limit(1).count():
             raise ValueError("a row has no vector")
-        rows.write.mode("append").parquet(self.path)
+        checked: set[str] = set()
+        while True:
+            last, entries = self._entries()
+            # what others have committed since the last look
+            new = [e for e in entries if e.get("folder") and e["folder"] not in checked]
+            if new and mine.join(committed(self.spark, new, self.schema).select("row_id"), "row_id", "left_semi").limit(1).count():
+                raise ValueError("repeated row_id")
+            checked |= {e["folder"] for e in new}
+            if self.log.put(last + 1, {"folder": path}):
+                return
 
     def validate(self) -> dict[str, int]:
         """Counts of rows, vectors and logits; repeated ids fail."""
@@ -288,3 +304,14 @@ def synthetic_panels(spark: SparkSession, panels: int, items: int, domains: tupl
         F.concat_ws("::", "domain", F.concat(F.lit("v"), F.col("i").cast("string"))).alias("question_key"), F.size(F.filter(cuts, lambda c: c < z)).alias("answer_index"), F.lit(5).alias("n_options"),
         hashing.split_of(hashing.little_endian_bucket(F.col("id"), 1701)).alias("split"),
     )
+
+
+def save_index(rows: DataFrame, name: str, path: str, key: str = "panel_id", buckets: int = 16) -> DataFrame:
+    """A3: ``rows`` as a table of ``buckets`` files, each with whole keys in order; joins and counts by ``key`` of such tables need no shuffle.
+
+    The table is registered as ``name`` in the session's catalogue; one of that name is replaced.
+    """
+    spark = rows.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
