@@ -157,11 +157,21 @@ def linked_clusters(points: np.ndarray, n: int) -> list[list[int]]:
 
 
 def whole_clusters(sizes: list[int], wanted: int, n_folds: int) -> tuple[int, ...]:
-    """The set of clusters whose size is nearest to ``wanted`` (rather below, then fewer clusters, then the first) and that leaves an item for each fold."""
-    total = sum(sizes)
-    every = (c for r in range(1, len(sizes) + 1) for c in combinations(range(len(sizes)), r))
-    fit = [(abs(sum(sizes[i] for i in c) - wanted), sum(sizes[i] for i in c) > wanted, len(c), c) for c in every if total - sum(sizes[i] for i in c) >= n_folds]
-    return min(fit)[-1]
+    """The set of clusters whose size is nearest to ``wanted`` and that leaves an item for each fold.
+
+    Of sets equally near, one of a size below ``wanted`` is taken before one
+    above, then one of fewer clusters, then the one of the lowest numbers. A
+    table holds the best set for each size that can be reached, so the work
+    grows with clusters times items.
+    """
+    best: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}
+    for number, size in enumerate(sizes):
+        grown = {reached + size: (n + 1, (*some, number)) for reached, (n, some) in best.items()}
+        for reached, found in grown.items():
+            best[reached] = min(best.get(reached, found), found)
+    left = {reached: found for reached, found in best.items() if reached and sum(sizes) - reached >= n_folds}
+    near = min(left, key=lambda reached: (abs(reached - wanted), reached > wanted, left[reached]))
+    return left[near][1]
 
 
 def cluster_split(items: DataFrame, n_calibration: int, n_folds: int, clusters: int, seed: int, representatives: bool = False) -> DataFrame:

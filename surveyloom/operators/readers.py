@@ -11,17 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions import probs, text
-from surveyloom.operators.materialise import LABELS, WITHHELD
+from surveyloom.operators.materialise import LABELS
 
-# The wording of the persona prompt.
+# The wording of the persona prompt, and the names of its variants.
 PERSONA_TASK = "Task: Predict how this real survey respondent is likely to answer the target question. Return exactly one option letter."
-#: Prompt variants: whether background, previous answers (own or a donor's) and a persona text are shown.
+PERSONA_WITHHELD = "Withheld."
+#: For each variant, whether the background is shown, whose previous answers are (own or a donor's), and whether a persona text is.
 VARIANTS = {
-    "plain": (False, None, False),
-    "demographic": (True, None, False),
-    "demographic_behavior": (True, None, True),
-    "history": (True, "history", False),
-    "shuffled": (True, "shuffled_history", False),
+    "pe_no_persona": (False, None, False),
+    "pe_demographic": (True, None, False),
+    "pe_demographic_behavior": (True, None, True),
+    "pe_history": (True, "history", False),
+    "pe_shuffled_behavior": (True, "shuffled_history", False),
 }
 
 
@@ -51,7 +52,7 @@ def encoded(rows: DataFrame, column: str, width: int, encoder: Callable[[pd.Seri
 def persona_prompt(variant: str, profile: Column, persona: Column, history: Column, question: Column, options: Column) -> Column:
     """The prompt of a variant; ``history`` is an array of (question, answer), the target's answer never enters."""
     shown, source, tendencies = VARIANTS[variant]
-    background = text.truncate(profile, 600) if shown else F.lit(WITHHELD.split(" for ")[0] + ".")
+    background = text.truncate(profile, 600) if shown else F.lit(PERSONA_WITHHELD)
     lines = F.transform(history, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), text.truncate(x["question"], 160), F.lit(" -> "), text.truncate(x["answer"], 90)))
     told = F.when(F.coalesce(F.size(history), F.lit(0)) <= 0, "None").otherwise(F.array_join(lines, "\n")) if source else F.lit("None")
     block = F.when(F.coalesce(persona, F.lit("")) != "", F.concat(F.lit("Persona tendencies:\n"), text.truncate(persona, 600), F.lit("\n\n"))).otherwise("") if tendencies else F.lit("")

@@ -258,8 +258,8 @@ register(
     "clean_item_texts",
     lambda s, d: table(s, d, "part").select(
         "p_partkey",
-        text.item_stem(F.concat(F.lit("[Q1] {grid} Please rate  this. [CC20_"), F.col("p_partkey").cast("string"), F.lit("] "), F.when(F.col("p_partkey") % 3 == 0, F.lit("x")).otherwise(F.col("p_name")), F.lit(" (Allows one selection) ◯ [1] "), F.col("p_type")), F.concat(F.lit("CC20_"), F.col("p_partkey").cast("string"))).alias("stem"),
-        text.clean_label(F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, F.lit("  varlabel: None width: 3")).otherwise(F.lit(" (open [CC20_x]) ")))).alias("label"),
+        text.question_of(F.concat(F.lit("[Q1] {grid} Please rate  this. [CC20_"), F.col("p_partkey").cast("string"), F.lit("] "), F.when(F.col("p_partkey") % 3 == 0, F.lit("x")).otherwise(F.col("p_name")), F.lit(" (Allows one selection) ◯ [1] "), F.col("p_type")), F.concat(F.lit("CC20_"), F.col("p_partkey").cast("string"))).alias("stem"),
+        text.without_layout(F.concat(F.col("p_type"), F.when(F.col("p_partkey") % 2 == 0, F.lit("  varlabel: None width: 3")).otherwise(F.lit(" (open [CC20_x]) "))), text.LABEL_LAYOUT).alias("label"),
     ),
     "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 AND length(p_name) >= 12 THEN p_name ELSE 'Please rate this. [CC20_' || p_partkey || '] ' || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE p_name END END AS stem, p_type AS label FROM part",
 )

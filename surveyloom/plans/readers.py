@@ -37,8 +37,8 @@ register(
     "variant_prompts",
     _variants,
     sql(
-        f"SELECT row_id, v AS variant, sha256('{readers.PERSONA_TASK}' || n || n || 'Respondent background:' || n || CASE WHEN v = 'plain' THEN 'Withheld.' ELSE 'Country: ' || country || '; Gender: ' || sex END || n || n || CASE WHEN v = 'demographic_behavior' AND sex = 'female' THEN 'Persona tendencies:' || n || 'tends to agree' || n || n ELSE '' END || "
-        f"'Relevant previous responses:' || n || CASE WHEN v = 'history' THEN coalesce(h, 'None') WHEN v = 'shuffled' THEN coalesce(z, 'None') ELSE 'None' END || n || n || 'Target question:' || n || {_Q} || n || n || 'Options:' || n || array_to_string(list_transform(range(1, 6), lambda i: 'ABCDE'[i] || '. ' || ({AGREE})[i]), chr(10)) || n || n || 'Answer:') AS prompt "
+        f"SELECT row_id, v AS variant, sha256('{readers.PERSONA_TASK}' || n || n || 'Respondent background:' || n || CASE WHEN v = 'pe_no_persona' THEN 'Withheld.' ELSE 'Country: ' || country || '; Gender: ' || sex END || n || n || CASE WHEN v = 'pe_demographic_behavior' AND sex = 'female' THEN 'Persona tendencies:' || n || 'tends to agree' || n || n ELSE '' END || "
+        f"'Relevant previous responses:' || n || CASE WHEN v = 'pe_history' THEN coalesce(h, 'None') WHEN v = 'pe_shuffled_behavior' THEN coalesce(z, 'None') ELSE 'None' END || n || n || 'Target question:' || n || {_Q} || n || n || 'Options:' || n || array_to_string(list_transform(range(1, 6), lambda i: 'ABCDE'[i] || '. ' || ({AGREE})[i]), chr(10)) || n || n || 'Answer:') AS prompt "
         "FROM te LEFT JOIN hs USING (row_id), (SELECT chr(10) AS n), (VALUES " + ", ".join(f"('{v}')" for v in readers.VARIANTS) + ") vs(v)",
         f"te AS (SELECT *, sha256('{SEED}|' || question_key || '|' || panel_id) AS h0 FROM responses WHERE split = 'test'), "
         "dn AS (SELECT row_id, CASE WHEN nx <> panel_id THEN na WHEN f1 <> panel_id THEN a1 ELSE coalesce(a2, answer_index) END AS da FROM (SELECT *, coalesce(lead(panel_id) OVER w, first_value(panel_id) OVER w) AS nx, coalesce(lead(answer_index) OVER w, first_value(answer_index) OVER w) AS na FROM te WINDOW w AS (PARTITION BY question_key, country, sex, age_bin ORDER BY h0, panel_id)) "

@@ -91,10 +91,30 @@ def test_batches_are_committed_once(spark, tmp_path):
     assert sorted(tuple(r) for r in make().read().collect()) == [(i, 2 * i) for i in range(8)]
 
 
-def test_stream_resumes_and_new_files_are_scored(spark, tmp_path):
-    got = resuming._streamed(spark, "/root/testdata/sf0.001").collect()
-    want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
-    assert len(got) == want == len({r.event_id for r in got})
+def test_a_run_that_breaks_between_data_and_commit_is_resumed(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    source, where = resuming.event_files(spark, sf), (f"file://{tmp_path}/scored", resuming.SCORED, "event_id", resuming._score)
+    stream, calls = ScoredStream(spark, *where), []
+    put = stream.log.put
+
+    def broken(number, entry):
+        calls.append(entry["folder"])
+        if len(calls) == 3:
+            raise RuntimeError("between data and commit")
+        return put(number, entry)
+
+    stream.log.put = broken
+    with pytest.raises(Exception, match="between data and commit"):
+        stream.run(source, resuming.EVENTS, f"{tmp_path}/mark", 2)
+    again = ScoredStream(spark, *where)
+    assert len(again.log.read()) == 2 and spark.read.parquet(calls[2]).count() > 0
+    again.run(source, resuming.EVENTS, f"{tmp_path}/mark", 2)
+    got = sorted(tuple(r) for r in again.read().collect())
+    assert len(again.log.read()) == 4 and calls[2] not in [e["folder"] for e in again.log.read()]
+    assert got == sorted(tuple(r) for r in resuming._score(spark.read.parquet(f"{sf}/events.parquet")).collect())
+
+
+def test_new_files_are_scored_once(spark, tmp_path):
     stream = lambda: ScoredStream(spark, f"file://{tmp_path}/sink", "id bigint", "id", lambda rows: rows)
     spark.range(3).write.parquet(f"{tmp_path}/in/a")
     stream().run(f"{tmp_path}/in/*", "id bigint", f"{tmp_path}/mark")

@@ -1,6 +1,8 @@
 """Units, calibration, item catalogues, readers and files: hand cases."""
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -26,6 +28,13 @@ def test_clusters_and_whole_cluster_choice():
     assert materialise.linked_clusters(points, 3) == [[0, 1], [2, 3], [4]]
     assert materialise.whole_clusters([4, 3, 2, 2], 5, 3) == (1, 2)
     assert materialise.whole_clusters([4, 4], 3, 3) == (0,)
+    r = random.Random(1)
+    for _ in range(60):
+        sizes, wanted, folds = [r.randint(1, 6) for _ in range(r.randint(2, 7))], r.randint(1, 15), r.randint(1, 2)
+        every = [c for n in range(1, len(sizes) + 1) for c in itertools.combinations(range(len(sizes)), n) if sum(sizes) - sum(sizes[i] for i in c) >= folds]
+        if every:
+            size = lambda c: sum(sizes[i] for i in c)
+            assert materialise.whole_clusters(sizes, wanted, folds) == min(every, key=lambda c: (abs(size(c) - wanted), size(c) > wanted, len(c), c))
 
 
 def test_prompt_and_history(spark):
