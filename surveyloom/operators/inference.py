@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surveyloom.operators.gather import gathered
 from surveyloom.operators.joins import paired
 from surveyloom.operators.ranking import holm
+from surveyloom.sources.scratch import written
 
 
 #: Cumulative Poisson(1) probabilities of 0 to 8 draws.
@@ -88,14 +91,45 @@ def paired_bootstrap(rows: DataFrame, method: str, reference: str, metric: str,
     return bootstrap(cells, "difference", "panel_id", ["domain"], [], replicates, seed).select(F.lit(method).alias("method"), F.lit(reference).alias("reference"), F.lit(metric).alias("metric"), "*")
 
 
-def crossed_bootstrap(rows: DataFrame, method: str, reference: str, metric: str = "nll", replicates: int = 2000, seed: int = 1701) -> DataFrame:
-    """Respondents and items drawn at once, both with multiplicity; missing cells have no weight.
-
-    Multiplicities are drawn once for each respondent and item, not for each
-    cell. A respondent's cells are gathered (at most as many as there are
-    items), so that only they are shuffled and no draws.
-    """
-    cells = paired(rows, method, reference, metric, ["domain", "panel_id", "question_key"])
+def _crossed_by_products(cells: DataFrame, replicates: int, seed: int, items: list) -> DataFrame:
+    """Replicates of a crossed bootstrap (rep, d): one product of a block of respondents' cells with the items' draws (``items``: domain, question_key, by_item)."""
+    spark = cells.sparkSession
+    place = {(r["domain"], r["question_key"]): i for i, r in enumerate(items)}
+    draws = np.array([r["by_item"] for r in items], np.float64)
+    numbers = spark.createDataFrame([(*k, i) for k, i in place.items()], "domain string, question_key string, item int")
+    panels = cells.join(numbers, ["domain", "question_key"]).groupBy("domain", "panel_id").agg(F.collect_list(F.struct("item", "difference")).alias("c"))
+    rows = panels.select("domain", F.col("c.item").alias("item"), F.col("c.difference").alias("x"), _all_draws(seed, replicates, F.col("panel_id"), F.col("domain")).alias("by_panel"))
+
+    def fold(state, batch):
+        state = {} if state is None else state
+        domains = batch.column(0).to_pylist()
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            item, x = (pc.list_flatten(part.column(k)).to_numpy() for k in (1, 2))
+            who = pc.list_parent_indices(part.column(1)).to_numpy()
+            weights = pc.list_flatten(part.column(3)).to_numpy().reshape(len(part), -1).astype(float)
+            mine = np.array(domains[at : at + 500], object)
+            for domain in sorted(set(mine)):
+                panel = np.flatnonzero(mine == domain)
+                cell = np.flatnonzero(np.isin(who, panel))
+                used, column = np.unique(item[cell], return_inverse=True)
+                both = np.zeros((2, len(panel), len(used)))
+                place = np.searchsorted(panel, who[cell]), column
+                np.add.at(both[0], place, x[cell])
+                np.add.at(both[1], place, 1.0)
+                sums = np.einsum("kpr,pr->kr", both @ draws[used], weights[panel])
+                state[domain] = state[domain] + sums if domain in state else sums
+        return state
+
+    found = gathered(rows, fold) or {}
+    each = np.array([np.divide(x, n, out=np.full(len(x), np.nan), where=n > 0) for x, n in found.values()]).reshape(-1, replicates)
+    known = ~np.isnan(each)
+    mean = np.where(known, each, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+    return spark.createDataFrame([(r, float(m) if k else None) for r, (m, k) in enumerate(zip(mean, known.any(axis=0), strict=True))], "rep int, d double")
+
+
+def _crossed_by_joins(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The same for more items than a task should hold: a row a cell and replicate."""
     panels = cells.groupBy("domain", "panel_id").agg(F.collect_list(F.struct("question_key", "difference")).alias("cells"))
     panels = panels.withColumn("by_panel", _all_draws(seed, replicates, F.col("panel_id"), F.col("domain")))
     items = cells.select("domain", "question_key").distinct().withColumn("by_item", _all_draws(seed + 1, replicates, F.col("question_key"), F.col("domain")))
@@ -103,7 +137,21 @@ def crossed_bootstrap(rows: DataFrame, method: str, reference: str, metric: str
     draws = both.select("domain", "difference", "by_item", F.posexplode("by_panel").alias("rep", "n"))
     w = F.col("n").cast("bigint") * F.get("by_item", F.col("rep"))
     sums = draws.groupBy("domain", "rep").agg(F.try_divide(F.sum(w * F.col("difference")), F.sum(w)).alias("d"))
-    stat = sums.groupBy("rep").agg(F.avg("d").alias("d"))
+    return sums.groupBy("rep").agg(F.avg("d").alias("d"))
+
+
+def crossed_bootstrap(rows: DataFrame, method: str, reference: str, metric: str = "nll", replicates: int = 2000, seed: int = 1701, most_items: int = 20_000) -> DataFrame:
+    """Respondents and items drawn at once, both with multiplicity; missing cells have no weight.
+
+    Multiplicities are drawn once for each respondent and item. Up to
+    ``most_items`` items, their draws (a byte a replicate) travel with the
+    function, and a task returns two sums a domain and replicate. A
+    respondent's cells are gathered (at most as many as there are items).
+    """
+    cells = written(paired(rows, method, reference, metric, ["domain", "panel_id", "question_key"]), "cells")
+    items = cells.select("domain", "question_key").distinct().withColumn("by_item", _all_draws(seed + 1, replicates, F.col("question_key"), F.col("domain")))
+    found = items.limit(most_items + 1).collect()
+    stat = _crossed_by_products(cells, replicates, seed, found) if len(found) <= most_items else _crossed_by_joins(cells, replicates, seed)
     seen = cells.groupBy("domain").agg(F.avg("difference").alias("x")).agg(F.avg("x").alias("difference"))
     sizes = cells.agg(F.countDistinct("panel_id").alias("n_panels"), F.countDistinct("question_key").alias("n_items"))
     out = _summary(stat, seen.crossJoin(sizes), [])  # one row each

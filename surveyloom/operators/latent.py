@@ -82,12 +82,14 @@ def select_kappa(options: DataFrame, evaluation: DataFrame, candidates: tuple[fl
     each = options.withColumn("kappa", F.explode(F.array(*[F.lit(float(k)) for k in candidates])))
     w = F.col("m") / (F.col("m") + F.col("kappa"))
     each = each.select("item", "option_position", "kappa", F.zip_with("coefficients", "prior", lambda a, b: w * a + (1 - w) * b).alias("b"))
-    rows = evaluation.withColumn("_row", F.monotonically_increasing_id()).join(each, "item")
+    # equal rows have equal losses: they are one row with a count, so no number of a row is needed
+    row = ["item", "z1", "z2", "answer"]
+    rows = evaluation.groupBy(*row).agg(F.count(F.lit(1)).alias("_n")).join(each, "item")
     score = F.col("b")[0] + F.col("b")[1] * F.col("z1") + F.col("b")[2] * F.col("z2")
-    sums = rows.select("_row", "kappa", score.alias("s"), (F.col("option_position") == F.col("answer")).alias("hit")).groupBy("_row", "kappa").agg(
+    sums = rows.select(*row, "_n", "kappa", score.alias("s"), (F.col("option_position") == F.col("answer")).alias("hit")).groupBy(*row, "_n", "kappa").agg(
         F.max("s").alias("top"), F.collect_list("s").alias("all"), F.max(F.when(F.col("hit"), F.col("s"))).alias("mine")
     )
     total = F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
     loss = -F.log(F.greatest(F.exp(F.col("mine") - F.col("top")) / total, F.lit(probs.FLOOR)))
-    out = sums.where(F.col("mine").isNotNull()).groupBy("kappa").agg(F.round(F.avg(loss), 9).alias("loss"))
+    out = sums.where(F.col("mine").isNotNull()).groupBy("kappa").agg(F.round(F.sum(loss * F.col("_n")) / F.sum("_n"), 9).alias("loss"))
     return out.withColumn("chosen", F.row_number().over(Window.orderBy("loss", "kappa")) == 1)  # one row for each candidate

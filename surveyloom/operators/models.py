@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions import probs
 from surveyloom.functions.text import STOP_WORDS
+from surveyloom.sources.scratch import written
 
 
 def tfidf(texts: DataFrame, text: str = "text", features: int = 1 << 16) -> DataFrame:
@@ -147,7 +148,7 @@ def option_logits(rows: DataFrame, keys: list[str], x: list[str], label: str = "
 
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coef.schema)
         # one row per group from here on; the sums are written down so that steps do not pile up
-        coef = coef.join(sums, keys).mapInPandas(solve, fields).checkpoint() if data.sparkSession.conf.get("spark.checkpoint.dir", None) else coef.join(sums, keys).mapInPandas(solve, fields)
+        coef = written(coef.join(sums, keys).mapInPandas(solve, fields), "logits")
     return coef.select(*keys, F.col("b").alias("coefficients"))
 
 

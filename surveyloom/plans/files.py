@@ -17,17 +17,19 @@ AGREE = ["Strongly agree", "Agree", "Neither", "Disagree", "Strongly disagree"]
 COLOURS = ["red", "green", "blue", "black", "white"]
 
 
-def _json_array(rows, path: str) -> None:
-    """A file that holds all rows as one JSON array, as the survey archives do."""
-    one = rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
-    one.coalesce(1).write.text(path)
+def _json_arrays(rows, path: str, key: str, per_file: int = 20_000) -> None:
+    """A folder of files that each hold some rows as one JSON array, as the survey archives do."""
+    files = max(1, -(-rows.count() // per_file))
+    each = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("file"), F.to_json(F.struct(*rows.columns)).alias("j"))
+    whole = each.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    whole.write.partitionBy("file").text(path)
 
 
 def _flattened(s, d):
     """A domain's question and respondent files, written and flattened again."""
     root = scratch.fresh_path(s, "survey")
     asked = [(f"Q{i:02d}", f"How do you see topic {i}?", dict(zip("12345", COLOURS if i == 12 else AGREE, strict=True))) for i in range(1, 13)]
-    _json_array(s.createDataFrame(asked, io.QUESTIONS), f"{root}/building_questions.json")
+    _json_arrays(s.createDataFrame(asked, io.QUESTIONS), f"{root}/building_questions.json", "question_id")
     code = F.when(F.col("person_id") % 17 == 0, F.lit("9")).otherwise((F.col("answer_index") + 1).cast("string"))
     given = answers(s, d).groupBy("person_id").agg(F.collect_list(F.struct(F.concat(F.lit("Q"), F.lpad(F.col("q").cast("string"), 2, "0")).alias("k"), code.alias("v"))).alias("g"))
     stray = F.when(F.col("person_id") % 5 == 0, F.array(F.struct(F.lit("Q99").alias("k"), F.lit("1").alias("v"))))
@@ -42,7 +44,7 @@ def _flattened(s, d):
     )
     who = people(s, d).where("domain = 'BUILDING'").join(given, "person_id")
     who = who.select("person_id", attributes.alias("attributes"), F.map_from_entries(F.when(stray.isNull(), F.col("g")).otherwise(F.concat("g", stray))).alias("questions_answer"))
-    _json_array(who, f"{root}/building_respondents.json")
+    _json_arrays(who, f"{root}/building_respondents.json", "person_id")
     return io.flatten(*io.read_domain(s, root, "Building"), "Building")
 
 

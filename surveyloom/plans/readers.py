@@ -113,9 +113,11 @@ register(
 def _transfer(s, d):
     """R2 tests each domain with shares of the others; R3 tests held-out demographic cells with shares of the rest."""
     rows = responses(s, d)
-    domains = rows.select("domain").distinct().withColumnRenamed("domain", "held_out")
-    others = rows.where("split = 'train'").join(F.broadcast(domains), F.col("domain") != F.col("held_out"))  # a survey has few domains
-    shares = baselines.histogram(others, ["held_out"]).select(F.col("held_out").alias("domain"), probs.smooth(F.col("counts"), 0.5).alias("p"))
+    # a domain's own counts are taken off those of all
+    own = baselines.histogram(rows.where("split = 'train'"), ["domain"]).select("domain", F.posexplode("counts").alias("i", "x"))
+    every = own.groupBy("i").agg(F.sum("x").alias("total"))
+    rest = own.join(every, "i").groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("total") - F.col("x")).alias("x")))), lambda c: c["x"]).alias("counts"))
+    shares = rest.select("domain", probs.smooth(F.col("counts"), 0.5).alias("p"))
     r2 = rows.where("split = 'test'").join(shares, "domain").withColumn("regime", F.lit("R2"))
     cells = _ood(s, d).select("panel_id", "is_ood_intersection")
     marked = rows.join(cells, "panel_id")

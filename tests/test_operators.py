@@ -91,6 +91,8 @@ def _methods(spark, gain):
 def test_bootstraps(spark):
     rows = _methods(spark, 0.10)
     crossed = inference.crossed_bootstrap(rows, "a", "b", "nll", 100).first()
+    joined = inference.crossed_bootstrap(rows, "a", "b", "nll", 100, most_items=0).first()
+    assert all(abs(x - y) < 1e-9 if isinstance(x, float) else x == y for x, y in zip(crossed, joined))
     assert crossed.difference == pytest.approx(-0.10) and crossed.ci_high < 0 and crossed.favors_candidate
     paired = inference.paired_bootstrap(rows, "a", "b", "nll", 100).first()
     assert paired.difference == pytest.approx(-0.10) and paired.n_units == 30
