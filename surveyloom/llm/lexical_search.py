@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import discard, released, staged, table
+from surveyloom.llm.shared import by_bytes, released, staged, table
 from surveyloom.sources.shipping import ship
 
 
@@ -63,16 +63,6 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(some), of[some.to_numpy(zero_copy_only=False)]
 
 
-def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Start and length of slices of at most ``most`` bytes (a longer text stands alone)."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at, before = 0, 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield at, to - at
-        at, before = to, int(ends[to - 1])
-
-
 _SEGMENT = pa.schema([("shard", pa.int64()), ("term", pa.int32()), ("at", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))])
 _SEGMENT_DDL = "shard bigint, term int, at array<int>, tf array<bigint>, ids array<bigint>"
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.llm.shared import free_name, released, staged, table
+from surveyloom.llm.shared import by_bytes, free_name, released, staged, table
 from surveyloom.sources.shipping import ship
 
 
@@ -136,16 +136,6 @@ def _encoder(data: str) -> WordEncoder:
     return _encoders[key]
 
 
-def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Start and length of slices of at most ``most`` bytes (a longer text stands alone)."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at, before = 0, 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield at, to - at
-        at, before = to, int(ends[to - 1])
-
-
 def token_pieces(docs: DataFrame, rule: PackRule = PackRule(), tokenizer_path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ``ids`` array<int>): each document's ids and the end id, cut at ``capacity``.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm.shared import released, table
+from surveyloom.llm.shared import by_bytes, free_name, released, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -295,23 +295,24 @@ def default_model() -> str:
 
 
 def with_pieces(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` array<int>, the encoding of each text (null: of the empty text)."""
+    """``docs`` with ``ids`` array<int>, the encoding of each text (null: of the empty text).
+
+    A column of that name in any case gives the new one an underscore at the end.
+    """
     data = open(model_path or default_model(), "rb").read()  # a vocabulary file: under a MB, and it does not grow
-    names = docs.columns
+    names, added = docs.columns, free_name(docs.columns, "ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = load_model(data)
         for batch in released(batches):
-            for i in range(0, len(batch), 1000):
-                part = batch.slice(i, 1000)
+            for at, size in by_bytes(batch.column(names.index(text_col)), 4 << 20):
+                part = batch.slice(at, size)
                 ids = [model.encode(t or "") for t in part.column(names.index(text_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, added])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "ids"] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    if "ids" in names:
-        raise ValueError("docs has a column named ids")
+    schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(encode, schema)
 
 

@@ -6,7 +6,9 @@ import ctypes
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,16 @@ def released(batches: Iterator) -> Iterator:
             _trim(0)
 
 
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Start and length of slices of at most ``most`` bytes (a longer text stands alone)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, to - at
+        at, before = to, int(ends[to - 1])
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with as many underscores as make it differ from ``columns`` in any case."""
     taken = {c.lower() for c in columns}

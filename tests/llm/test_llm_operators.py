@@ -306,6 +306,8 @@ def test_pieces_equal_library(spark):
     got = pieces.piece_digests(df).collect()
     assert ordered((r.doc_id, r.n_tokens) for r in got) == ordered([(1, 0), (2, 0)] + [(3, len(library.encode("ab c")))] * 2)
     assert pieces.with_pieces(df.limit(0)).count() == 0
+    clash = pieces.with_pieces(df.selectExpr("*", "'kept' as IDS"))
+    assert clash.columns[-2:] == ["IDS", "ids_"] and {r.IDS for r in clash.collect()} == {"kept"}
 
 
 def test_language_id(spark):
