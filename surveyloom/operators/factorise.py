@@ -270,7 +270,7 @@ class PersonaHead:
 
 
 def _posterior(logs: np.ndarray, mixture: np.ndarray, mask, item, answer) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of personas of each respondent, and the log likelihood of the answers."""
+    """Shares of personas of each respondent, and the log likelihood of the answers; ``mixture`` is one for all or one for each."""
     each = np.where(mask[..., None], logs[item, :, answer], 0.0).sum(axis=1) + np.log(mixture)
     top = each.max(axis=1, keepdims=True)
     total = np.exp(each - top).sum(axis=1, keepdims=True)
@@ -311,13 +311,36 @@ def _persona_step(head: PersonaHead, counts: np.ndarray, shares: np.ndarray, rul
     return PersonaHead(head.items, head.sizes, head.vectors, theta, bias, mixture, head.history)
 
 
-def mixed_shares(head: PersonaHead, known: DataFrame, targets: DataFrame, name: str = "p") -> DataFrame:
-    """``targets`` with shares of options mixed by the personas that the answers in ``known`` speak for; without answers by the mixture."""
+def persona_posteriors(head: PersonaHead, known: DataFrame, name: str = "posterior") -> DataFrame:
+    """panel_id and the shares of personas that its answers speak for."""
     logs = head.conditionals()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                share, _ = _posterior(logs, head.mixture, *_block(part)[:3])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(share.tolist(), pa.list_(pa.float64()))], names=["panel_id", name])
+
+    return by_respondent(known, head.items, []).mapInArrow(run, f"panel_id string, {name} array<double>")
+
+
+def mixed_shares(head: PersonaHead, known: DataFrame, targets: DataFrame, name: str = "p", priors: DataFrame | None = None) -> DataFrame:
+    """``targets`` with shares of options mixed by the personas that the answers in ``known`` speak for; without answers by the prior.
+
+    ``priors`` (panel_id, prior: a share for each persona) stands for the mixture where a panel has one. Personas that a prior leaves out keep a share of 1e-6.
+    """
+    logs, personas = head.conditionals(), len(head.mixture)
     blocks = by_respondent(known, head.items, [])
     wanted = numbered(targets, head.items).join(blocks.select("panel_id", "items", "answers", "codes"), "panel_id", "left")
     empty = F.array().cast("array<int>")
     wanted = wanted.withColumns({c: F.coalesce(c, empty) for c in ("items", "answers", "codes")})
+    mixture = F.array(*[F.lit(float(x)) for x in head.mixture])
+    if priors is not None:
+        wanted = wanted.join(require_unique(priors.select("panel_id", F.col("prior").alias("_prior")), ["panel_id"]), "panel_id", "left")
+        given = F.transform(F.sequence(F.lit(0), F.lit(personas - 1)), lambda i: F.greatest(F.coalesce(F.get("_prior", i), F.lit(0.0)), F.lit(1e-6)))
+        mixture = F.when(F.col("_prior").isNull(), mixture).otherwise(given)
+    wanted = wanted.withColumn("_mixture", mixture)
     names = targets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +348,11 @@ def mixed_shares(head: PersonaHead, known: DataFrame, targets: DataFrame, name:
             for at in range(0, len(batch), BLOCK):
                 part = batch.slice(at, BLOCK)
                 mask, item, answer, _ = _block(part)
-                share, _ = _posterior(logs, head.mixture, mask, item, answer)
+                prior = pc.list_flatten(part.column(part.schema.get_field_index("_mixture"))).to_numpy().reshape(len(part), -1)
+                share, _ = _posterior(logs, prior, mask, item, answer)
                 asked = part.column(part.schema.get_field_index("item")).to_numpy().astype(np.int64)
                 p = np.einsum("nm,nmc->nc", share, np.exp(logs[asked]))
+                p /= p.sum(axis=1, keepdims=True)
                 out = [x[:k].tolist() for x, k in zip(p, head.sizes[asked].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, name])
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.operators import factorise, questionnaires
+from surveyloom.functions import probs
+from surveyloom.operators import factorise, models, questionnaires
 from surveyloom.plans.catalogue import register
 from surveyloom.plans.heads import DEMOGRAPHICS, N, head_rows, option_vectors
 from surveyloom.plans.panel import SEED
 from surveyloom.plans.scores import rounded
 from surveyloom.sources.scratch import written
-from surveyloom.sources.tables import responses
+from surveyloom.sources.tables import people, responses
 
 HISTORY = 3
 
@@ -78,11 +79,11 @@ def _persona(s, d):
     known, asked = placed.where(F.col("place") <= HISTORY), placed.where(F.col("place") > HISTORY)
     of = lambda df, split: df.where(F.col("split") == split)
     head = factorise.fit_personas(of(placed, "train"), vectors, factorise.PersonaRule(), (of(known, "validation"), of(asked, "validation")))
-    return head, of(known, "test"), of(asked, "test")
+    return head, of(known, "test"), of(asked, "test"), of(placed, "train")
 
 
 def _persona_shares(s, d):
-    head, known, asked = _persona(s, d)
+    head, known, asked, _ = _persona(s, d)
     return _shown(factorise.mixed_shares(head, known, asked))
 
 
@@ -90,8 +91,32 @@ register("persona_head_shares", _persona_shares)
 
 
 def _persona_history(s, d):
-    head, _, _ = _persona(s, d)
+    head, *_ = _persona(s, d)
     return rounded(s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(head.history)], "round int, penalised_likelihood double, validation_nll double"), 4)
 
 
 register("persona_head_history", _persona_history)
+
+
+def _router_arms(s, d):
+    """Test losses when personas come from the mixture, from demographics, from first answers, or from both.
+
+    The router learns the likeliest persona of training respondents from their demographics.
+    """
+    head, known, asked, train = _persona(s, d)
+    who = people(s, d).select("panel_id", *DEMOGRAPHICS)
+    labels = factorise.persona_posteriors(head, train).select("panel_id", probs.argmax(F.col("posterior")).cast("double").alias("cluster"))
+    labels = written(labels.join(who, "panel_id"), "personas")
+    test = written(asked.select("panel_id").distinct().join(who, "panel_id"), "asked")
+    routed = models.demographic_router(labels, test, DEMOGRAPHICS).select("panel_id", "prior")
+    out = None
+    for arm, answers, priors in (("mixture", known.limit(0), None), ("demographics", known.limit(0), routed), ("history", known, None), ("both", known, routed)):
+        scored = factorise.mixed_shares(head, answers, asked, priors=priors)
+        hit = (probs.argmax(F.col("p")) == F.col("answer_index")).cast("double")
+        row = scored.select("panel_id", probs.nll(F.col("p"), F.col("answer_index")).alias("nll"), hit.alias("correct")).groupBy("panel_id").agg(F.avg("nll").alias("nll"), F.avg("correct").alias("correct"))
+        row = row.agg(F.lit(arm).alias("arm"), F.avg("nll").alias("nll"), F.avg("correct").alias("accuracy"), F.count(F.lit(1)).alias("n_panels"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, 6)
+
+
+register("persona_router_arms", _router_arms)

@@ -119,3 +119,9 @@ def test_personas_rise_and_stop_at_the_best(spark):
         assert np.allclose(r.p, sum(w[m] * np.exp(logs[head.items[r.question_key], m]) for m in range(2)))
     none = fz.mixed_shares(head, known.limit(0), asked.limit(1)).first()
     assert np.allclose(none.p, head.mixture @ np.exp(logs[head.items[none.question_key]]))
+    priors = spark.createDataFrame([("p121", [1.0])], "panel_id string, prior array<double>")
+    routed = {(r.panel_id, r.question_key): r.p for r in fz.mixed_shares(head, known.limit(0), asked, priors=priors).collect()}
+    assert np.allclose(routed["p121", "q6"], np.exp(logs[head.items["q6"], 0]), atol=1e-5)
+    assert np.allclose(routed["p122", "q6"], head.mixture @ np.exp(logs[head.items["q6"]]))
+    found = {r.panel_id: r.posterior for r in fz.persona_posteriors(head, known).collect()}
+    assert all(np.allclose(found[p], who[p] / who[p].sum()) for p in who)
