@@ -114,3 +114,13 @@ def test_permutation_consistency(spark):
     df = spark.createDataFrame([("m", "r1", 0, 1), ("m", "r1", 1, 1), ("m", "r2", 0, 1), ("m", "r2", 1, 2), ("m", "r3", 0, 0)], "method string, row_id string, option_seed int, predicted_index int")
     r = metrics.permutation_consistency(df, ["method"]).first()
     assert r.consistency == 0.5 and r.n_rows == 2
+
+
+def test_frequency_ties_go_to_the_first(spark):
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in doubles: the order of rows must not choose among equal weights
+    weights = [(1, 0.3), (1, 0.2), (1, 0.1), (3, 0.1), (3, 0.2), (3, 0.3), (0, 0.2), (0, 0.3), (0, 0.1)]
+    rows = [("q", "A", "F", "x", option, 4, w) for option, w in weights] * 40
+    train = spark.createDataFrame(rows, "question_key string, country string, sex string, age_bin string, answer_index int, n_options int, survey_weight double").coalesce(1)
+    asked = spark.createDataFrame([("q", "B", "F", "x", 4), ("q", "A", "F", "x", 4)], "question_key string, country string, sex string, age_bin string, n_options int")
+    for row in baselines.frequency_predict(asked, baselines.frequency_tables(train)).collect():
+        assert row.p[0] == row.p[1] == row.p[3] > row.p[2]
