@@ -124,3 +124,11 @@ def test_frequency_ties_go_to_the_first(spark):
     asked = spark.createDataFrame([("q", "B", "F", "x", 4), ("q", "A", "F", "x", 4)], "question_key string, country string, sex string, age_bin string, n_options int")
     for row in baselines.frequency_predict(asked, baselines.frequency_tables(train)).collect():
         assert row.p[0] == row.p[1] == row.p[3] > row.p[2]
+
+
+def test_expected_score_at_an_exact_half(spark):
+    from surveyloom.plans.scores import expected
+
+    below = 0.493554687499999944  # the double below an exact half of the ninth digit
+    got = spark.createDataFrame([([1 - below, below],)], "p array<double>").select(F.round(expected("p"), 9)).first()[0]
+    assert got == 0.493554688
