@@ -111,7 +111,7 @@ def _copies(ids, keys, start, windows, lengths, data, window: int):
 
 
 def _windows_of(columns, data, low, window: int):
-    """(run, place, byte start, bytes, hash) of each window; see superkmers.turns."""
+    """(run, place, 1, byte start, bytes, hash) of each window; see superkmers.turns."""
     lengths, many = columns[5], columns[3].astype(np.int64)
     data = sk.gather(data, low, lengths)
     ends = np.flatnonzero(data == 32) + 1
@@ -123,7 +123,7 @@ def _windows_of(columns, data, low, window: int):
     at = word0[run] + within
     h = sk.range_hashes(sk.range_hashes(data, begins, ends), at, at + window)
     packed0 = np.cumsum(lengths) - lengths
-    return run, within, begins[at] - packed0[run] + low[run], ends[at + window - 1] - begins[at], h
+    return run, within, np.ones(len(run), np.uint8), begins[at] - packed0[run] + low[run], ends[at + window - 1] - begins[at], h
 
 
 def copies_of_bucket(blobs: list[bytes], window: int = WINDOW) -> Iterator[tuple]:

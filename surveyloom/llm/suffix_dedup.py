@@ -194,17 +194,40 @@ def _slot_of(columns, data, low) -> np.ndarray:
 
 
 def _windows_of(columns, data, low, window: int):
-    """(run, place, byte start, bytes, hash) of each window; see superkmers.turns."""
+    """(run, place, 1, byte start, bytes, hash) of each window; see superkmers.turns."""
     lengths, many = columns[5], columns[3].astype(np.int64)
     run = np.repeat(np.arange(len(low)), many)
     within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     packed = sk.gather(data, low, lengths)
     at = (np.cumsum(lengths) - lengths)[run] + within
-    return run, within, low[run] + within, np.full(len(run), window, np.int64), sk.range_hashes(packed, at, at + window)
+    return run, within, np.ones(len(run), np.uint8), low[run] + within, np.full(len(run), window, np.int64), sk.range_hashes(packed, at, at + window)
+
+
+def _finer(columns, data, low, window: int):
+    """Stretches of windows that have the same gram of least second hash, as _windows_of.
+
+    The runs of a slot share the gram of least first hash; a second one tells
+    them apart, and a stretch still holds its bytes once and not for each window.
+    """
+    lengths, many = columns[5], columns[3].astype(np.int64)
+    packed = sk.gather(data, low, lengths)
+    h = packed.astype(U)
+    for k in (1, 2, 4):
+        h = h[:-k] << U(8 * k) | h[k:]
+    grams = sk.mix(sk.mix(h) ^ U(0x5851F42D4C957F2D))
+    mask = U((1 << 20) - 1)  # a few thousand runs have fewer bytes
+    least = (sk.least_in_windows((grams & ~mask) | np.arange(len(grams), dtype=U), window - GRAM + 1) & mask).astype(np.int64)
+    run = np.repeat(np.arange(len(low)), many)
+    within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    place = least[(np.cumsum(lengths) - lengths)[run] + within]
+    new = np.flatnonzero((within == 0) | (np.diff(place, prepend=-1) != 0))
+    windows = np.diff(np.append(new, len(run)))
+    run, within = run[new], within[new]
+    return run, within, windows, low[run] + within, windows + window - 1, grams[place[new]]
 
 
 def copies_of_bucket(blobs: list[bytes], window: int = WINDOW) -> Iterator[tuple]:
-    for (ids, keys, start, windows, _, lengths), data in sk.turns(blobs, _slot_of, lambda c, d, low: _windows_of(c, d, low, window)):
+    for (ids, keys, start, windows, _, lengths), data in sk.turns(blobs, _slot_of, lambda c, d, low: _windows_of(c, d, low, window), lambda c, d, low: _finer(c, d, low, window)):
         found = _copies(ids, keys, start, windows, lengths, data, window)
         if found:
             yield found

@@ -31,6 +31,8 @@ BLOCK_BYTES = 2 << 20
 PARTITION_BYTES = 128 << 20
 #: Unpacked bytes that are sorted at once, and of a bucket that is kept unpacked meanwhile.
 TURN_BYTES, KEPT_BYTES = 3 << 20, 64 << 20
+#: Runs that are cut finer: how many times their bytes the cuts may have, and packs that are filled at once.
+SPREAD, PIECES = 4, 64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
@@ -137,16 +139,16 @@ def _loaded(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return [np.cumsum(columns[0]), *columns[1:5], lengths], data, np.cumsum(lengths) - lengths
 
 
-def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable, finer: Callable | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """The runs of a bucket in parts of bounded size, ascending by document; equal windows are in one part.
 
-    A part holds whole slots (hashes of minimisers). A slot too large for a
-    part has its windows dealt by their own hash, each standing alone; they are
-    found anew for each part, so that memory stays bounded. ``blobs`` is used up.
-    ``slot_of(columns, data, low)`` numbers the runs from 0 to 4095;
-    ``windows_of(columns, data, low)`` gives (run, place in it, byte start,
-    bytes, hash) of their windows. Columns: ids, keys, start, windows, extra,
-    lengths.
+    A part holds whole slots (hashes of minimisers). The runs of a slot too
+    large for a part are cut finer and dealt by the cuts' own hash (_split).
+    ``blobs`` is used up. ``slot_of(columns, data, low)`` numbers the runs from
+    0 to 4095; ``windows_of(columns, data, low)`` gives (run, first window in
+    it, windows, byte start, bytes, hash) of their single windows, ``finer`` of
+    longer stretches of windows, so that equal windows have equal hashes.
+    Columns: ids, keys, start, windows, extra, lengths.
     """
     total = sum(zstandard.frame_content_size(x) for x in blobs)
     kept = [_loaded(x) for x in blobs] if total <= KEPT_BYTES else None
@@ -158,31 +160,52 @@ def turns(blobs: list[bytes], slot_of: Callable, windows_of: Callable) -> Iterat
     dealt = _dealt(blobs, slots, part) if kept is None else {}
     for turn in np.unique(part[sizes > 0]):
         mine = part == turn
-        pieces = max(1, -(-int(sizes[mine].sum()) // (4 * TURN_BYTES)))
         if kept is not None:
             own = [(columns, data, low, np.flatnonzero(mine[slot])) for (columns, data, low), slot in zip(kept, slots, strict=True)]
-        for piece in range(pieces):
-            parts = []
-            for columns, data, low, x in own if kept is not None else ((*found, np.arange(len(found[2]))) for found in map(_loaded, dealt[int(turn)])):
-                if pieces == 1:
-                    parts.append(([c[x] for c in columns], gather(data, low[x], columns[5][x])))
-                    continue
-                for i in range(0, len(x), 4096):
-                    y = x[i : i + 4096]
-                    run, within, at, size, h = windows_of([c[y] for c in columns], data, low[y])
-                    z = np.flatnonzero((h >> U(24)) % U(pieces) == piece)
-                    r = y[run[z]]
-                    alone = [columns[0][r], columns[1][r], columns[2][r] + within[z], np.ones(len(z), np.uint8), columns[4][r] - within[z], size[z]]
-                    parts.append((alone, gather(data, at[z], size[z])))
-            columns = [np.concatenate(c) for c in zip(*[c for c, _ in parts], strict=True)]
-            if not len(columns[0]):
-                continue
-            data = np.concatenate([d for _, d in parts])
-            del parts
-            lengths = columns[5]
-            order = np.lexsort((columns[1], columns[0]))
-            yield [c[order] for c in columns], gather(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
-        dealt.pop(int(turn), None)
+        runs = (lambda own=own: own) if kept is not None else (lambda packs=dealt.pop(int(turn)): ((*found, np.arange(len(found[2]))) for found in map(_loaded, packs)))
+        if (size := int(sizes[mine].sum())) > 2 * TURN_BYTES:
+            yield from _split(runs, size, [f for f in (finer, windows_of) if f])
+        else:
+            yield _part([([c[x] for c in columns], gather(data, low[x], columns[5][x])) for columns, data, low, x in runs()])
+
+
+def _part(found: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    columns = [np.concatenate(c) for c in zip(*[c for c, _ in found], strict=True)]
+    data, lengths = np.concatenate([d for _, d in found]), columns[5]
+    order = np.lexsort((columns[1], columns[0]))
+    return [c[order] for c in columns], gather(data, (np.cumsum(lengths) - lengths)[order], lengths[order])
+
+
+def _split(runs: Callable, size: int, ways: list[Callable]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Runs cut by the first of ``ways`` and packed by hash, PIECES at a time; a pack that stays large is cut by the next.
+
+    The number of packs allows for cuts of SPREAD times the bytes. What is
+    unpacked at once does not grow with the bucket, and runs are cut once
+    for each PIECES packs.
+    """
+    pieces = -(-SPREAD * size // TURN_BYTES)
+    for first in range(0, pieces, PIECES):
+        packs: dict[int, list[bytes]] = {}
+        for columns, data, low, x in runs():
+            for i in range(0, len(x), 4096):
+                y = x[i : i + 4096]
+                run, within, windows, at, length, h = ways[0]([c[y] for c in columns], data, low[y])
+                piece = ((h >> U(24)) % U(pieces)).astype(np.int64) - first
+                z = np.flatnonzero((piece >= 0) & (piece < PIECES))
+                z = z[np.argsort(piece[z], kind="stable")]
+                cuts = np.flatnonzero(np.diff(piece[z], prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(z)], strict=False):
+                    w = z[a:b]
+                    r = y[run[w]]
+                    cut = [steps_of(columns[0][r]), columns[1][r], columns[2][r] + within[w], windows[w].astype(np.uint8), columns[4][r] - within[w], length[w]]
+                    packs.setdefault(int(piece[w[0]]), []).append(Packed.dump(cut, gather(data, at[w], length[w]), 1))
+        for piece in sorted(packs):
+            mine = packs.pop(piece)
+            bytes_ = sum(int(_loaded(x)[0][5].sum()) for x in mine)
+            if bytes_ > 2 * TURN_BYTES and len(ways) > 1:
+                yield from _split(lambda mine=mine: ((*found, np.arange(len(found[2]))) for found in map(_loaded, mine)), bytes_, ways[1:])
+            else:
+                yield _part([(columns, data) for columns, data, _ in map(_loaded, mine)])
 
 
 def _dealt(blobs: list[bytes], slots: list[np.ndarray], part: np.ndarray) -> dict[int, list[bytes]]:

@@ -105,6 +105,40 @@ def test_large_buckets_take_turns(monkeypatch, module):
         assert covered() == whole
 
 
+def test_runs_of_a_frequent_minimiser_are_cut_without_growing(monkeypatch):
+    """All runs in one slot: each part has few bytes, each window is in one part, and the ranges are those of one part."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 101, 300, np.uint8) for _ in range(150)]
+    texts = [np.concatenate([t, texts[i - 3][40:200], t[:9]]) for i, t in enumerate(texts)]
+    ids, data, offsets = np.arange(150), np.concatenate(texts), np.arange(151) * len(texts[0])
+    doc, start, windows, low, high, _, extra, block = suffix_dedup.runs_of_block(ids, data, offsets)
+    columns = [superkmers.steps_of(ids[doc]), np.zeros(len(doc), np.int32), start.astype(np.int32), windows.astype(np.uint8), extra.astype(np.uint8), (high - low).astype(np.int32)]
+    blob = superkmers.Packed.dump(columns, superkmers.gather(block, low, high - low))
+    seen, plain = [], suffix_dedup._copies
+
+    def copies(ids, keys, start, windows, lengths, data, window):
+        seen.append((len(data), sum((list(zip((ids[i] + 0 * np.arange(n)).tolist(), (start[i] + np.arange(n)).tolist())) for i, n in enumerate(windows.astype(int))), [])))
+        return plain(ids, keys, start, windows, lengths, data, window)
+
+    def covered():
+        seen.clear()
+        return {(int(i), x) for found in suffix_dedup.copies_of_bucket([blob]) for i, _, a, b in zip(*found, strict=True) for x in range(a, b)}
+
+    monkeypatch.setattr(suffix_dedup, "_copies", copies)
+    monkeypatch.setattr(suffix_dedup, "_slot_of", lambda c, d, low: np.zeros(len(low), np.int64))
+    whole = covered()
+    assert whole and len(seen) == 1
+    every = sorted(seen[0][1])
+    for kept in (1 << 20, 0):
+        monkeypatch.setattr(superkmers, "TURN_BYTES", 4000)
+        monkeypatch.setattr(superkmers, "KEPT_BYTES", kept)
+        assert covered() == whole
+        assert sorted(sum((w for _, w in seen), [])) == every
+        assert max(n for n, _ in seen) <= 4 * 4000
+
+
 def test_longest_previous():
     """Factors against brute force, in any order of the documents; smaller neighbours against a scan."""
     import numpy as np
