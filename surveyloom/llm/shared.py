@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.sources.scratch import fresh_path
+from surveyloom.sources.scratch import filesystem, fresh_path  # noqa: F401
 from surveyloom.sources.shipping import ship
 
 #: The C library's way to give freed memory back, where it has one.
@@ -112,13 +112,3 @@ def bucket_of(column: Column, bounds: list[int]) -> Column:
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda acc: acc["lo"])
     return F.when(column.isNull(), F.lit(-1)).otherwise(found)
-
-
-def filesystem(uri: str):
-    """A pyarrow file system and the path inside it, for any URI that it knows."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), os.path.abspath(uri)
-    found, path = fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-    return found, path

@@ -54,6 +54,26 @@ def test_forest_counts_its_rows_and_does_not_depend_on_dealing(spark):
     assert {tuple(np.round(x, 9)) for x in by.values()} >= {tuple(np.round(x, 9)) for x in p}
 
 
+def test_a_forest_does_not_gather_in_the_driver(spark, monkeypatch):
+    """Few trees grow at a time, tasks get no counts and the driver one merged state; the trees are those of one group."""
+    df, sent, plain = data(spark), [], trees.gathered
+
+    def gathered(rows, fold, merge, large=False):
+        bare = fold.__closure__[fold.__code__.co_freevars.index("trees")].cell_contents
+        sent.append((large, len(bare), sum(len(t.value) for t in bare.values())))
+        return plain(rows, fold, merge, large)
+
+    monkeypatch.setattr(trees, "gathered", gathered)
+    columns, outputs = ["a", "b", "c"], (["y", "w"], [3, 2])
+    whole = trees.grow_forest(df, columns, *outputs, trees.ForestRule(trees=6, depth=5, least=15), 8)
+    few = trees.grow_forest(df.repartition(20), columns, *outputs, trees.ForestRule(trees=6, depth=5, least=15, most_nodes=130), 8)
+    assert (len(whole.files), len(few.files)) == (1, 3)
+    assert all(large and n <= 6 and not values for large, n, values in sent) and max(n for _, n, _ in sent[-10:]) == 2
+    assert [(t.feature, t.cut, t.value.counts.tolist()) for t in few.trees] == [(t.feature, t.cut, t.value.counts.tolist()) for t in whole.trees]
+    shares = lambda forest: sorted(map(str, trees.forest_shares(forest, df.select("a", "b", "c")).collect()))
+    assert shares(few) == shares(whole)
+
+
 def plain_tree(bins, g, h, width, rule):
     """Best-first growth by loops, one node after another."""
     unit = trees.UNIT
