@@ -8,7 +8,7 @@ to its next shorter prefix while the pair is not compatible, and step back when
 none is left. A bitfield marks positions from which no cover exists, so that
 none is tried twice. The longest tokens that start at each position come from
 one Aho-Corasick pass over the reversed text: there they are the longest
-matches that end at each position, which the automaton reports first.
+matches that end at each position, and each state knows its own.
 
 No piece of such a model has a word boundary inside, so words are encoded one
 by one, and frequent ones are remembered.
@@ -29,6 +29,8 @@ from surveyloom.llm.shared import by_bytes, free_name, released, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Keys of a state of the automaton beside its characters, and the most entries that steps over suffix links fill it up to.
+SUFFIX, LONGEST, STEPS = 0, 1, 256
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 
@@ -63,12 +65,49 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+def _automaton(tokens: set[str]) -> dict:
+    """The start of an Aho-Corasick automaton over the reversed tokens.
+
+    A state is a table from characters to states; beside them it holds the
+    state of its longest proper suffix and the longest token that ends here.
+    ``_next`` adds the steps over suffix links when they are first taken, so a
+    character of a text costs one look, however many tokens end at it.
+    """
+    start: dict = {SUFFIX: None, LONGEST: None}
+    for token in tokens:
+        state = start
+        for c in reversed(token):
+            state = state.setdefault(c, {})
+        state[LONGEST] = token
+    level = [(start, c, child) for c, child in start.items() if c not in (SUFFIX, LONGEST)]
+    while level:  # breadth first: the suffix of a state is finished before it
+        below = []
+        for parent, c, state in level:
+            below += [(state, k, child) for k, child in state.items() if k != LONGEST]
+            suffix = parent[SUFFIX]
+            while suffix is not None and c not in suffix:
+                suffix = suffix[SUFFIX]
+            state[SUFFIX] = start if suffix is None else suffix[c]
+            state.setdefault(LONGEST, state[SUFFIX][LONGEST])
+        level = below
+    return start
+
+
+def _next(state: dict, c: str) -> dict:
+    """The state after a character without a step of its own: that of the nearest suffix that has one, else the start."""
+    suffix = state
+    while suffix[SUFFIX] is not None and c not in suffix:
+        suffix = suffix[SUFFIX]
+    found = suffix.get(c, suffix)
+    if len(state) < STEPS:
+        state[c] = found
+    return found
+
+
 class PieceModel:
     """A merge-type model, read from the bytes of its file."""
 
     def __init__(self, data: bytes):
-        import ahocorasick
-
         pieces, trainer, normalizer = [], {}, {}
         for number, value in _fields(data):
             if number == 1:
@@ -92,6 +131,8 @@ class PieceModel:
         self.score = {p: s for p, s, kind in pieces if kind == NORMAL}
         self.id = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == NORMAL}
         self.known = {p for p in self.id if len(p) == 1}
+        known = f"[{re.escape(''.join(sorted(self.known)))}]"
+        self.runs = re.compile(f"{known}+|(?:(?!{known}).)+" if self.known else ".+", re.DOTALL)
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         # tokens that merging can reach, the two parts of each one's last merge, and its longest proper prefix that is a token
         self.tokens, self.parts = set(), {}
@@ -101,11 +142,9 @@ class PieceModel:
                 self.tokens.add(p)
                 self.parts[p] = merges[-1]
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.tokens), None) for p in self.tokens}
-        self.automaton = ahocorasick.Automaton()
-        for p in self.tokens:
-            self.automaton.add_word(p[::-1], p)
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.start = _automaton(self.tokens)
+        self.fits: dict[str, dict[str, str | None]] = {}
+        self.n_fits = 0
         self.words: dict[str, tuple[int, ...]] = {}
         self.digits = [str(i) for i in range(len(pieces))]
 
@@ -129,56 +168,52 @@ class PieceModel:
         before the one just taken back (on a tie: had it stood further left),
         it would have joined them.
         """
-        found = self.pairs.get((a, b))
-        if found is not None:
-            return found
         score, parts = self.score, self.parts
         none = float("-inf")
         x, y, limit, tie = a, b, none, True
-        found = True
         while True:
             joined = score.get(x + y)
             if joined is not None and (joined > limit or (tie and joined == limit)):
-                found = False
-                break
+                return False
             sx = score[x] if len(x) > 1 else float("inf")
             sy = score[y] if len(y) > 1 else float("inf")
             if len(x) == 1 and len(y) == 1:
-                break
+                return True
             # of two merges of one score the left one came first, so the right one is taken back first
             if sx < sy:
                 x, limit, tie = parts[x][1], sx, False
             else:
                 y, limit, tie = parts[y][0], sy, True
-        if len(self.pairs) > REMEMBERED:
-            self.pairs.clear()
-        self.pairs[a, b] = found
-        return found
 
     def cover(self, text: str) -> list[str]:
         """The one cover of a text (of known characters) by pairwise compatible tokens."""
         if text in self.tokens:
             return [text]
         n = len(text)
-        longest: list[str | None] = [None] * n  # the longest token that starts at each position
-        seen = -1
-        for end, token in self.automaton.iter(text[::-1]):
-            if end != seen:  # of the matches that end here the longest comes first
-                longest[n - 1 - end], seen = token, end
-        pairs, shorter = self.pairs, self.shorter
+        longest: list[str | None] = []  # the longest token that starts at each position, from the last one
+        state = self.start
+        for c in reversed(text):
+            state = state.get(c) or _next(state, c)
+            longest.append(state[LONGEST])
+        longest.reverse()
+        fits, shorter = self.fits, self.shorter
         dead = bytearray((n >> 3) + 1)  # bit p: no cover goes on from p
         out: list[str] = []
-        at, last = 0, None
+        at, last = 0, ""
         token = longest[0]
         while True:
+            row = fits.get(last)
             while token is not None:
+                try:
+                    token = row[token]  # incompatible ones are passed over at once
+                except (KeyError, TypeError):
+                    token = self._fitting(last, token)
+                    row = fits[last]
+                if token is None:
+                    break
                 end = at + len(token)
                 if not dead[end >> 3] >> (end & 7) & 1:
-                    if last is None:
-                        break
-                    fits = pairs.get((last, token))
-                    if fits if fits is not None else self.compatible(last, token):
-                        break
+                    break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
@@ -190,23 +225,31 @@ class PieceModel:
                 dead[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= len(token)
-                last = out[-1] if out else None
+                last = out[-1] if out else ""
+
+    def _fitting(self, last: str, token: str | None) -> str | None:
+        """The longest of a token and its shorter prefixes that may follow ``last`` (empty: any may), if there is one; remembered."""
+        if self.n_fits >= REMEMBERED:
+            self.fits.clear()
+            self.n_fits = 0
+        row = self.fits.setdefault(last, {})
+        first = token
+        while last and token is not None and not self.compatible(last, token):
+            token = self.shorter[token]
+        row[first] = token
+        self.n_fits += 1
+        return token
 
     def _word(self, word: str) -> tuple[int, ...]:
         if self.known.issuperset(word):
             ids = tuple([self.id[p] for p in self.cover(word)])
         else:
             found: list[int] = []
-            run = ""
-            for c in [*word, ""]:
-                if c and c in self.known:
-                    run += c
-                    continue
-                if run:
+            for run in self.runs.findall(word):
+                if run[0] in self.known:
                     found += [self.id[p] for p in self.cover(run)]
-                    run = ""
-                if c:
-                    found += [self.bytes[b] for b in c.encode()] if self.byte_fallback else [self.unknown]
+                else:
+                    found += [self.bytes[b] for b in run.encode()] if self.byte_fallback else [self.unknown] * len(run)
             ids = tuple(found)
         if len(self.words) >= REMEMBERED:
             self.words.clear()
