@@ -33,23 +33,36 @@ def tfidf(texts: DataFrame, text: str = "text", features: int = 1 << 16) -> Data
     return Normalizer(inputCol="_idf", outputCol="tfidf").transform(rows).drop("_w", "_s", "_b", "_t", "_tf", "_idf")
 
 
-def tfidf_terms(texts: DataFrame, key: str, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
+#: Bytes of text whose terms are counted in one task, and whose terms meet in one task.
+TEXT_PART, TERM_PART = 4 << 20, 16 << 20
+
+
+def tfidf_terms(texts: DataFrame, key: str, text: str = "text", stop_words: list[str] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
     """L23 as rows (key, term, w): one- and two-word terms without stop words, tf (ln((1 + n) / (1 + df)) + 1), each text scaled to length 1.
 
-    Sparse throughout: a text has as many rows as distinct terms. Document
-    frequencies are joined by term without a hint, since they grow with the texts.
+    Sparse throughout: a text has as many rows as distinct terms. Texts are
+    dealt by key before they become terms, so terms travel once, to where
+    document frequencies are counted and joined. With ``only`` (term) the other
+    terms count in lengths, but have no rows and are not sent on.
     """
     stop = F.array(*[F.lit(w) for w in stop_words])
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\w\w+"), F.lit(0))
-    rows = texts.select(key, F.filter(words, lambda w: ~F.array_contains(stop, w)).alias("w"))
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    dealt = texts.select(key, text).repartition(1 + size // TEXT_PART, key)
+    rows = dealt.select(key, F.filter(words, lambda w: ~F.array_contains(stop, w)).alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     pairs = F.slice(pairs, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
     tf = rows.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = texts.count()
-    weighed = tf.join(df, "term").select(key, "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("x"))
+    tf = tf.repartition(1 + size // TERM_PART, "term")
+    # every row counts; the condition names all columns, so that both sides of the join read one exchange
+    df = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > F.pmod(F.xxhash64(key), F.lit(1)), 1)).alias("df"))
+    weighed = tf.join(df.hint("shuffle_hash"), "term").select(key, "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("x"))
     norm = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return weighed.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
+    if only is not None:
+        weighed = weighed.join(only.select("term").distinct(), "term", "left_semi")
+    # texts of null keys are one text here, as in a window by key
+    norm = norm.withColumnRenamed(key, "_key")
+    return weighed.join(norm, F.col(key).eqNullSafe(F.col("_key"))).select(key, "term", (F.col("x") / F.col("norm")).alias("w"))
 
 
 def inductive_pca(vectors: DataFrame, train: Column, k: int, vector: str = "vector") -> DataFrame:

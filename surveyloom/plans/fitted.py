@@ -11,6 +11,7 @@ from surveyloom.plans.catalogue import register
 from surveyloom.operators.joins import paired
 from surveyloom.plans.panel import sql
 from surveyloom.plans.scores import FREQUENCY_SQL, RUNS_SQL, SCORE_SQL, predictions, rounded, runs
+from surveyloom.sources.scratch import written
 from surveyloom.sources.tables import PEOPLE_SQL, people, responses, table
 
 
@@ -146,7 +147,8 @@ register(
 
 def _cosine_of_documents(s, d):
     docs, items = table(s, d, "documents").select("doc_id", "text"), table(s, d, "benchmark").select("item_id", "text")
-    a, b = models.tfidf_terms(docs, "doc_id"), models.tfidf_terms(items, "item_id").withColumnRenamed("w", "v")
+    b = written(models.tfidf_terms(items, "item_id").withColumnRenamed("w", "v"), "item-terms")
+    a = models.tfidf_terms(docs, "doc_id", only=b).repartition("doc_id")  # pairs of item and document are summed where the document is
     cos = a.join(b, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 12).alias("cosine"))
     return cos.groupBy("item_id").agg(F.max_by("doc_id", F.struct("cosine", "doc_id")).alias("doc_id"), F.max("cosine").alias("cosine"))
 
