@@ -93,8 +93,8 @@ def factors(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 
 def personas(profiles: DataFrame, m: int, seed: int = 1701, vector: str = "profile") -> DataFrame:
-    """``cluster`` of each profile; the best of several starts."""
-    rows = profiles.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    """``cluster`` of each profile; the best of several starts, which all read profiles that were written once."""
+    rows = written(profiles, "profiles").withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     fits = [KMeans(k=m, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(rows) for i in range(3)]
     best = min(fits, key=lambda f: f.summary.trainingCost)
     return best.transform(rows).drop("_v")
