@@ -139,3 +139,22 @@ def test_nothing_to_learn(spark):
     empty = trees.grow_forest(df.limit(0), ["a", "b"], ["y"], [3], trees.ForestRule(trees=2))
     assert [t.feature for t in empty.trees] == [[-1], [-1]]
     assert trees.forest_shares(empty, df).first().shares == [[0.0, 0.0, 0.0]]
+
+
+def test_small_nodes_are_split_where_their_rows_meet(spark, monkeypatch):
+    """Histograms are summed for nodes of many rows only; other nodes do not reach the driver before they are split, and trees do not depend on blocks."""
+    df, sent, plain = data(spark), [], trees.gathered
+
+    def gathered(rows, fold, merge, large=False):
+        sent.append(len(fold.__closure__[fold.__code__.co_freevars.index("open_nodes")].cell_contents))
+        return plain(rows, fold, merge, large)
+
+    monkeypatch.setattr(trees, "gathered", gathered)
+    rule = trees.ForestRule(trees=4, depth=8, least=2)
+    grown = [trees.grow_forest(df, ["a", "b", "c"], ["y", "w"], [3, 2], rule, 8)]
+    size = lambda t, n: t.value[n][0].sum() if t.feature[n] < 0 else size(t, t.left[n]) + size(t, t.right[n])
+    sizes = [size(t, n) for t in grown[0].trees for n in range(len(t.feature))]
+    assert sum(sent) <= sum(x >= 8 * 2 * 3 for x in sizes) < len(sizes) - 20
+    monkeypatch.setattr(trees, "BLOCK", 20)
+    grown.append(trees.grow_forest(df.repartition(5), ["a", "b", "c"], ["y", "w"], [3, 2], rule, 8))
+    assert len({str([(t.feature, t.cut, t.value.counts.tolist()) for t in x.trees]) for x in grown}) == 1
