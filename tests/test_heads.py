@@ -120,3 +120,17 @@ def test_aligner_descends_and_empty_rows_give_the_start(spark):
     assert len(heads.aligned(head, fitted.parameters, rows).first()["aligned"]) == 4
     none = heads.descend(head, rows.limit(0), None, "row_id", heads.Descent(epochs=2))
     assert none.history == [] and np.array_equal(none.parameters["line"], head.start()["line"])
+
+
+def test_arrays_are_of_few_rows_at_a_time(monkeypatch):
+    """Sums over a batch are those over its slices, which bound the memory of a task."""
+    import pyarrow as pa
+
+    rng, seen, plain = np.random.default_rng(1), [], heads.rows_of
+    batch = pa.RecordBatch.from_pydict({"options": rng.normal(size=(1700, 3, 4)).tolist(), "answer_index": rng.integers(0, 3, 1700).tolist(), "codes": rng.integers(0, 3, (1700, 2)).tolist()})
+    head = heads.DemographicBase(max_options=3, dim=4, cards=(3, 3))
+    monkeypatch.setattr(heads, "rows_of", lambda b, n: seen.append(len(b)) or plain(b, n))
+    monkeypatch.setattr(heads, "gathered", lambda rows, fold: fold(None, rows))
+    got = heads._sum_losses(batch, head, head.start())
+    assert abs(got - head.losses(head.start(), plain(batch, 3)).mean()) < 1e-12
+    assert max(seen) <= 500 and sum(seen) == 1700
