@@ -158,3 +158,11 @@ def test_small_nodes_are_split_where_their_rows_meet(spark, monkeypatch):
     monkeypatch.setattr(trees, "BLOCK", 20)
     grown.append(trees.grow_forest(df.repartition(5), ["a", "b", "c"], ["y", "w"], [3, 2], rule, 8))
     assert len({str([(t.feature, t.cut, t.value.counts.tolist()) for t in x.trees]) for x in grown}) == 1
+
+
+def test_boosting_walks_a_tree_once_for_each_row(spark, monkeypatch):
+    """Tasks have the logits so far as a column, so a step reads no finished tree."""
+    sent, plain = [], trees.gathered
+    monkeypatch.setattr(trees, "gathered", lambda rows, fold, merge: sent.append((rows.columns, set(fold.__code__.co_freevars))) or plain(rows, fold, merge))
+    trees.grow_boosted(data(spark, 300), ["a", "b"], "chosen", trees.BoostRule(rounds=2, leaves=3), 8)
+    assert all("logit" in columns and "model" not in free for columns, free in sent)
